@@ -76,7 +76,7 @@ def measure(text: str) -> tuple[tuple[int, ...], tuple[float, ...]]:
 
 def _measure(rows: dict[str, list]) -> dict[str, list]:
     made = [measure(x) for x in rows["_text"]]
-    return {"_doc": rows["_doc"], "_row": rows["_row"], "_group": rows["_group"]} | {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
+    return {k: v for k, v in rows.items() if k != "_text"} | {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
 
 
 def _moments(rows: DataFrame, by: str) -> dict[str | None, tuple[float, np.ndarray, np.ndarray]]:
@@ -108,20 +108,33 @@ def _distance(params: dict[str, tuple[np.ndarray, np.ndarray]], spark, rows: Dat
     return rows.join(frame, "_by").withColumn("_d2", d2).drop("_mean", "_inv")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_share: float = 0.75, steps: int = 3, cutoff: float = 25.0, least: int = 200) -> DataFrame:
-    """One row per document: doc_id, the counts, ``base_failed``, ``distance2`` and ``kept``.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: doc_id, the counts, ``base_failed``, ``distance2`` and ``kept``; options are those of ``verdicts``."""
+    rows = verdicts(docs, id_col, text_col, lang_col, source_col, **options)
+    return rows.select(F.col("_doc").alias("doc_id"), *COUNTS, "base_failed", F.col("_d2").alias("distance2"), "kept")
 
-    ``keep_share`` of each group's rows enter the estimates, ``cutoff`` bounds the squared
-    distance that is kept: the chi-square quantile of 0.9997 for six statistics.
-    Plan: one scan writes a short vector for each row to the shared folder; every step is one aggregation over those
-    vectors, pre-aggregated before its shuffle. The driver holds one mean and matrix for each language and source.
-    """
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, as they were."""
+    names = docs.columns
+    rows = verdicts(docs, id_col, text_col, lang_col, source_col, carry=tuple(names), **options).where("kept")
+    return rows.select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(names)])
+
+
+def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), keep_share: float = 0.75, steps: int = 3, cutoff: float = 25.0, least: int = 200) -> DataFrame:
+    """Counts, distance and verdict of each row, with carried columns.
+
+    ``keep_share`` of each group's rows enter the estimates, ``cutoff`` bounds the squared distance that is kept: the
+    chi-square quantile of 0.9997 for six statistics. Plan: one scan writes a short vector for each row to the shared
+    folder; every step is one aggregation over those vectors, pre-aggregated before its shuffle. The driver holds one
+    mean and matrix for each language and source."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     group = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), group.alias("_group")).withColumn("_row", F.monotonically_increasing_id())
+    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), group.alias("_group"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
     kinds = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in STATS)
-    rows = materialize(map_rows(read, _measure, f"_doc {id_type}, _row long, _group string, {kinds}"), "quality")
+    kinds += "".join(f", _c_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    rows = materialize(map_rows(read, _measure, f"_doc {id_type}, _group string, {kinds}"), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     fit = rows.where(~F.col("base_failed"))
@@ -144,4 +157,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         inside = near.join(spark.createDataFrame(pa.table({"_by": pa.array(cuts, pa.string()), "_cut": pa.array(cuts.values(), pa.float64())})), "_by").where(F.col("_d2") <= F.col("_cut"))
         params = {g: (mean, invert(cov)) for g, (_, mean, cov) in _moments(inside, "_by").items()}
     params.setdefault("all", (np.zeros(len(STATS)), np.linalg.inv(floors)))
-    return _distance(params, spark, by).select(F.col("_doc").alias("doc_id"), *COUNTS, "base_failed", F.col("_d2").alias("distance2"), (~F.col("base_failed") & (F.col("_d2") <= cutoff)).alias("kept"), "_row").drop("_row")
+    return _distance(params, spark, by).withColumn("kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))

@@ -40,7 +40,7 @@ KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *EXTRA))}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, order of kind, end, value) of the contract's three kinds; the value of an assignment is its right side."""
+    """(start, order of kind, end, value) of the contract's three kinds; the value, an assignment's right side, ends the span."""
     found = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
@@ -77,8 +77,23 @@ def _scan(rows: dict[str, list]) -> dict[str, list]:
         for i, name in enumerate(("n_assign", "n_access", "n_hex")):
             out[name].append(kinds[i])
         out["base_sha256"].append(hashlib.sha256(_say(base).encode()).hexdigest())
-        out["candidates"].append([{"at": a, "kind": k, "till": b, "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v)} for a, k, b, v in base + extra_spans(text)])
-    return {"_row": rows["_row"], "_doc": rows["_doc"], "_repo": rows["_repo"], "_owner": rows["_owner"]} | out
+        out["candidates"].append([{"at": a, "kind": k, "till": b, "own": b - len(v), "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v)} for a, k, b, v in base + extra_spans(text)])
+    return {k: v for k, v in rows.items() if k != "_text"} | out
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None, example_owners: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows with counts and digest in the shared folder, candidates with their verdicts)."""
+    owner = F.col(owner_col) if owner_col else F.substring_index(F.col(repo_col), "/", 1)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), F.col(repo_col).cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)]).withColumn("_row", F.monotonically_increasing_id())
+    schema = f"_row long, _doc {kinds[id_col]}, _repo string, _owner string, " + "".join(f"_c_{i} {kinds[c]}, " for i, c in enumerate(carry))
+    found = materialize(map_rows(read, _scan, schema + "n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<at:int,kind:int,till:int,own:int,value:binary,live:boolean>>"), "secrets")
+    each = found.where(F.size("candidates") > 0).select("_row", "_repo", "_owner", F.explode("candidates").alias("c")).select("_row", "_repo", "_owner", "c.*")
+    owners = (
+        each.select("value", F.coalesce("_repo", F.lit("\0")).alias("_repo"), F.coalesce("_owner", F.lit("\0")).alias("_owner")).distinct()
+        .groupBy("value").agg(F.countDistinct("_repo").alias("n_repos"), F.countDistinct("_owner").alias("n_owners"))
+    )
+    return found, each.join(owners, "value").withColumn("live", F.col("live") & (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_owners))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, example_owners: int = 3) -> DataFrame:
@@ -90,16 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     Plan: one scan whose digests are written to the shared folder; distinct (value, repository, owner) rows are made
     before they are shuffled, so a value that a third of the corpus copies costs a row per repository and task.
     """
-    owner = F.col(owner_col) if owner_col else F.substring_index(F.col(repo_col), "/", 1)
-    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), F.col(repo_col).cast("string").alias("_repo"), owner.cast("string").alias("_owner")).withColumn("_row", F.monotonically_increasing_id())
-    id_type = docs.schema[id_col].dataType.simpleString()
-    found = materialize(map_rows(read, _scan, f"_row long, _doc {id_type}, _repo string, _owner string, n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<at:int,kind:int,till:int,value:binary,live:boolean>>"), "secrets")
-    each = found.where(F.size("candidates") > 0).select("_row", "_repo", "_owner", F.explode("candidates").alias("c")).select("_row", "_repo", "_owner", "c.*")
-    owners = (
-        each.select("value", F.coalesce("_repo", F.lit("\0")).alias("_repo"), F.coalesce("_owner", F.lit("\0")).alias("_owner")).distinct()
-        .groupBy("value").agg(F.countDistinct("_repo").alias("n_repos"), F.countDistinct("_owner").alias("n_owners"))
-    )
-    judged = each.join(owners, "value").withColumn("live", F.col("live") & (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_owners))
+    found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners, ())
     span = F.struct("at", "kind", "till")
     by_row = judged.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.when((F.col("kind") < len(BASE_KINDS)) | F.col("live"), span))).alias("_all"),
@@ -113,3 +119,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
         F.col("_doc").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", say("_all").alias("spans"),
         zero("n_live"), zero("n_example"), zero("max_owners"), say("_live").alias("live_spans"),
     )
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, example_owners: int = 3, mask: str = "[SECRET]") -> DataFrame:
+    """All rows of ``docs`` with the values of live-looking credentials masked; a column ``n_chars`` follows the text."""
+    names = tuple(docs.columns)
+    found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners, names)
+    spans = judged.where("live").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("own", "till"))).alias("_live"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    own = f"_c_{names.index(text_col)}"
+
+    def blank(rows: dict[str, list]) -> dict[str, list]:
+        texts = []
+        for text, live in zip(rows[own], rows["_live"]):
+            out, at = [], 0
+            for a, b in ((x["own"], x["till"]) for x in live or ()):
+                if a >= at:
+                    out += [text[at:a], mask]
+                at = max(at, b)
+            texts.append("".join(out) + text[at:] if live else text)
+        return {k: v for k, v in rows.items() if k != "_live"} | {own: texts}
+
+    schema = ", ".join(f"_c_{i} {kinds[c]}" for i, c in enumerate(names))
+    cols = [f"_c_{i}" for i in range(len(names))]
+    full = found.join(spans, "_row", "left")
+    masked = map_rows(full.where(F.col("_live").isNotNull()).select(*cols, "_live"), blank, schema)
+    if "n_chars" in names:
+        masked = masked.withColumn(f"_c_{names.index('n_chars')}", F.length(own).cast(kinds["n_chars"]))
+    return full.where(F.col("_live").isNull()).select(*cols).union(masked).select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(names)])
