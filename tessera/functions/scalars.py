@@ -93,7 +93,7 @@ def question_type(x: Column) -> Column:
 def strip_json_fence(x: Column) -> Column:
     """What stands inside a fenced block, or the text itself."""
     inner = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(x.rlike(r"(?s)```(?:json)?\s*.*?```"), F.trim(inner)).otherwise(F.trim(x))
+    return F.when(x.rlike(r"(?s)```(?:json)?\s*.*?```"), strip(inner)).otherwise(strip(x))
 
 
 def safe_filename(x: Column) -> Column:
