@@ -166,7 +166,8 @@ def plan(rows: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: int =
 
     shards = -(-int(counts.sum()) // shard) if len(counts) else 0
     dealt = map_rows(spark.range(0, shards, numPartitions=max(1, min(10_000, shards // 16))), deal, "_shard long, _s int, _repeat int, _block long")
-    return sources, pieces.join(dealt, ["_s", "_block"]).select("_row", "_repeat", "_shard", "_from", "_till")
+    # Merged by force: a planner can't know how many slots a short range of shards makes, and would broadcast them.
+    return sources, pieces.hint("merge").join(dealt.hint("merge"), ["_s", "_block"]).select("_row", "_repeat", "_shard", "_from", "_till")
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
