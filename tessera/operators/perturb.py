@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import scalars as S
 from tessera.functions.rng import gauss, pick, u01
+from tessera.functions.shared import cut
 from tessera.operators.profile import plain_numeric
 
 
@@ -81,13 +82,14 @@ def drift_covariate(df: DataFrame, columns: list[str], intensity: float, scale:
     return out.select(*df.columns)
 
 
-def ordinals(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+def ordinals(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
     """``_i``, the place of each row in the total order of the key columns, and ``_n``, the number of rows.
 
     Rows are numbered within range partitions, and a partition starts where the ones before it end, so no task holds all."""
     ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
+    # Written once: another run of the range shuffle could draw other bounds, and both sides below must agree on them.
+    local = cut(ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1))
+    sizes = local.groupBy("_p").agg(F.count("*").alias("_c"))
     starts = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_start"), F.sum("_c").over(W.partitionBy()).alias("_n"))
     return local.join(F.broadcast(starts), "_p").withColumn("_i", F.col("_i") + F.col("_start")).drop("_p", "_start")
 
