@@ -7,33 +7,59 @@ tasks and never the stages before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from tessera.llm.shared import materialize, table
+from tessera.llm.shared import delete, materialize, open_tables, table
+
+#: Tables of the stage that ran last; the next one, whose input is that stage's written result, deletes them.
+_spent: list[str] = []
+
+
+def _tidy(stage: Callable) -> Callable:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        if not any(path in f for path in _spent for f in files):  # else the input isn't written yet
+            delete(spark, *_spent)
+            _spent.clear()
+        before = set(open_tables)
+        out = stage(spark, docs, sf_dir)
+        _spent.extend(p for p in open_tables if p not in before)
+        return out
+
+    return run
 
 
+@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     return quality_rules.keep(docs)
 
 
+@_tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest id."""
     return near_dedup.deduplicate(docs)
 
 
+@_tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the values of live-looking credentials masked."""
     return secret_scan.redact(docs)
 
 
+@_tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of sources by weight: drawn documents, in whole or in blocks of words, once for each repeat."""
     return mixing.mix(docs)
 
 
+@_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with a checksum of their ids."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

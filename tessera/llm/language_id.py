@@ -57,6 +57,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int):
         self.langs = langs
+        if not langs:
+            return
         trees = []
         for lang in langs:
             code, n = counts[lang]

@@ -7,7 +7,9 @@
    batches of 32 hashes, and dropped as soon as the posterior chance of a similarity of 0.75 or more, under a uniform
    prior, is below ``miss``. Survivors are verified on their full shingle sets, and links are joined to components.
 4. Members of a bucket that are still in different components are compared in blocks by the same posterior bounds, so no
-   link between different texts is lost to the pivots; survivors are verified alike.
+   link between different texts is lost to the pivots; in large buckets the batches go on over 1024 more hashes, so that
+   only pairs near the threshold are left. Of the survivors, the best few of each two components are verified
+   first; a link joins the components, and the other pairs of the two need no look. Later rounds take the rest.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows that repeat a doc_id are linked
 by their texts as any others; a null doc_id never is a component's smallest, and a component of null ids only has a null
@@ -27,20 +29,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize, text_or_empty
+from .shared import discard, map_rows, materialize, text_or_empty
 
 HASHES, BANDS, ROWS, BATCH, SHINGLE = 128, 32, 4, 32, 5
 #: Classes whose texts are looked up by a broadcast of their row numbers; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Buckets of more members compare 1024 further hashes, of which 16 bits are kept, in batches of 128.
+LARGE, WIDE, WIDE_BATCH = 64, 1024, 128
+#: Plausible pairs of two components, by rank in a block, up to which each round verifies; the last takes all.
+RANKS = (8, 256, 1 << 62)
 _A = np.random.RandomState(20_011).randint(1, 2**63 - 1, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDE = np.random.RandomState(20_029).randint(1, 2**63 - 1, WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
 _words: dict[bytes, int] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1_000_000:
+    if len(_words) > 100_000:
         _words.clear()
     known, digest = _words, xxhash.xxh64_intdigest
     out = []
@@ -78,17 +85,24 @@ def signature(keys: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def wide_signature(keys: np.ndarray) -> np.ndarray:
+    low = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(keys), 64):
+        np.minimum(low, (keys[at : at + 64, None] * _WIDE).min(axis=0), out=low)
+    return (low >> np.uint64(48)).astype("<u2")
+
+
 @lru_cache(maxsize=8)
-def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
+def least_matches(threshold: float, miss: float, ends: tuple[int, ...] = tuple(range(BATCH, HASHES + 1, BATCH))) -> tuple[int, ...]:
     """For each batch end, the fewest equal hashes at which P(similarity >= threshold | matches) is ``miss`` or more.
 
     With a uniform prior the posterior is a beta distribution, whose upper tail is the binomial sum below."""
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in ends:
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
-            tail += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            tail += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(threshold) + (n + 1 - m) * math.log(1 - threshold))
         out.append(m)
     return tuple(out)
 
@@ -118,13 +132,18 @@ def _matrix(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), "<u4").reshape(len(sigs), HASHES)
 
 
-def _buckets(rows: dict[str, list]) -> dict[str, list]:
-    m = _matrix(rows["_sig"]).reshape(-1, BANDS, ROWS).astype(np.uint64)
+def _bands(sigs: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in each band."""
+    m = sigs.reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _M2 + np.zeros((len(m), 1), np.uint64)
     for j in range(ROWS):
         key = (key ^ m[:, :, j]) * _M1
         key ^= key >> _S
-    return {"_rid": np.repeat(np.array(rows["_rid"], np.int64), BANDS), "_bucket": key.ravel().view(np.int64)}
+    return key.view(np.int64)
+
+
+def _buckets(rows: dict[str, list]) -> dict[str, list]:
+    return {"_rid": np.repeat(np.array(rows["_rid"], np.int64), BANDS), "_bucket": _bands(_matrix(rows["_sig"])).ravel()}
 
 
 def _explode_buckets(classes: DataFrame) -> DataFrame:
@@ -143,8 +162,8 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
 
 def _verify(pairs: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
     """The pairs of rows whose full shingle sets have 100 * intersection >= threshold * union."""
-    pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.col("_a").alias("_row")).union(pairs.select("_b")).distinct(), "wanted")
+    pairs = materialize(pairs, "pairs", narrow=True)
+    wanted = materialize(pairs.select(F.col("_a").alias("_row")).union(pairs.select("_b")).distinct(), "wanted", narrow=True)
     few = wanted.count() <= BROADCAST_ROWS
     texts = base.select("_row", "_text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
 
@@ -164,41 +183,71 @@ def _verify(pairs: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
                 out["_b"].append(b)
         return out
 
-    return map_rows(pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_set_a", "_set_b"), check, "_a long, _b long")
+    found = materialize(map_rows(pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_set_a", "_set_b"), check, "_a long, _b long"), "found", narrow=True)
+    discard(pairs, wanted, sets)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
     """(_rid, _comp) of every row in ``links`` (_a, _b): each round maps a row to the neighbour of smallest random rank and
     contracts the links, until none is left. Minima are pre-aggregated, so a row with many links is no hot group."""
     rank = lambda c: F.struct(F.xxhash64(c).alias("k"), F.col(c).alias("id"))
-    edges = materialize(links.select("_a", "_b").distinct(), "links")
-    names = materialize(edges.select(F.col("_a").alias("_rid")).union(edges.select("_b")).distinct().select("_rid", F.col("_rid").alias("_comp")), "names")
+    edges = materialize(links.select("_a", "_b").distinct(), "links", narrow=True)
+    names = materialize(edges.select(F.col("_a").alias("_rid")).union(edges.select("_b")).distinct().select("_rid", F.col("_rid").alias("_comp")), "names", narrow=True)
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         step = both.groupBy("_a").agg(F.least(F.min(rank("_b")), F.min(rank("_a")))["id"].alias("_to")).select(F.col("_a").alias("_from"), "_to")
-        step = materialize(step, "step")
-        names = materialize(names.join(step, F.col("_comp") == F.col("_from"), "left").select("_rid", F.coalesce("_to", "_comp").alias("_comp")), "names")
+        step = materialize(step, "step", narrow=True)
+        before, names = (edges, names), materialize(names.join(step, F.col("_comp") == F.col("_from"), "left").select("_rid", F.coalesce("_to", "_comp").alias("_comp")), "names", narrow=True)
         a, b = (step.select(F.col("_from").alias(f"_{x}"), F.col("_to").alias(f"_to_{x}")) for x in "ab")
         edges = edges.join(a, "_a").join(b, "_b").select(F.col("_to_a").alias("_a"), F.col("_to_b").alias("_b")).where("_a <> _b")
-        edges = materialize(edges.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
+        edges = materialize(edges.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links", narrow=True)
+        discard(*before, step)
+    discard(edges)
     return names
 
 
-def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Plausible pairs across components within buckets that hold several, in blocks; pairs with the pivot are done already."""
+def _named(buckets: DataFrame, names: DataFrame) -> DataFrame:
+    """Bucket rows with components, of buckets that hold several, and the buckets' sizes."""
     named = buckets.join(names, "_rid", "left").withColumn("_comp", F.coalesce("_comp", "_rid"))
     open_ = named.groupBy("_bucket").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.count("*").alias("_size")).where("lo <> hi and _size > 2").select("_bucket", "_size")
-    rows = named.join(open_, "_bucket").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_rid"), F.col("_blocks")).cast("int"))
-    rows = rows.join(classes.select("_rid", "_sig"), "_rid").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_rid", "_comp", "_sig")
-    least = least_matches(threshold, miss)
+    return named.join(open_, "_bucket")
+
+
+def _wide(buckets: DataFrame, names: DataFrame, base: DataFrame) -> DataFrame:
+    """(_rid, _more): the further hashes of the members of large buckets that hold several components."""
+    wanted = materialize(_named(buckets, names).where(F.col("_size") > LARGE).select(F.col("_rid").alias("_row")).distinct(), "wanted", narrow=True)
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = base.select("_row", "_text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
 
-    def compare(own: np.ndarray, rid: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def make(rows: dict[str, list]) -> dict[str, list]:
+        return {"_rid": rows["_row"], "_more": [wide_signature(shingles(words_of(x))).tobytes() for x in rows["_text"]]}
+
+    made = materialize(map_rows(texts, make, "_rid long, _more binary"), "wide")
+    discard(wanted)
+    return made
+
+
+def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: DataFrame, threshold: float, miss: float, ranks: tuple[int, int]) -> DataFrame:
+    """Plausible pairs across components within buckets that hold several, of the given ranks among those of two
+    components in a block; pairs with the pivot are done already. A pair counts in the first band that it shares only.
+
+    Components only merge from round to round, and the best of merged lists are among the best of each, so the ranks
+    below those of this round are done."""
+    rows = _named(buckets, names).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_rid"), F.col("_blocks")).cast("int"))
+    rows = rows.join(classes.select("_rid", "_sig"), "_rid").join(wide, "_rid", "left").withColumn("_more", F.when(F.col("_size") > LARGE, F.col("_more"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_rid", "_comp", "_sig", "_more")
+    least, (low, high) = least_matches(threshold, miss), ranks
+    least_wide = least_matches(threshold, miss, tuple(range(HASHES + WIDE_BATCH, HASHES + WIDE + 1, WIDE_BATCH)))
+
+    def compare(bucket: int, own: np.ndarray, rid: np.ndarray, comp: np.ndarray, sig: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(own == own.min())
-        right = left if own.min() == own.max() else np.flatnonzero(own != own.min())
-        a, b = [], []
+        alone = own.min() == own.max()
+        right = left if alone else np.flatnonzero(own != own.min())
+        band = int(np.argmax(_bands(sig[:1])[0] == bucket))
+        a, b, n = [], [], []
         for i in left:
-            at = right[(comp[right] != comp[i]) & ((right > i) | (left is not right))]
+            at = right[(comp[right] != comp[i]) & ((right > i) | (not alone))]
             equal = np.zeros(len(at), np.int64)
             for k, m in enumerate(least):
                 part = slice(k * BATCH, (k + 1) * BATCH)
@@ -206,9 +255,26 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, threshol
                 at, equal = at[equal >= m], equal[equal >= m]
                 if not len(at):
                     break
-            a.append(np.full(len(at), rid[i]))
-            b.append(rid[at])
-        return (np.concatenate(a), np.concatenate(b)) if a else (rid[:0], rid[:0])
+            if len(at):
+                own_band = (sig[at] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                at, equal = at[own_band], equal[own_band]
+            for k, m in enumerate(least_wide if more is not None else ()):
+                if not len(at):
+                    break
+                part = slice(k * WIDE_BATCH, (k + 1) * WIDE_BATCH)
+                equal = equal + (more[at, part] == more[i, part]).sum(axis=1)
+                at, equal = at[equal >= m], equal[equal >= m]
+            a.append(np.full(len(at), i))
+            b.append(at)
+            n.append(equal)
+        a, b, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, n))
+        first, second = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+        order = np.lexsort((np.maximum(rid[a], rid[b]), np.minimum(rid[a], rid[b]), -n, second, first))
+        a, b, first, second = a[order], b[order], first[order], second[order]
+        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])[: len(a)]
+        rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else a
+        kept = (rank >= low) & (rank < high)
+        return rid[a[kept]], rid[b[kept]]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -222,7 +288,8 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, threshol
             for lo, hi in zip(edge, edge[1:]):
                 g = kept.iloc[lo:hi]
                 if g["_comp"].nunique() > 1 and (g["_i"].iat[0] == g["_j"].iat[0] or g["_own"].nunique() > 1):
-                    out.append(compare(g["_own"].to_numpy(), g["_rid"].to_numpy(), g["_comp"].to_numpy(), _matrix(list(g["_sig"]))))
+                    more = None if g["_more"].isna().any() else np.frombuffer(b"".join(g["_more"]), "<u2").reshape(len(g), WIDE)
+                    out.append(compare(int(g["_bucket"].iat[0]), g["_own"].to_numpy(), g["_rid"].to_numpy(), g["_comp"].to_numpy(), _matrix(list(g["_sig"])), more))
             kept = kept.iloc[edge[-1] :]
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out))
@@ -248,14 +315,24 @@ def group(base: DataFrame, threshold: int = 75, miss: float = 1e-6) -> DataFrame
     buckets = _explode_buckets(classes)
     pivots = buckets.groupBy("_bucket").agg(F.min(F.struct(F.xxhash64("_rid").alias("k"), F.col("_rid").alias("id"))).alias("p"), F.count("*").alias("n")).where("n > 1").select("_bucket", F.col("p.id").alias("_pivot"))
     stars = buckets.join(pivots, "_bucket").where("_rid <> _pivot").select(F.least("_rid", "_pivot").alias("_a"), F.greatest("_rid", "_pivot").alias("_b")).distinct()
-    links = materialize(_verify(_bayes(stars, classes, share, miss), base, threshold), "found")
+    links = _verify(_bayes(stars, classes, share, miss), base, threshold)
     names = components(links)
-    more = materialize(_verify(_residual(buckets, classes, names, share, miss), base, threshold), "found")
-    if not more.isEmpty():
-        names = components(links.union(more))
+    wide = _wide(buckets, names, base)
+    for ranks in zip((0, *RANKS), RANKS):
+        rest = materialize(_residual(buckets, classes, names, wide, share, miss, ranks), "rest", narrow=True)
+        if rest.isEmpty():
+            discard(rest)
+            break  # no two components have a pair of this rank, so none of a later one
+        more = _verify(rest, base, threshold)
+        if not more.isEmpty():
+            links, old = materialize(links.union(more), "found", narrow=True), (links, names)
+            names = components(links)
+            discard(*old)
+        discard(rest, more)
     comp = classes.join(names, "_rid", "left").select("_class", F.coalesce("_comp", "_rid").alias("_comp"), "_least")
     least = comp.groupBy("_comp").agg(F.min("_least").alias("_least"))
-    by_class = comp.select("_class", "_comp").join(least, "_comp").select("_class", F.col("_least.id").alias("_cid"), F.col("_least.row").alias("_crow"))
+    by_class = materialize(comp.select("_class", "_comp").join(least, "_comp").select("_class", F.col("_least.id").alias("_cid"), F.col("_least.row").alias("_crow")), "groups")
+    discard(classes, names, links, wide)
     out = base.join(by_class, "_class", "left")
     alone = F.col("_class").isNull()
     return out.withColumn("_component", F.when(alone, F.col("_doc")).otherwise(F.col("_cid"))).withColumn("_first", alone | (F.col("_row") == F.col("_crow"))).drop("_cid", "_crow")

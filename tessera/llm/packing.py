@@ -16,7 +16,7 @@ import base64
 import math
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +46,7 @@ class Encoder:
     characters that both libraries class alike; texts with any other character go to the tokenizer file itself."""
 
     def __init__(self, vocabulary: str, odd: frozenset[str] = frozenset()):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(_file(vocabulary))
-        self.slow.encode_special_tokens = True
-        self.size = self.slow.get_vocab_size()
-        self.fast = None
+        self.vocabulary, self.fast = vocabulary, None
         ranks = os.path.splitext(_file(vocabulary))[0] + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -63,6 +57,15 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.odd = odd
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_file(_file(self.vocabulary))
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and (not self.odd or self.odd.isdisjoint(text)):
             return self.fast.encode_ordinary(text)
@@ -70,12 +73,12 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def odd_characters(vocabulary: str) -> frozenset[str]:
-    """Characters that the two encoders cut differently; found by trial of blocks of characters, halved where they differ."""
+def odd_characters(vocabulary: str) -> tuple[frozenset[str], int]:
+    """Characters that the two encoders cut differently, and the number of ids; the first are found by trial of blocks of characters, halved where they differ."""
     encoder = Encoder(vocabulary)
     slow, fast = encoder.slow, encoder.fast
     if fast is None:
-        return frozenset()
+        return frozenset(), slow.get_vocab_size()
     chars = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
     say = lambda part: "".join(f"a{c}b {c}{c} 1{c}.{c}\n" for c in part)
     same = lambda part: slow.encode(say(part), add_special_tokens=False).ids == fast.encode_ordinary(say(part))
@@ -88,7 +91,7 @@ def odd_characters(vocabulary: str) -> frozenset[str]:
             found += part
         else:
             todo += [part[: len(part) // 2], part[len(part) // 2 :]]
-    return frozenset(found)
+    return frozenset(found), slow.get_vocab_size()
 
 
 @lru_cache(maxsize=2)
@@ -145,13 +148,13 @@ def curve_keys(docs: list[np.ndarray], size: int) -> np.ndarray:
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """In the shared folder: row, id, number of ids, curve key and the ids, two bytes each if the vocabulary allows it."""
-    odd = odd_characters(vocabulary)
+    odd, size = odd_characters(vocabulary)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         encoder = _encoder(vocabulary, odd)
-        kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
+        kind = "<u2" if size <= 1 << 16 else "<u4"
         ids = [np.array([*encoder.ids(x), end_id], kind) for x in rows["_text"]]
-        return {"_row": rows["_row"], "_doc": rows["_doc"], "_n": [len(x) for x in ids], "_wide": [x.itemsize for x in ids], "_key": curve_keys(ids, max(encoder.size, end_id + 1)), "_ids": [x.tobytes() for x in ids]}
+        return {"_row": rows["_row"], "_doc": rows["_doc"], "_n": [len(x) for x in ids], "_wide": [x.itemsize for x in ids], "_key": curve_keys(ids, size), "_ids": [x.tobytes() for x in ids]}
 
     id_type = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize, text_or_empty
+from .shared import map_rows, materialize
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -75,8 +75,8 @@ def measure(text: str) -> tuple[tuple[int, ...], tuple[float, ...]]:
 
 
 def _measure(rows: dict[str, list]) -> dict[str, list]:
-    made = [measure(x) for x in rows["_text"]]
-    return {k: v for k, v in rows.items() if k != "_text"} | {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
+    made = [measure(x or "") for x in rows["_text"]]
+    return rows | {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
 
 
 def _moments(rows: DataFrame, by: str) -> dict[str | None, tuple[float, np.ndarray, np.ndarray]]:
@@ -117,11 +117,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they were."""
     names = docs.columns
-    rows = verdicts(docs, id_col, text_col, lang_col, source_col, carry=tuple(names), **options).where("kept")
-    return rows.select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(names)])
+    carry = tuple(c for c in names if c != text_col)
+    rows = verdicts(docs, id_col, text_col, lang_col, source_col, carry=carry, with_text=True, **options).where("kept")
+    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)} | {text_col: F.col("_text")}
+    return rows.select(*[own[c].alias(c) for c in names])
 
 
-def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), keep_share: float = 0.75, steps: int = 3, cutoff: float = 25.0, least: int = 200) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, keep_share: float = 0.75, steps: int = 3, cutoff: float = 25.0, least: int = 200) -> DataFrame:
     """Counts, distance and verdict of each row, with carried columns.
 
     ``keep_share`` of each group's rows enter the estimates, ``cutoff`` bounds the squared distance that is kept: the
@@ -131,10 +133,11 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     group = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), group.alias("_group"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
+    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), group.alias("_group"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
     kinds = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in STATS)
     kinds += "".join(f", _c_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    rows = materialize(map_rows(read, _measure, f"_doc {id_type}, _group string, {kinds}"), "quality")
+    measured = map_rows(read, _measure, f"_doc {id_type}, _text string, _group string, {kinds}")
+    rows = materialize(measured if with_text else measured.drop("_text"), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     fit = rows.where(~F.col("base_failed"))

@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize, text_or_empty
+from .shared import map_rows, materialize
 
 # The kinds of the contract, in its order, then those that the ownership method adds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -72,22 +72,24 @@ def _say(spans: list[tuple]) -> str:
 def _scan(rows: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "candidates")}
     for text in rows["_text"]:
+        text = text or ""
         base = base_spans(text)
         kinds = Counter(k for _, k, *_ in base)
         for i, name in enumerate(("n_assign", "n_access", "n_hex")):
             out[name].append(kinds[i])
         out["base_sha256"].append(hashlib.sha256(_say(base).encode()).hexdigest())
         out["candidates"].append([{"at": a, "kind": k, "till": b, "own": b - len(v), "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v)} for a, k, b, v in base + extra_spans(text)])
-    return {k: v for k, v in rows.items() if k != "_text"} | out
+    return rows | out
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None, example_owners: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None, example_owners: int, carry: tuple[str, ...] = (), with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with counts and digest in the shared folder, candidates with their verdicts)."""
     owner = F.col(owner_col) if owner_col else F.substring_index(F.col(repo_col), "/", 1)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), F.col(repo_col).cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)]).withColumn("_row", F.monotonically_increasing_id())
-    schema = f"_row long, _doc {kinds[id_col]}, _repo string, _owner string, " + "".join(f"_c_{i} {kinds[c]}, " for i, c in enumerate(carry))
-    found = materialize(map_rows(read, _scan, schema + "n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<at:int,kind:int,till:int,own:int,value:binary,live:boolean>>"), "secrets")
+    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), F.col(repo_col).cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)]).withColumn("_row", F.monotonically_increasing_id())
+    schema = f"_row long, _doc {kinds[id_col]}, _text string, _repo string, _owner string, " + "".join(f"_c_{i} {kinds[c]}, " for i, c in enumerate(carry))
+    scanned = map_rows(read, _scan, schema + "n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<at:int,kind:int,till:int,own:int,value:binary,live:boolean>>")
+    found = materialize(scanned if with_text else scanned.drop("_text"), "secrets")
     each = found.where(F.size("candidates") > 0).select("_row", "_repo", "_owner", F.explode("candidates").alias("c")).select("_row", "_repo", "_owner", "c.*")
     owners = (
         each.select("value", F.coalesce("_repo", F.lit("\0")).alias("_repo"), F.coalesce("_owner", F.lit("\0")).alias("_owner")).distinct()
@@ -105,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     Plan: one scan whose digests are written to the shared folder; distinct (value, repository, owner) rows are made
     before they are shuffled, so a value that a third of the corpus copies costs a row per repository and task.
     """
-    found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners, ())
+    found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners)
     span = F.struct("at", "kind", "till")
     by_row = judged.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.when((F.col("kind") < len(BASE_KINDS)) | F.col("live"), span))).alias("_all"),
@@ -124,26 +126,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, example_owners: int = 3, mask: str = "[SECRET]") -> DataFrame:
     """All rows of ``docs`` with the values of live-looking credentials masked; a column ``n_chars`` follows the text."""
     names = tuple(docs.columns)
-    found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners, names)
+    carry = tuple(c for c in names if c != text_col)
+    found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners, carry, True)
     spans = judged.where("live").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("own", "till"))).alias("_live"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    own = f"_c_{names.index(text_col)}"
 
     def blank(rows: dict[str, list]) -> dict[str, list]:
         texts = []
-        for text, live in zip(rows[own], rows["_live"]):
+        for text, live in zip(rows["_text"], rows["_live"]):
             out, at = [], 0
             for a, b in ((x["own"], x["till"]) for x in live or ()):
                 if a >= at:
                     out += [text[at:a], mask]
                 at = max(at, b)
             texts.append("".join(out) + text[at:] if live else text)
-        return {k: v for k, v in rows.items() if k != "_live"} | {own: texts}
+        return {k: v for k, v in rows.items() if k != "_live"} | {"_text": texts}
 
-    schema = ", ".join(f"_c_{i} {kinds[c]}" for i, c in enumerate(names))
-    cols = [f"_c_{i}" for i in range(len(names))]
+    schema = "_text string" + "".join(f", _c_{i} {kinds[c]}" for i, c in enumerate(carry))
+    cols = ["_text", *[f"_c_{i}" for i in range(len(carry))]]
     full = found.join(spans, "_row", "left")
     masked = map_rows(full.where(F.col("_live").isNotNull()).select(*cols, "_live"), blank, schema)
-    if "n_chars" in names:
-        masked = masked.withColumn(f"_c_{names.index('n_chars')}", F.length(own).cast(kinds["n_chars"]))
-    return full.where(F.col("_live").isNull()).select(*cols).union(masked).select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(names)])
+    if "n_chars" in carry:
+        masked = masked.withColumn(f"_c_{carry.index('n_chars')}", F.length("_text").cast(kinds["n_chars"]))
+    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)} | {text_col: F.col("_text")}
+    return full.where(F.col("_live").isNull()).select(*cols).union(masked).select(*[own[c].alias(c) for c in names])

@@ -25,12 +25,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs a reread, not a recomputation."""
+BATCH_ROWS = 256
+#: Paths of the tables that are still in the shared folder, oldest first.
+open_tables: list[str] = []
+
+
+def materialize(df: DataFrame, name: str = "t", narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs a reread, not a recomputation.
+
+    ``narrow`` tables, of few bytes a row, are written as a sixteenth of the session's shuffle partitions in files."""
     spark = df.sparkSession
+    if narrow:
+        df = df.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    open_tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in open_tables:
+            open_tables.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.shared_path)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of 256 rows, unless the session sets their length itself: rows hold whole texts and sets of any size, and a batch is in memory in the JVM and in Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
@@ -38,12 +72,13 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    short_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # long texts: few of them are Python objects at a time
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, BATCH_ROWS):  # few long texts are Python objects at a time
+                part = batch.slice(at, BATCH_ROWS)
                 out = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
