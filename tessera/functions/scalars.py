@@ -39,8 +39,8 @@ def words(x: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Distinct pairs of neighbouring tokens."""
-    n = F.size(tokens)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i)))))
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
