@@ -217,3 +217,26 @@ def video_plan(spark: SparkSession, count: int, description: str, rules: dict[st
     """index, prompt with its number and the rules by name, and a seed of its own."""
     tail = "".join(f"; {k}={rules[k]}" for k in sorted(rules))
     return spark.range(count).select(F.col("id").alias("index"), F.concat(F.lit(f"{description} (clip "), F.col("id").cast("string"), F.lit(f"){tail}")).alias("prompt"), (F.lit(seed) * F.lit(1_000_003) + F.col("id")).cast("long").alias("item_seed"))
+
+
+def text_rows(spark: SparkSession, count: int, provider, fields: list[str], batch: int = 20, attempts: int = 5) -> DataFrame:
+    """Rows of text that ``provider(first, size, attempt)`` makes as dicts, in batches; rows that lack a field or hold an
+    empty or over-long one are asked for again, a few times, and what still fails is left out."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for first, size in zip(b["start"], b["size"]):
+                good: list[dict] = []
+                for attempt in range(attempts):
+                    rows = provider(int(first), int(size), attempt)
+                    good += [r for r in rows if all(1 <= len(str(r.get(f) or "").strip()) <= 20_000 for f in fields)]
+                    if len(good) >= size:
+                        break
+                out += [{"id": int(first) + i, **{f: str(r[f]) for f in fields}} for i, r in enumerate(good[: int(size)])]
+            yield pd.DataFrame(out, columns=["id", *fields])
+
+    plan = spark.range(0, count, batch).select(F.col("id").alias("start"), F.least(F.lit(batch), F.lit(count) - F.col("id")).alias("size"))
+    return plan.mapInPandas(run, "id long, " + ", ".join(f"{f} string" for f in fields)).dropDuplicates(fields)
