@@ -2,8 +2,9 @@
 
 Every document gives a vector of transformed statistics. For each language and source a robust centre and scatter are
 found by concentration steps over all rows: from a median start, keep the half of the rows that are nearest by
-Mahalanobis distance, take their mean and covariance, and repeat until steps are spent; the determinant falls with each
-step. Rows whose final distance is beyond the cutoff are rejected.
+Mahalanobis distance, take their mean and covariance, and repeat until the determinant, which falls with each step,
+stops falling. Rows tied at the edge of the half enter by the share that fills it. Rows whose final distance is beyond
+the cutoff are rejected.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null language or source is a
 group of its own; a group of fewer than ``least`` rows with enough words is judged by the estimates of all rows
@@ -13,6 +14,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations_with_replacement
 
@@ -29,6 +31,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The judged vector; each statistic is near normal for prose, with a floor under its spread as many are 0 for most rows.
 STATS = {"word_length": 0.25, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.20, "upper": 0.08, "distinct": 0.08}
 
+#: A determinant that falls by no larger share of itself has stopped falling.
+FALL = 1e-4
+
 
 def n_repeat_words(words: list[bytes]) -> int:
     """Words that lie in an eight-word window found twice or more in the text, the first find included."""
@@ -79,17 +84,39 @@ def _measure(rows: dict[str, list]) -> dict[str, list]:
     return rows | {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
 
 
-def _moments(rows: DataFrame, by: str) -> dict[str | None, tuple[float, np.ndarray, np.ndarray]]:
-    """Rows, mean and covariance of the statistics by group; one row a group comes to the driver."""
+def half(n: int) -> int:
+    """Rows that enter the estimates of ``n`` rows: the fewest that outvote all others."""
+    return min(n, (n + len(STATS) + 1) // 2)
+
+
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest ``share`` of normal rows that of all."""
+    k = len(STATS)  # an even number, for which the chi-square distribution is a finite sum
+    below = lambda x, dims: 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(dims // 2))
+    low, high = 0.0, 200.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid, k) < share else (low, mid)
+    return share / below(high, k + 2)
+
+
+def _moments(rows: DataFrame, sizes: dict[str, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean and covariance of the statistics by ``_by``, of the rows before the edge and a share of those on it; two rows a group come to the driver."""
     names = list(STATS)
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    sums = [F.sum(c) for c in names] + [F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]
+    parts: dict[str, dict[bool, np.ndarray]] = {}
+    for r in rows.groupBy("_by", "_edge").agg(F.count("*").cast("double"), *sums).collect():
+        parts.setdefault(r["_by"], {})[r["_edge"]] = np.array(r[2:])
     out = {}
-    for r in rows.groupBy(by).agg(F.count("*").alias("n"), *sums).collect():
-        n, mean, cov = r["n"], np.array([r[f"s{i}"] for i in range(len(names))]) / r["n"], np.zeros((len(names),) * 2)
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / n - mean[i] * mean[j]
-        out[r[by]] = (n, mean, cov)
+    for g, part in parts.items():
+        none = np.zeros(1 + len(sums))
+        inner, edge = part.get(False, none), part.get(True, none)
+        n, *rest = inner + edge * min(1.0, max(0.0, half(sizes[g]) - inner[0]) / max(1.0, edge[0]))
+        mean, cov = np.array(rest[: len(names)]) / n, np.zeros((len(names),) * 2)
+        for (i, j), x in zip(pairs, rest[len(names) :]):
+            cov[i, j] = cov[j, i] = x / n - mean[i] * mean[j]
+        out[g] = (mean, cov)
     return out
 
 
@@ -123,10 +150,10 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return rows.select(*[own[c].alias(c) for c in names])
 
 
-def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, keep_share: float = 0.75, steps: int = 3, cutoff: float = 25.0, least: int = 200) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, cutoff: float = 25.0, least: int = 200) -> DataFrame:
     """Counts, distance and verdict of each row, with carried columns.
 
-    ``keep_share`` of each group's rows enter the estimates, ``cutoff`` bounds the squared distance that is kept: the
+    ``half`` of each group's rows enter the estimates, ``cutoff`` bounds the squared distance that is kept: the
     chi-square quantile of 0.9997 for six statistics. Plan: one scan writes a short vector for each row to the shared
     folder; every step is one aggregation over those vectors, pre-aggregated before its shuffle. The driver holds one
     mean and matrix for each language and source."""
@@ -141,7 +168,9 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     fit = rows.where(~F.col("base_failed"))
-    big = {r["_group"] for r in fit.groupBy("_group").count().where(F.col("count") >= least).collect()}
+    sizes = {r["_group"]: r["count"] for r in fit.groupBy("_group").count().collect()}
+    total, big = sum(sizes.values()), {g for g, n in sizes.items() if n >= least}
+    sizes["all"] = total
     named = spark.createDataFrame(pa.table({k: pa.array(sorted(big), pa.string()) for k in ("_group", "_by")}))
     by = rows.join(named, "_group", "left").withColumn("_by", F.coalesce("_by", F.lit("all")))
     fit = by.where(~F.col("base_failed"))
@@ -149,15 +178,24 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     fit = fit.unionByName(fit.withColumn("_by", F.lit("all"))) if big else fit.withColumn("_by", F.lit("all"))
     floors = np.diag(np.array(list(STATS.values())) ** 2)
 
-    def invert(cov: np.ndarray) -> np.ndarray:
-        return np.linalg.inv(cov + floors)
-
     marks = fit.groupBy("_by").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in STATS]).collect()
     params = {r["_by"]: (np.array([r[c] for c in STATS]), np.linalg.inv(floors)) for r in marks}
-    for _ in range(steps if params else 0):
-        near = _distance(params, spark, fit)
-        cuts = {r["_by"]: r["cut"] for r in near.groupBy("_by").agg(F.percentile_approx("_d2", keep_share, 1000).alias("cut")).collect()}
-        inside = near.join(spark.createDataFrame(pa.table({"_by": pa.array(cuts, pa.string()), "_cut": pa.array(cuts.values(), pa.float64())})), "_by").where(F.col("_d2") <= F.col("_cut"))
-        params = {g: (mean, invert(cov)) for g, (_, mean, cov) in _moments(inside, "_by").items()}
+    share = {g: math.ceil(1e4 * half(sizes[g]) / sizes[g]) / 1e4 for g in params}
+    shares = sorted(set(share.values()))
+    falling = dict.fromkeys(params, math.inf)
+    while falling:
+        near = _distance({g: params[g] for g in falling}, spark, fit)
+        found = near.groupBy("_by").agg(F.percentile_approx("_d2", shares, 10_000).alias("cut")).collect()
+        cuts = {r["_by"]: r["cut"][shares.index(share[r["_by"]])] for r in found}
+        edges = spark.createDataFrame(pa.table({"_by": pa.array(cuts, pa.string()), "_cut": pa.array(cuts.values(), pa.float64())}))
+        inside = near.join(edges, "_by").where(F.col("_d2") <= F.col("_cut")).withColumn("_edge", F.col("_d2") == F.col("_cut"))
+        before, falling = falling, {}
+        for g, (mean, cov) in _moments(inside, sizes).items():
+            scatter = cov * consistency(half(sizes[g]) / sizes[g]) + floors
+            size = float(np.linalg.slogdet(scatter)[1])
+            if size < before[g]:
+                params[g] = (mean, np.linalg.inv(scatter))
+            if size < before[g] - FALL:
+                falling[g] = size
     params.setdefault("all", (np.zeros(len(STATS)), np.linalg.inv(floors)))
     return _distance(params, spark, by).withColumn("kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))

@@ -123,6 +123,19 @@ def test_quality_rejects_junk_and_keeps_prose(docs):
     assert kept.columns == docs([""]).columns and kept.count() == 300
 
 
+@pytest.mark.parametrize("share", [0.26, 0.34, 0.45])
+def test_quality_rejects_copies_that_are_no_majority(spark, share):
+    import random
+
+    draw = random.Random(6)
+    vocab = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(400)]
+    clean = [" ".join(draw.choice(vocab) for _ in range(draw.randint(30, 200))) for _ in range(300)]
+    junk = [" | ".join(draw.choice(vocab) for _ in range(60))] * round(300 * share / (1 - share))
+    rows = [(i, t, "en", "s") for i, t in enumerate(clean + junk)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(300)) and not any(got[i]["kept"] or got[i]["base_failed"] for i in range(300, len(rows)))
+
+
 @pytest.mark.parametrize("run", [secret_scan.scan, secret_scan.redact, license_scan.scan, quality_rules.judge, quality_rules.keep])
 def test_empty_tables(docs, run):
     assert run(docs([])).count() == 0
