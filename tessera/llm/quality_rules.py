@@ -7,9 +7,9 @@ stops falling. Rows tied at the edge of the half enter by the share that fills i
 the cutoff are rejected.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null language or source is a
-group of its own; a group of fewer than ``least`` rows with enough words is judged by the estimates of all rows
-together; repeated rows are judged each for itself; an empty table gives an empty result; other columns of the input are
-ignored, whatever their names.
+group of its own; a group of fewer than ``least`` rows that pass the base rules is judged by the estimates of all rows
+of its language, however few; repeated rows are judged each for itself; an empty table gives an empty result; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -150,32 +150,35 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return rows.select(*[own[c].alias(c) for c in names])
 
 
-def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, cutoff: float = 25.0, least: int = 200) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, cutoff: float = 25.0, least: int = 30) -> DataFrame:
     """Counts, distance and verdict of each row, with carried columns.
 
     ``half`` of each group's rows enter the estimates, ``cutoff`` bounds the squared distance that is kept: the
-    chi-square quantile of 0.9997 for six statistics. Plan: one scan writes a short vector for each row to the shared
+    chi-square quantile of 0.9997 for six statistics, ``least`` is five rows a statistic. Plan: one scan writes a short vector for each row to the shared
     folder; every step is one aggregation over those vectors, pre-aggregated before its shuffle. The driver holds one
     mean and matrix for each language and source."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     group = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), group.alias("_group"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
+    lang = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l")))
+    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), group.alias("_group"), lang.alias("_lang"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
     kinds = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in STATS)
     kinds += "".join(f", _c_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    measured = map_rows(read, _measure, f"_doc {id_type}, _text string, _group string, {kinds}")
+    measured = map_rows(read, _measure, f"_doc {id_type}, _text string, _group string, _lang string, {kinds}")
     rows = materialize(measured if with_text else measured.drop("_text"), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    fit = rows.where(~F.col("base_failed"))
-    sizes = {r["_group"]: r["count"] for r in fit.groupBy("_group").count().collect()}
-    total, big = sum(sizes.values()), {g for g, n in sizes.items() if n >= least}
-    sizes["all"] = total
-    named = spark.createDataFrame(pa.table({k: pa.array(sorted(big), pa.string()) for k in ("_group", "_by")}))
-    by = rows.join(named, "_group", "left").withColumn("_by", F.coalesce("_by", F.lit("all")))
+    groups = rows.groupBy("_group", "_lang").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()
+    small = sorted({r["_lang"] for r in groups if r["n"] < least})
+    sizes = {"group " + r["_group"]: r["n"] for r in groups if r["n"] >= least}
+    for r in groups:
+        if r["_lang"] in small:
+            sizes["lang " + r["_lang"]] = sizes.get("lang " + r["_lang"], 0) + r["n"]
+    names = {r["_group"]: "group " + r["_group"] if r["n"] >= least else "lang " + r["_lang"] for r in groups}
+    by = rows.join(spark.createDataFrame(pa.table({"_group": pa.array(names, pa.string()), "_by": pa.array(names.values(), pa.string())})), "_group")
     fit = by.where(~F.col("base_failed"))
-    # Rows of all groups together stand in for groups that are too small.
-    fit = fit.unionByName(fit.withColumn("_by", F.lit("all"))) if big else fit.withColumn("_by", F.lit("all"))
+    # All rows of a language stand in for those of its groups that are too small.
+    fit = fit.where(F.col("_by").startswith("group ")).unionByName(fit.where(F.col("_lang").isin(small)).withColumn("_by", F.concat(F.lit("lang "), "_lang")))
     floors = np.diag(np.array(list(STATS.values())) ** 2)
 
     marks = fit.groupBy("_by").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in STATS]).collect()
@@ -197,5 +200,6 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
                 params[g] = (mean, np.linalg.inv(scatter))
             if size < before[g] - FALL:
                 falling[g] = size
-    params.setdefault("all", (np.zeros(len(STATS)), np.linalg.inv(floors)))
+    for g in set(names.values()) - set(params):  # no row passes the base rules
+        params[g] = (np.zeros(len(STATS)), np.linalg.inv(floors))
     return _distance(params, spark, by).withColumn("kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))

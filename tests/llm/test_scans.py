@@ -136,6 +136,21 @@ def test_quality_rejects_copies_that_are_no_majority(spark, share):
     assert all(got[i]["kept"] for i in range(300)) and not any(got[i]["kept"] or got[i]["base_failed"] for i in range(300, len(rows)))
 
 
+@pytest.mark.parametrize("sizes", [(150,), (40,), (20, 20, 20), (8,)])
+def test_quality_judges_small_groups_by_their_language(spark, sizes):
+    import random
+
+    draw = random.Random(7)
+    short, long = (["".join(draw.choice("abcdefghij") for _ in range(draw.randint(lo, hi))) for _ in range(400)] for lo, hi in ((2, 8), (20, 30)))
+    write = lambda words, sep=" ": sep.join(draw.choice(words) for _ in range(draw.randint(40, 120)))
+    rows = [("en", "s", write(short)) for _ in range(300)] + [("zz", f"s{k}", write(long)) for k, n in enumerate(sizes) for _ in range(n)]
+    n = len(rows)
+    rows += [("zz", "s0", write(short))] * (sum(sizes) > 20)  # prose in English, but no clean row of this language
+    df = spark.createDataFrame([(i, t, lang, s) for i, (lang, s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.judge(df).where("kept").collect()}
+    assert kept == set(range(n))
+
+
 @pytest.mark.parametrize("run", [secret_scan.scan, secret_scan.redact, license_scan.scan, quality_rules.judge, quality_rules.keep])
 def test_empty_tables(docs, run):
     assert run(docs([])).count() == 0
