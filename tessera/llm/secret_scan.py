@@ -2,10 +2,11 @@
 
 Every text is searched for credential candidates. Candidate values are hashed, and each hash is aggregated over the
 corpus by distinct repositories and distinct owners: a value that many owners carry is a copied example, a value that
-one owner carries and that looks random is a live-looking credential.
+one owner carries and that looks random is a live-looking credential. The value of a private key is its body.
 
 Defined results: a null or empty text has no spans and the digest of the empty string; repeated rows are scanned each
-for itself; a null repository counts as one more repository; an empty table gives an empty result; other columns of the
+for itself; a null repository counts as one more repository; a private key's header without a body is an
+example; an empty table gives an empty result; other columns of the
 input are ignored, whatever their names.
 """
 
@@ -32,9 +33,15 @@ EXTRA = {
     "payment": re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}"),
     "cloud": re.compile(r"AIza[A-Za-z0-9_-]{30,}"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # The block to its END line, or if there is none before the next block, the header lines and base64 runs that follow.
+    "pem": re.compile(
+        r"""-----BEGIN\x20([A-Z\x20]{0,30})PRIVATE\x20KEY-----(?:(?P<whole>(?s:(?:(?!-----BEGIN\x20).)*?))-----END\x20\1PRIVATE\x20KEY-----
+        |(?P<cut>(?:(?:\s|\\[nrt]|["',>\#*|;]|(?:\+|//)(?=\s))*+(?:[A-Z][A-Za-z-]{1,30}:\x20[^\n\\]*+|[A-Za-z0-9+/=]{16,}+))*+(?:(?:\s|\\[nrt]|["',>\#*|;])++[A-Za-z0-9+/=]{1,15}+(?=["'\\]|[\x20\t]*(?:[\r\n]|\Z)))?))""",
+        re.X,
+    ),
 }
 EXTRA_MARKS = ("gh", "xox", "k_live_", "AIza", "eyJ", "-----BEGIN ")
+KEY_RUN = re.compile(r"[A-Za-z0-9+/]{16}")
 PLACEHOLDER = re.compile(r"(?ai)example|sample|change_?me|placeholder|your|dummy|redacted|xxxx|1234567|abcdef")
 KIND_ORDER = {k: i for i, k in enumerate((*BASE_KINDS, *EXTRA))}
 
@@ -51,14 +58,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def extra_spans(text: str) -> list[tuple[int, int, int, str]]:
     if not any(x in text for x in EXTRA_MARKS):
         return []
-    return sorted((m.start(), KIND_ORDER[k], m.end(), m[0]) for k, rx in EXTRA.items() for m in rx.finditer(text))
+    return sorted((m.start(), KIND_ORDER[k], m.end(), key_body(m) if k == "pem" else m[0]) for k, rx in EXTRA.items() for m in rx.finditer(text))
 
 
-def looks_live(value: str) -> bool:
-    """Random enough for a credential: no placeholder word, and at least 2.5 bits a character over 8 or more characters."""
-    if value.startswith("-----BEGIN"):
-        return True
-    if len(value) < 8 or PLACEHOLDER.search(value):
+def key_body(found: re.Match) -> str:
+    """A private key's characters, however its lines are broken, indented or quoted; empty where the text is no key's."""
+    body = found["whole"] or found["cut"] or ""
+    return re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", body) if KEY_RUN.search(body) else ""
+
+
+def looks_live(value: str, key: bool = False) -> bool:
+    """Random enough for a credential: no placeholder word, and at least 2.5 bits a character over 8 or more characters.
+
+    A private ``key`` of over 64 characters may hold a short word by chance, so it is not searched for one."""
+    if len(value) < 8 or not (key and len(value) > 64) and PLACEHOLDER.search(value):
         return False
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= 2.5
@@ -78,7 +91,7 @@ def _scan(rows: dict[str, list]) -> dict[str, list]:
         for i, name in enumerate(("n_assign", "n_access", "n_hex")):
             out[name].append(kinds[i])
         out["base_sha256"].append(hashlib.sha256(_say(base).encode()).hexdigest())
-        out["candidates"].append([{"at": a, "kind": k, "till": b, "own": b - len(v), "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v)} for a, k, b, v in base + extra_spans(text)])
+        out["candidates"].append([{"at": a, "kind": k, "till": b, "own": b - len(v) if k < len(BASE_KINDS) else a, "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v, k == KIND_ORDER["pem"])} for a, k, b, v in base + extra_spans(text)])
     return rows | out
 
 
