@@ -122,7 +122,7 @@ def _matrix(col, dim: int) -> np.ndarray:
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.97) -> DataFrame:
     """For each row whose id is divisible by ``every``: query_id, rank, vec_id, score (cosine) of its ``k`` nearest found.
 
-    Plan: equal vectors are cut to ``k + 1`` rows before they are shuffled; the driver holds a sample of ``SAMPLE``
+    Plan: repeated rows are dropped, then equal vectors are cut to ``k + 1`` ids, both before they are shuffled too; the driver holds a sample of ``SAMPLE``
     vectors and the tree, which is broadcast and at most that large; vectors and the queries that visit a leaf are
     shuffled by leaf, in blocks of ``BLOCK`` each, and a query's best per block are merged."""
     spark = vectors.sparkSession
@@ -143,7 +143,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     shared = spark.sparkContext.broadcast(tree)
 
     order = W.partitionBy("_h", "_v").orderBy("_id")
-    distinct = read.withColumn("_h", F.xxhash64("_v")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).groupBy("_h", "_v").agg(F.sort_array(F.collect_set("_id")).alias("_ids"))
+    once = read.withColumn("_h", F.xxhash64("_v")).distinct()  # repeated rows must not crowd out other ids
+    distinct = once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).groupBy("_h", "_v").agg(F.sort_array(F.collect_set("_id")).alias("_ids"))
 
     def index(rows: dict[str, list]) -> dict[str, list]:
         at = shared.value.assign(_unit(np.array(rows["_v"], np.float64).reshape(-1, dim))) if rows["_v"] else []

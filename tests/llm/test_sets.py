@@ -184,6 +184,12 @@ def test_search_of_few(spark):
     assert [r["vec_id"] for r in vector_search.search(make([(0, [1.0, 0.0]), (3, [1.0, 0.1]), (2, [0.0, 1.0])])).orderBy("rank").collect()] == [3, 2]
 
 
+def test_repeated_rows_hide_no_neighbours(spark):
+    rows = [(0, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(1, 8)] * 2 + [(i, [2.0, -1.0 - i]) for i in range(8, 12)]
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, i) for i in range(1, 6)] and all(abs(r["score"] - 1) < 1e-12 for r in got)
+
+
 def crc(i):
     return zlib.crc32(str(i).encode())
 
