@@ -127,6 +127,30 @@ def test_graph_measures(people):
     assert X.graph_privacy(n, e, n, e).first()["score"] == 0.0
 
 
+def test_average_path_is_over_all_pairs(spark, monkeypatch):
+    joined = {(0, i) for i in range(1, 121)} | {(i, i + 1) for i in range(120, 126)} | {(300, 301)}
+    around = {}
+    for a, b in joined:
+        around.setdefault(a, []).append(b)
+        around.setdefault(b, []).append(a)
+    total, n = 0, 127
+    for s in range(n):
+        far, todo = {s: 0}, [s]
+        for x in todo:
+            for y in around[x]:
+                if y not in far:
+                    far[y] = far[x] + 1
+                    todo.append(y)
+        total += sum(far.values())
+    nodes = spark.createDataFrame([(f"n{i}",) for i in around], "id string")
+    pairs = spark.createDataFrame([tuple(sorted((f"n{a}", f"n{b}"))) for a, b in joined], "a string, b string")
+    want = total / (n * (n - 1))
+    assert X.average_path(nodes, pairs).first()[0] == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(X, "BITS", 100)
+    assert X.average_path(nodes, pairs).first()[0] == pytest.approx(want, abs=1e-12)
+    assert X.average_path(nodes.limit(0), pairs.limit(0)).first()[0] == 0.0
+
+
 def test_corruption_breaks_rules_and_keeps_degrees(people):
     n, e = people
     bad = R.violate_ontology(n, e, ONTO, 3, 0.5)
