@@ -151,6 +151,18 @@ def test_average_path_is_over_all_pairs(spark, monkeypatch):
     assert X.average_path(nodes.limit(0), pairs.limit(0)).first()[0] == 0.0
 
 
+def test_graph_utility_learns_from_shared_numbers(spark):
+    def graph(p, own):
+        node = lambda i: (f"{p}{i}", "AB"[i % 2], f'{{"the size": {i % 2 * 10 + i / 1000}, "text": "{i % 2}", "{own}": {i % 2}, "flag": {"true" if i % 2 else "false"}}}')
+        nodes = [node(i) for i in range(160)] + [(f"{p}x", "A", None), (f"{p}y", "A", "{}")]
+        return spark.createDataFrame(nodes, "id string, type string, props string"), spark.createDataFrame([(f"{p}e", "E", f"{p}x", f"{p}y", "{}")], "id string, type string, source string, target string, props string")
+
+    a, b = graph("a", "mine"), graph("b", "yours")
+    assert X.numeric_properties(a[0]) == {"the size", "mine"}
+    got = X.graph_tstr(*a, *b).first()
+    assert min(got["tstr"], got["trtr"]) > 0.9
+
+
 def test_corruption_breaks_rules_and_keeps_degrees(people):
     n, e = people
     bad = R.violate_ontology(n, e, ONTO, 3, 0.5)
