@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Elements that are boilerplate by their tag, role, class or id are left
-out. The first pass decides blocks by stop-word density, length and link density, given whether they stand in the
-page's article; the second lets each ambiguous block inherit the label of its nearest decided neighbours.
+out. The first pass decides blocks by stop-word density, length and link density; in an article that holds its part of
+the page's dense text any text counts. The second lets each ambiguous block inherit the label of its nearest decided
+neighbours.
 
 Defined results: a null or empty page, and one of boilerplate only, has an empty text of 0 characters; repeated rows are
 each extracted for themselves; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -45,6 +46,8 @@ STOP = frozenset(
     el los las y del que por con su para como más pero sus este ya o porque esta entre cuando muy sin sobre también me hasta hay""".split()
 )
 SHORT, LONG, MAX_LINKS, LOW, HIGH = 70, 200, 0.35, 0.10, 0.30
+#: Articles with less of a page's dense text are teasers.
+LEAST_DENSE = 0.3
 
 
 def _boilerplate(name: str, attrs: str, scoped: bool) -> bool:
@@ -150,18 +153,31 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
     return found
 
 
+def _stops(text: str) -> float:
+    words = text.split()
+    return sum(w.lower().strip(".,;:!?()\"'") in STOP for w in words) / max(1, len(words))
+
+
+def _holds_text(found: list[tuple[str, float, bool]], stops: list[float]) -> bool:
+    """Whether the page's articles hold enough of its dense text, or of its longer blocks if none has stop-words, to be its main text."""
+    long = [(len(text), scoped, s) for (text, links, scoped), s in zip(found, stops) if links <= MAX_LINKS and len(text) >= SHORT]
+    dense = [x for x in long if x[2] >= LOW] or long
+    return sum(n for n, scoped, _ in dense if scoped) >= LEAST_DENSE * sum(n for n, *_ in dense)
+
+
 def classify(found: list[tuple[str, float, bool]]) -> list[bool]:
     """True for blocks of the main text."""
-    has_scope = any(x[2] for x in found)
+    density = [_stops(text) for text, *_ in found]
+    has_scope = any(x[2] for x in found) and _holds_text(found, density)
+    if not has_scope:
+        found = [(text, links, False) for text, links, _ in found]
     labels: list[bool | None] = []
-    for text, links, scoped in found:
-        words = text.split()
-        stops = sum(w.lower().strip(".,;:!?()\"'") in STOP for w in words) / max(1, len(words))
+    for (text, links, scoped), stops in zip(found, density):
         if links > MAX_LINKS:
             labels.append(None if scoped and links < 1 else False)
-        elif has_scope:
+        elif scoped:
             # Inside an article any text is the article's, however few stop-words it has; short blocks ask their neighbours.
-            labels.append(False if not scoped else True if len(text) >= SHORT or stops >= LOW else None)
+            labels.append(True if len(text) >= SHORT or stops >= LOW else None)
         elif len(text) < SHORT:
             labels.append(None)
         elif stops >= HIGH:
@@ -184,7 +200,7 @@ def classify(found: list[tuple[str, float, bool]]) -> list[bool]:
         if x is not None:
             out.append(x)
             continue
-        near = [labels[j] for j in (before[i], after[i]) if j is not None and found[j][2] == found[i][2]] or ([True] if found[i][2] else [labels[j] for j in (before[i], after[i]) if j is not None])
+        near = [labels[j] for j in (before[i], after[i]) if j is not None and found[j][2] == found[i][2]] or ([False] if has_scope and not found[i][2] else []) or ([True] if found[i][2] else [labels[j] for j in (before[i], after[i]) if j is not None])
         out.append(all(near) if not found[i][2] else any(near) or len(near) == 0)
     return out
 

@@ -97,6 +97,14 @@ PAGES = [
 ]
 
 
+def test_articles_are_no_more_than_a_prior():
+    text = f"{ARTICLE} {ARTICLE} {ARTICLE}"
+    card = "<article><h3>Teaser</h3><p>Fresh bargains daily! Laptops, phones, cameras, headphones, speakers, chargers!</p></article>"
+    assert html_extract.extract(f"<div><p>{text}</p><p>{text}</p></div>{card}<div><p>{text}</p></div>") == "\n\n".join([text] * 3)
+    assert html_extract.extract(f"<article><p>{text}</p><p>Short.</p></article><p>Next.</p><div><p>{text}</p></div><p>Bye.</p>") == f"{text}\n\nShort.\n\nNext.\n\n{text}\n\nBye."
+    assert html_extract.extract(f"<p>Hello.</p><article><p>{text}</p></article><p>Bye.</p>") == text
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_pages(page, text):
     assert html_extract.extract(page or "") == text
