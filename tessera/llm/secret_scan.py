@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize
+from .shared import Lists, carried, fields, kind, map_rows, materialize, named, others
 
 # The kinds of the contract, in its order, then those that the ownership method adds.
 BASE_KINDS = ("assign", "access", "hex")
@@ -32,7 +32,8 @@ EXTRA = {
     "chat": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "payment": re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}"),
     "cloud": re.compile(r"AIza[A-Za-z0-9_-]{30,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Only at the start of a run of its letters, and without going back, so each run is read few times.
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     # The block to its END line, or if there is none before the next block, the header lines and base64 runs that follow.
     "pem": re.compile(
         r"""-----BEGIN\x20([A-Z\x20]{0,30})PRIVATE\x20KEY-----(?:(?P<whole>(?s:(?:(?!-----BEGIN\x20).)*?))-----END\x20\1PRIVATE\x20KEY-----
@@ -82,7 +83,7 @@ def _say(spans: list[tuple]) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b, *_ in spans)
 
 
-def _scan(rows: dict[str, list]) -> dict[str, list]:
+def _scan(rows: Lists) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "candidates")}
     for text in rows["_text"]:
         text = text or ""
@@ -92,16 +93,15 @@ def _scan(rows: dict[str, list]) -> dict[str, list]:
             out[name].append(kinds[i])
         out["base_sha256"].append(hashlib.sha256(_say(base).encode()).hexdigest())
         out["candidates"].append([{"at": a, "kind": k, "till": b, "own": b - len(v) if k < len(BASE_KINDS) else a, "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v, k == KIND_ORDER["pem"])} for a, k, b, v in base + extra_spans(text)])
-    return rows | out
+    return out
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None, example_owners: int, carry: tuple[str, ...] = (), with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with counts and digest in the shared folder, candidates with their verdicts)."""
-    owner = F.col(owner_col) if owner_col else F.substring_index(F.col(repo_col), "/", 1)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), F.col(repo_col).cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)]).withColumn("_row", F.monotonically_increasing_id())
-    schema = f"_row long, _doc {kinds[id_col]}, _text string, _repo string, _owner string, " + "".join(f"_c_{i} {kinds[c]}, " for i, c in enumerate(carry))
-    scanned = map_rows(read, _scan, schema + "n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<at:int,kind:int,till:int,own:int,value:binary,live:boolean>>")
+    owner = named(owner_col) if owner_col else F.substring_index(named(repo_col), "/", 1)
+    extra, types = carried(docs, carry)
+    read = docs.select(named(id_col).alias("_doc"), named(text_col).cast("string").alias("_text"), named(repo_col).cast("string").alias("_repo"), owner.cast("string").alias("_owner"), *extra).withColumn("_row", F.monotonically_increasing_id())
+    scanned = map_rows(read, _scan, fields("_row long", ("_doc", kind(docs, id_col)), "_text string, _repo string, _owner string", *types, "n_assign long, n_access long, n_hex long, base_sha256 string, candidates array<struct<at:int,kind:int,till:int,own:int,value:binary,live:boolean>>"))
     found = materialize(scanned if with_text else scanned.drop("_text"), "secrets")
     each = found.where(F.size("candidates") > 0).select("_row", "_repo", "_owner", F.explode("candidates").alias("c")).select("_row", "_repo", "_owner", "c.*")
     owners = (
@@ -138,13 +138,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None, example_owners: int = 3, mask: str = "[SECRET]") -> DataFrame:
     """All rows of ``docs`` with the values of live-looking credentials masked; a column ``n_chars`` follows the text."""
-    names = tuple(docs.columns)
-    carry = tuple(c for c in names if c != text_col)
+    carry = others(docs, text_col)
     found, judged = _judged(docs, id_col, text_col, repo_col, owner_col, example_owners, carry, True)
     spans = judged.where("live").groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("own", "till"))).alias("_live"))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    def blank(rows: dict[str, list]) -> dict[str, list]:
+    def blank(rows: Lists) -> dict[str, list]:
         texts = []
         for text, live in zip(rows["_text"], rows["_live"]):
             out, at = [], 0
@@ -153,13 +151,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
                     out += [text[at:a], mask]
                 at = max(at, b)
             texts.append("".join(out) + text[at:] if live else text)
-        return {k: v for k, v in rows.items() if k != "_live"} | {"_text": texts}
+        return {"_text": texts}
 
-    schema = "_text string" + "".join(f", _c_{i} {kinds[c]}" for i, c in enumerate(carry))
-    cols = ["_text", *[f"_c_{i}" for i in range(len(carry))]]
+    types = carried(docs, carry)[1]
+    cols = ["_text", *[name for name, _ in types]]
     full = found.join(spans, "_row", "left")
-    masked = map_rows(full.where(F.col("_live").isNotNull()).select(*cols, "_live"), blank, schema)
+    masked = map_rows(full.where(F.col("_live").isNotNull()).select(*cols, "_live"), blank, fields("_text string", *types))
     if "n_chars" in carry:
-        masked = masked.withColumn(f"_c_{carry.index('n_chars')}", F.length("_text").cast(kinds["n_chars"]))
-    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)} | {text_col: F.col("_text")}
-    return full.where(F.col("_live").isNull()).select(*cols).union(masked).select(*[own[c].alias(c) for c in names])
+        name, kept_as = types[carry.index("n_chars")]
+        masked = masked.withColumn(name, F.length("_text").cast(kept_as))
+    own = dict(zip(carry, (F.col(name) for name, _ in types)))
+    return full.where(F.col("_live").isNull()).select(*cols).union(masked).select(*[own.get(c, F.col("_text")).alias(c) for c in docs.columns])
