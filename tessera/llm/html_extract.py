@@ -1,26 +1,30 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Elements that are boilerplate by their tag, role, class or id are left
-out. The first pass decides blocks by stop-word density, length and link density; in an article that holds its part of
-the page's dense text any text counts. The second lets each ambiguous block inherit the label of its nearest decided
-neighbours.
+out. The first pass scores each block by stop-word density, length and link density, with a prior for blocks of an
+article that holds its part of the page's dense text, and decides those with clear scores; short ones outside of articles
+stay ambiguous. The second lets each ambiguous block inherit the labels of its nearest decided neighbours.
 
 Defined results: a null or empty page, and one of boilerplate only, has an empty text of 0 characters; repeated rows are
 each extracted for themselves; an empty table gives an empty result; other columns are ignored, whatever their names.
-Unclosed comments, scripts and tags run to the end of what encloses them.
+Unclosed comments and scripts run to the end of the page, unclosed elements to the end of what encloses them, and a tag
+that never ends is the page's end. Elements more than 256 deep count as text of the one they stand in. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import map_rows, text_or_empty
+from .shared import Lists, fields, kind, map_rows, named, text_or_empty
 
-TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*>|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^'">]++|"[^"]*+"|'[^']*+')*+|[^>]*+)>)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+SPECIAL = re.compile(r"[>\"']")
+DEPTH = 256
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 # Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +49,9 @@ STOP = frozenset(
     der die das und den von zu mit sich des auf ist im dem nicht ein eine als auch es werden aus er hat dass sie nach bei einer um am sind noch wie
     el los las y del que por con su para como más pero sus este ya o porque esta entre cuando muy sin sobre también me hasta hay""".split()
 )
-SHORT, LONG, MAX_LINKS, LOW, HIGH = 70, 200, 0.35, 0.10, 0.30
+SHORT, MAX_LINKS, LOW, HIGH = 70, 0.35, 0.10, 0.30
+#: Scores from which a block is text, and up to which it is none.
+GOOD, BAD = 1.0, -0.5
 #: Articles with less of a page's dense text are teasers.
 LEAST_DENSE = 0.3
 
@@ -70,12 +76,54 @@ def _boilerplate(name: str, attrs: str, scoped: bool) -> bool:
     return False
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside of quotes, or the first of all if a quote is never closed.
+
+    Each quote's partner, and with it the end of all tags that come by it, is looked up once, whatever number of tags do."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.first, self.last = -1, max(map(page.rfind, ">\"'"))
+        self.plain = -1
+
+    def __call__(self, at: int) -> int:
+        """For positions in rising order; -1 if there is no ``>`` any more."""
+        page, path = self.page, []
+        if self.plain < at:
+            self.plain = page.find(">", at)
+            if self.plain < 0:
+                self.plain = len(page)
+        if self.plain == len(page):
+            return -1
+        if self.first < at:
+            self.first = SPECIAL.search(page, at).start()
+        p, out = self.first, -1
+        while True:
+            if p in self.known:
+                out = self.known[p]
+                break
+            path.append(p)
+            if page[p] == ">":
+                out = p
+                break
+            q = page.find(page[p], p + 1)
+            if q < 0 or q >= self.last:
+                break
+            p = SPECIAL.search(page, q + 1).start()
+        for p in path:
+            self.known[p] = out
+        return out if out >= 0 else self.plain
+
+
 def blocks(page: str) -> list[tuple[str, float, bool]]:
     """(text, share of its characters in links, whether in an article) of each block outside boilerplate, in page order."""
     found: list[tuple[str, float, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate so far, in an article
+    opened: Counter[str] = Counter()
+    deeper: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, breaks, at, size = 0, 0, 0, 0, len(page)
+    linked, in_link, breaks, at, look, size = 0, 0, 0, 0, 0, len(page)
+    end_of = TagEnds(page)
 
     def flush() -> None:
         nonlocal linked, breaks
@@ -95,29 +143,47 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
             if breaks and not raw.isspace():
                 breaks = 0
 
+    def close(i: int) -> None:
+        for name, *_ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
+
     while at < size:
-        m = TAG.search(page, at)
-        if not m:
-            if (cut := page.find("<", at)) >= 0 and re.match(r"</?[a-zA-Z]", page[cut : cut + 3]):
-                say(page[at:cut])  # a tag that never ends
-            else:
-                say(page[at:])
+        start = page.find("<", look)
+        if start < 0:
+            say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
+        if page.startswith("<!--", start):
+            say(page[at:start])
+            end = page.find("-->", start + 4)
+            at = look = end + 3 if end >= 0 else size
             continue
-        if m["end"]:
+        tag = NAME.match(page, start + 1)
+        if not tag and page[start + 1 : start + 2] not in ("!", "?"):
+            look = start + 1  # a character of the text
+            continue
+        end = end_of(tag.end()) if tag else page.find(">", start)
+        say(page[at:start])
+        if end < 0:
+            break
+        at = look = end + 1
+        if not tag:
+            continue
+        name, attrs = tag[2].lower(), page[tag.end() : end]
+        if tag[1]:
             if name in BLOCK:
                 flush()
             if name == "a":
                 in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in BLOCK or not any(x[0] in BLOCK for x in stack[i + 1 :]):
-                        del stack[i:]
-                    break
+            if deeper[name]:
+                deeper[name] -= 1
+            elif opened[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        close(i)
+                        break
+                    if stack[i][0] in BLOCK and name not in BLOCK:
+                        break
             continue
         if name == "br":
             breaks += 1
@@ -128,27 +194,31 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = look = end.end() if end else size
             continue
         if name in BLOCK:
             flush()
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
+            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None) if opened["p"] else None
             if inner is not None and stack[inner][0] == "p":
-                del stack[inner:]  # a block ends an open paragraph and what is open in it
-            if name in ENDS:
+                close(inner)  # a block ends an open paragraph and what is open in it
+            if name in ENDS and any(opened[x] for x in ENDS[name][0]):
                 ended, within = ENDS[name]
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in within:
                         break
                     if stack[i][0] in ended:
-                        del stack[i:]
+                        close(i)
                         break
-        if name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
+        if name in VOID or attrs.endswith("/") and name not in BLOCK:
+            continue
+        if len(stack) == DEPTH:
+            deeper[name] += 1
             continue
         dropped, scoped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if name == "a" and not dropped:
             in_link = 1
-        stack.append((name, dropped or _boilerplate(name, m["attrs"], scoped), scoped or name in SCOPE and not dropped))
+        stack.append((name, dropped or _boilerplate(name, attrs, scoped), scoped or name in SCOPE and not dropped))
+        opened[name] += 1
     flush()
     return found
 
@@ -165,44 +235,38 @@ def _holds_text(found: list[tuple[str, float, bool]], stops: list[float]) -> boo
     return sum(n for n, scoped, _ in dense if scoped) >= LEAST_DENSE * sum(n for n, *_ in dense)
 
 
+def score(text: str, links: float, stops: float, prior: float) -> float:
+    """How much a block looks like text: stop-word density and length against links, on top of what its place says."""
+    dense = min(1.0, (stops - LOW) / (HIGH - LOW)) if stops >= LOW else 2 * (stops - LOW) / LOW
+    length = max(-1.0, min(1.5, math.log2(len(text) / SHORT)))
+    return dense + length + prior - 8 * max(0.0, links - MAX_LINKS)
+
+
 def classify(found: list[tuple[str, float, bool]]) -> list[bool]:
     """True for blocks of the main text."""
     density = [_stops(text) for text, *_ in found]
     has_scope = any(x[2] for x in found) and _holds_text(found, density)
-    if not has_scope:
-        found = [(text, links, False) for text, links, _ in found]
+    inside = [has_scope and scoped for *_, scoped in found]
+    scores = [score(text, links, stops, 2.0 * own) for (text, links, _), stops, own in zip(found, density, inside)]
     labels: list[bool | None] = []
-    for (text, links, scoped), stops in zip(found, density):
-        if links > MAX_LINKS:
-            labels.append(None if scoped and links < 1 else False)
-        elif scoped:
-            # Inside an article any text is the article's, however few stop-words it has; short blocks ask their neighbours.
-            labels.append(True if len(text) >= SHORT or stops >= LOW else None)
-        elif len(text) < SHORT:
-            labels.append(None)
-        elif stops >= HIGH:
-            labels.append(True if len(text) > LONG else None)
+    for (text, links, _), own, x in zip(found, inside, scores):
+        short = len(text) < SHORT
+        if links > MAX_LINKS and not own or x <= BAD and (links > MAX_LINKS or not short):
+            labels.append(False)
         else:
-            labels.append(None if stops >= LOW and len(text) <= LONG else stops >= LOW)
-    decided = [i for i, x in enumerate(labels) if x is not None]
-    if not decided:  # nothing to inherit: what stands in an article, or else any text that isn't links, is the text
-        return [scoped if has_scope else links <= MAX_LINKS for _, links, scoped in found]
-    before, after, last = [], [None] * len(found), None
-    for i, x in enumerate(labels):
-        last = i if x is not None else last
-        before.append(last)
-    last = None
-    for i in range(len(labels) - 1, -1, -1):
-        last = i if labels[i] is not None else last
-        after[i] = last
-    out = []
-    for i, x in enumerate(labels):
-        if x is not None:
-            out.append(x)
-            continue
-        near = [labels[j] for j in (before[i], after[i]) if j is not None and found[j][2] == found[i][2]] or ([False] if has_scope and not found[i][2] else []) or ([True] if found[i][2] else [labels[j] for j in (before[i], after[i]) if j is not None])
-        out.append(all(near) if not found[i][2] else any(near) or len(near) == 0)
-    return out
+            labels.append(True if x >= GOOD and (own or not short) else None)
+    if all(x is None for x in labels) and not has_scope:  # nothing to inherit
+        return [True] * len(found)
+    near: list[list[bool]] = [[] for _ in found]
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[bool, bool] = {}  # the nearest decided label, in and outside of articles
+        for i in order:
+            if labels[i] is not None:
+                last[inside[i]] = labels[i]
+            elif inside[i] in last:
+                near[i].append(last[inside[i]])
+    votes = (sum(1 if y else -1 for y in ys) + (1.0 if own else -0.5) + max(-0.4, min(0.4, x)) for ys, own, x in zip(near, inside, scores))
+    return [vote > 0 if x is None else x for x, vote in zip(labels, votes)]
 
 
 def extract(page: str) -> str:
@@ -210,13 +274,12 @@ def extract(page: str) -> str:
     return "\n\n".join(x[0] for x, kept in zip(found, classify(found)) if kept)
 
 
-def _extract(rows: dict[str, list]) -> dict[str, list]:
+def _extract(rows: Lists) -> dict[str, list]:
     texts = [extract(x) for x in rows["_html"]]
-    return {"page_id": rows["_id"], "url": rows["_url"], "text": texts, "n_chars": [len(x) for x in texts]}
+    return {"text": texts, "n_chars": [len(x) for x in texts]}
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page. No shuffle: each page stands alone."""
-    id_type = pages.schema[id_col].dataType.simpleString()
-    read = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), text_or_empty(html_col).alias("_html"))
-    return map_rows(read, _extract, f"page_id {id_type}, url string, text string, n_chars long")
+    read = pages.select(named(id_col).alias("page_id"), named(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("_html"))
+    return map_rows(read, _extract, fields(("page_id", kind(pages, id_col)), "url string, text string, n_chars long"))
