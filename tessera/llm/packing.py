@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize, text_or_empty
+from .shared import Lists, fields, kind, map_rows, materialize, named, text_or_empty
 
 DIMS, GRID_BITS = 4, 12
 #: Ids of a range partition: 8 MB, more only if there would be over MAX_PARTS partitions.
@@ -43,7 +43,8 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary.
 
     The rank file of the same vocabulary is several times as fast as the tokenizer file and gives its ids, for all
-    characters that both libraries class alike; texts with any other character go to the tokenizer file itself."""
+    characters that both libraries class alike; texts with any other character, and those that spell one of the
+    tokenizer file's added tokens, which the rank file does not know, go to the tokenizer file itself."""
 
     def __init__(self, vocabulary: str, odd: frozenset[str] = frozenset()):
         self.vocabulary, self.fast = vocabulary, None
@@ -56,18 +57,17 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.odd = odd
+        self.added = [x.content for x in self.slow.get_added_tokens_decoder().values()] if self.fast else []
 
     @cached_property
     def slow(self):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        found = Tokenizer.from_file(_file(self.vocabulary))
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(_file(self.vocabulary))
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and (not self.odd or self.odd.isdisjoint(text)):
+        if self.fast is not None and not any(x in text for x in self.added) and (not self.odd or self.odd.isdisjoint(text)):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -150,15 +150,14 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
     """In the shared folder: row, id, number of ids, curve key and the ids, two bytes each if the vocabulary allows it."""
     odd, size = odd_characters(vocabulary)
 
-    def run(rows: dict[str, list]) -> dict[str, list]:
+    def run(rows: Lists) -> dict[str, list]:
         encoder = _encoder(vocabulary, odd)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         ids = [np.array([*encoder.ids(x), end_id], kind) for x in rows["_text"]]
-        return {"_row": rows["_row"], "_doc": rows["_doc"], "_n": [len(x) for x in ids], "_wide": [x.itemsize for x in ids], "_key": curve_keys(ids, size), "_ids": [x.tobytes() for x in ids]}
+        return {"_n": [len(x) for x in ids], "_wide": [x.itemsize for x in ids], "_key": curve_keys(ids, size), "_ids": [x.tobytes() for x in ids]}
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    return materialize(map_rows(read, run, f"_row long, _doc {id_type}, _n long, _wide int, _key long, _ids binary"), "tokens")
+    read = docs.select(named(id_col).alias("_doc"), text_or_empty(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    return materialize(map_rows(read, run, fields("_row long", ("_doc", kind(docs, id_col)), "_n long, _wide int, _key long, _ids binary")), "tokens")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, length: int = 1024) -> DataFrame:
@@ -170,7 +169,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     total = tokens.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     parts = max(1, min(MAX_PARTS, -(-total // PART_TOKENS)))
     order = ["_key", "_doc", "_row"]
-    kinds = pa.schema([("doc_id", _arrow(docs.schema[id_col].dataType)), *[(c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], ("ids", pa.binary())])
+    id_type = kind(docs, id_col)
+    kinds = pa.schema([("doc_id", _arrow(id_type)), *[(c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")], ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, at = TaskContext.get().partitionId() << 40, 0
@@ -188,12 +188,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                         at += take
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     ranged = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("_doc", "_n", "_wide", "_ids")
-    return ranged.mapInArrow(cut, f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return ranged.mapInArrow(cut, fields(("doc_id", id_type), "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"))
 
 
-def _arrow(kind) -> pa.DataType:
+def _arrow(of) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(kind)
+    return to_arrow_type(of)
