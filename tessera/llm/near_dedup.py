@@ -7,9 +7,13 @@
    batches of 32 hashes, and dropped as soon as the posterior chance of a similarity of 0.75 or more, under a uniform
    prior, is below ``miss``. Survivors are verified on their full shingle sets, and links are joined to components.
 4. Members of a bucket that are still in different components are compared in blocks by the same posterior bounds, so no
-   link between different texts is lost to the pivots; in large buckets the batches go on over 1024 more hashes, so that
-   only pairs near the threshold are left. Of the survivors, the best few of each two components are verified
-   first; a link joins the components, and the other pairs of the two need no look. Later rounds take the rest.
+   link between different texts is lost to the pivots; the batches go on over 1024 more hashes, so that only pairs near
+   the threshold are left. A bucket's largest component has blocks of its own, which meet those of other members only.
+   Of the survivors, the best few of each two components are verified first; a link joins the components, and the other
+   pairs of the two need no look. Later rounds take the rest.
+
+A pair that is verified passes 4 batches, and one of step 4 twelve. ``loss`` sums the chances to fall out on the way: for a
+similarity of 0.75 exactly, where it is largest, less than 1 in 140,000 pairs.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows that repeat a doc_id are linked
 by their texts as any others; a null doc_id never is a component's smallest, and a component of null ids only has a null
@@ -29,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, map_rows, materialize, text_or_empty
+from .shared import Lists, carried, discard, fields, kind, map_rows, materialize, named, others, text_or_empty
 
 HASHES, BANDS, ROWS, BATCH, SHINGLE = 128, 32, 4, 32, 5
 #: Classes whose texts are looked up by a broadcast of their row numbers; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
-#: Buckets of more members compare 1024 further hashes, of which 16 bits are kept, in batches of 128.
-LARGE, WIDE, WIDE_BATCH = 64, 1024, 128
+BLOCK = 4096
+#: Further hashes of the members of open buckets, in batches; of each 8 bits are kept, which may only make pairs look more alike.
+WIDE, WIDE_BATCH = 1024, 128
 #: Plausible pairs of two components, by rank in a block, up to which each round verifies; the last takes all.
 RANKS = (8, 256, 1 << 62)
 _A = np.random.RandomState(20_011).randint(1, 2**63 - 1, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,7 +93,7 @@ def wide_signature(keys: np.ndarray) -> np.ndarray:
     low = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(keys), 64):
         np.minimum(low, (keys[at : at + 64, None] * _WIDE).min(axis=0), out=low)
-    return (low >> np.uint64(48)).astype("<u2")
+    return (low >> np.uint64(56)).astype("u1")
 
 
 @lru_cache(maxsize=8)
@@ -117,7 +121,14 @@ def plausible(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np
     return alive
 
 
-def _sketch(rows: dict[str, list]) -> dict[str, list]:
+def loss(similarity: float = 0.75, threshold: float = 0.75, miss: float = 1e-7) -> float:
+    """Upper bound on the chance that a pair of this similarity is lost: by sharing no band, or below a batch's bound."""
+    below = lambda n, least: sum(math.exp(math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1) + m * math.log(similarity) + (n - m) * math.log1p(-similarity)) for m in range(least))
+    ends = (*range(BATCH, HASHES + 1, BATCH), *range(HASHES + WIDE_BATCH, HASHES + WIDE + 1, WIDE_BATCH))
+    return (1 - similarity**ROWS) ** BANDS + sum(map(below, ends, least_matches(threshold, miss, ends)))
+
+
+def _sketch(rows: Lists) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("_class", "_n", "_sig")}
     for text in rows["_text"]:
         words = words_of(text)
@@ -125,7 +136,7 @@ def _sketch(rows: dict[str, list]) -> dict[str, list]:
         out["_class"].append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
         out["_n"].append(len(keys))
         out["_sig"].append(signature(keys).tobytes() if words else None)
-    return {k: v for k, v in rows.items()} | out
+    return out
 
 
 def _matrix(sigs: list[bytes]) -> np.ndarray:
@@ -142,7 +153,7 @@ def _bands(sigs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _buckets(rows: dict[str, list]) -> dict[str, list]:
+def _buckets(rows: Lists) -> dict[str, list]:
     return {"_rid": np.repeat(np.array(rows["_rid"], np.int64), BANDS), "_bucket": _bands(_matrix(rows["_sig"])).ravel()}
 
 
@@ -153,7 +164,7 @@ def _explode_buckets(classes: DataFrame) -> DataFrame:
 def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float) -> DataFrame:
     side = lambda x: classes.select(F.col("_rid").alias(f"_{x}"), F.col("_sig").alias(f"_sig_{x}"))
 
-    def check(rows: dict[str, list]) -> dict[str, list]:
+    def check(rows: Lists) -> dict[str, list]:
         at = plausible(_matrix(rows["_sig_a"]), _matrix(rows["_sig_b"]), threshold, miss) if rows["_a"] else []
         return {k: [rows[k][i] for i in at] for k in ("_a", "_b")}
 
@@ -167,13 +178,13 @@ def _verify(pairs: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
     few = wanted.count() <= BROADCAST_ROWS
     texts = base.select("_row", "_text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
 
-    def make(rows: dict[str, list]) -> dict[str, list]:
-        return {"_row": rows["_row"], "_set": [shingles(words_of(x)).tobytes() for x in rows["_text"]]}
+    def make(rows: Lists) -> dict[str, list]:
+        return {"_set": [shingles(words_of(x)).tobytes() for x in rows["_text"]]}
 
     sets = materialize(map_rows(texts, make, "_row long, _set binary"), "sets")
     side = lambda x: sets.select(F.col("_row").alias(f"_{x}"), F.col("_set").alias(f"_set_{x}"))
 
-    def check(rows: dict[str, list]) -> dict[str, list]:
+    def check(rows: Lists) -> dict[str, list]:
         out: dict[str, list] = {"_a": [], "_b": []}
         for a, b, x, y in zip(rows["_a"], rows["_b"], rows["_set_a"], rows["_set_b"]):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -208,19 +219,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _named(buckets: DataFrame, names: DataFrame) -> DataFrame:
-    """Bucket rows with components, of buckets that hold several, and the buckets' sizes."""
+    """Rows of buckets that hold several components and more than two members, with the bucket's largest component and its members in and outside of that."""
     named = buckets.join(names, "_rid", "left").withColumn("_comp", F.coalesce("_comp", "_rid"))
-    open_ = named.groupBy("_bucket").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.count("*").alias("_size")).where("lo <> hi and _size > 2").select("_bucket", "_size")
-    return named.join(open_, "_bucket")
+    sizes = named.groupBy("_bucket", "_comp").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("_bucket").agg(F.max(F.struct("n", "_comp")).alias("top"), F.sum("n").alias("all")).where("top.n < all and all > 2")
+    return named.join(open_.select("_bucket", F.col("top._comp").alias("_top"), F.col("top.n").alias("_n_top"), (F.col("all") - F.col("top.n")).alias("_n_rest")), "_bucket")
 
 
 def _wide(buckets: DataFrame, names: DataFrame, base: DataFrame) -> DataFrame:
-    """(_rid, _more): the further hashes of the members of large buckets that hold several components."""
-    wanted = materialize(_named(buckets, names).where(F.col("_size") > LARGE).select(F.col("_rid").alias("_row")).distinct(), "wanted", narrow=True)
+    """(_rid, _more): the further hashes of the members of buckets that hold several components."""
+    wanted = materialize(_named(buckets, names).select(F.col("_rid").alias("_row")).distinct(), "wanted", narrow=True)
     few = wanted.count() <= BROADCAST_ROWS
     texts = base.select("_row", "_text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
 
-    def make(rows: dict[str, list]) -> dict[str, list]:
+    def make(rows: Lists) -> dict[str, list]:
         return {"_rid": rows["_row"], "_more": [wide_signature(shingles(words_of(x))).tobytes() for x in rows["_text"]]}
 
     made = materialize(map_rows(texts, make, "_rid long, _more binary"), "wide")
@@ -234,13 +246,17 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: Da
 
     Components only merge from round to round, and the best of merged lists are among the best of each, so the ranks
     below those of this round are done."""
-    rows = _named(buckets, names).withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_rid"), F.col("_blocks")).cast("int"))
-    rows = rows.join(classes.select("_rid", "_sig"), "_rid").join(wide, "_rid", "left").withColumn("_more", F.when(F.col("_size") > LARGE, F.col("_more"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = _named(buckets, names).withColumn("_in", F.col("_comp") == F.col("_top"))
+    rows = rows.withColumn("_tops", F.ceil(F.col("_n_top") / BLOCK).cast("int")).withColumn("_rests", F.ceil(F.col("_n_rest") / BLOCK).cast("int"))
+    place = lambda n: F.pmod(F.xxhash64("_rid"), n).cast("int")
+    rows = rows.withColumn("_own", F.when(F.col("_in"), place(F.col("_tops"))).otherwise(F.col("_tops") + place(F.col("_rests"))))
+    # The largest component's blocks meet the others' only: within it there is nothing to find.
+    rows = rows.join(classes.select("_rid", "_sig"), "_rid").join(wide, "_rid").withColumn("_other", F.explode(F.sequence(F.when(F.col("_in"), F.col("_tops")).otherwise(F.lit(0)), F.col("_tops") + F.col("_rests") - 1)))
     rows = rows.select("_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_rid", "_comp", "_sig", "_more")
     least, (low, high) = least_matches(threshold, miss), ranks
     least_wide = least_matches(threshold, miss, tuple(range(HASHES + WIDE_BATCH, HASHES + WIDE + 1, WIDE_BATCH)))
 
-    def compare(bucket: int, own: np.ndarray, rid: np.ndarray, comp: np.ndarray, sig: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def compare(bucket: int, own: np.ndarray, rid: np.ndarray, comp: np.ndarray, sig: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(own == own.min())
         alone = own.min() == own.max()
         right = left if alone else np.flatnonzero(own != own.min())
@@ -258,7 +274,7 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: Da
             if len(at):
                 own_band = (sig[at] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
                 at, equal = at[own_band], equal[own_band]
-            for k, m in enumerate(least_wide if more is not None else ()):
+            for k, m in enumerate(least_wide):
                 if not len(at):
                     break
                 part = slice(k * WIDE_BATCH, (k + 1) * WIDE_BATCH)
@@ -288,7 +304,7 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: Da
             for lo, hi in zip(edge, edge[1:]):
                 g = kept.iloc[lo:hi]
                 if g["_comp"].nunique() > 1 and (g["_i"].iat[0] == g["_j"].iat[0] or g["_own"].nunique() > 1):
-                    more = None if g["_more"].isna().any() else np.frombuffer(b"".join(g["_more"]), "<u2").reshape(len(g), WIDE)
+                    more = np.frombuffer(b"".join(g["_more"]), "u1").reshape(len(g), WIDE)
                     out.append(compare(int(g["_bucket"].iat[0]), g["_own"].to_numpy(), g["_rid"].to_numpy(), g["_comp"].to_numpy(), _matrix(list(g["_sig"])), more))
             kept = kept.iloc[edge[-1] :]
             if out:
@@ -301,13 +317,12 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: Da
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs`` in the shared folder: number, id, text, carried columns, class, set size, signature."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    read = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), F.col(text_col).isNull().alias("_null"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)]).withColumn("_row", F.monotonically_increasing_id())
-    schema = f"_doc {kinds[id_col]}, _text string, _null boolean, " + "".join(f"_c_{i} {kinds[c]}, " for i, c in enumerate(carry)) + "_row long, _class binary, _n long, _sig binary"
-    return materialize(map_rows(read, _sketch, schema), "sketch")
+    extra, types = carried(docs, carry)
+    read = docs.select(named(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"), named(text_col).isNull().alias("_null"), *extra).withColumn("_row", F.monotonically_increasing_id())
+    return materialize(map_rows(read, _sketch, fields(("_doc", kind(docs, id_col)), "_text string, _null boolean", *types, "_row long, _class binary, _n long, _sig binary")), "sketch")
 
 
-def group(base: DataFrame, threshold: int = 75, miss: float = 1e-6) -> DataFrame:
+def group(base: DataFrame, threshold: int = 75, miss: float = 1e-7) -> DataFrame:
     """``base``, as ``sketch`` makes it, with ``_component``: the smallest id that a row's text is linked with, directly or not, and ``_first``: the component's least row that has this id."""
     share = threshold / 100
     known = base.where(F.col("_class").isNotNull())
@@ -338,7 +353,7 @@ def group(base: DataFrame, threshold: int = 75, miss: float = 1e-6) -> DataFrame
     return out.withColumn("_component", F.when(alone, F.col("_doc")).otherwise(F.col("_cid"))).withColumn("_first", alone | (F.col("_row") == F.col("_crow"))).drop("_cid", "_crow")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, miss: float = 1e-7) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     The largest things that move are signatures of 512 bytes a distinct text and 32 bucket rows of 16; texts stay where
@@ -347,10 +362,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("_doc").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_doc").eqNullSafe(F.col("_component")).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, miss: float = 1e-6) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, miss: float = 1e-7) -> DataFrame:
     """The rows of ``docs`` with one of each group: the one of smallest id, the first such row if ids repeat."""
-    names = tuple(docs.columns)
-    carry = tuple(c for c in names if c != text_col)
+    carry = others(docs, text_col)
     found = group(sketch(docs, id_col, text_col, carry), threshold, miss).where("_first")
-    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)} | {text_col: F.when(~F.col("_null"), F.col("_text"))}
-    return found.select(*[own[c].alias(c) for c in names])
+    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)}
+    return found.select(*[own.get(c, F.when(~F.col("_null"), F.col("_text"))).alias(c) for c in docs.columns])
