@@ -13,11 +13,13 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, remainder, text_or_empty
+from .shared import Lists, discard, fields, kind, map_rows, materialize, named, remainder, text_or_empty
 
 BITS = 18
 _P = np.uint32(0x9E3779B1)
@@ -129,35 +131,38 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, sample: int) -> Model:
-    """Fit on about ``sample`` labelled rows outside the held-out fold, chosen by a hash of the id."""
-    usable = labels.where((remainder(id_col, folds) != held) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_y"))
-    n = usable.count()
-    chosen = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, n))))).select(F.col(id_col).alias("_id"), "_y")
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("_doc"), "_y", text_or_empty(text_col).alias("_text"))
-
-    def run(part: dict[str, list]) -> dict[str, list]:
+    """Fit on about ``sample`` labelled texts outside the held-out fold, chosen by a hash of the id; where ids repeat with
+    several texts, by a hash of both, so that no more come to the driver then."""
+    usable = labels.select(named(id_col).alias("_id"), named(label_col).alias("_label"), remainder(id_col, folds).alias("_fold"))
+    usable = usable.where((F.col("_fold") != held) & F.col("_label").isNotNull()).groupBy("_id").agg(F.min("_label").cast("int").alias("_y"))
+    among = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, sample / max(1, n))))
+    chosen = usable.where(among(usable.count(), "_id"))
+    read = docs.select(named(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    rows = materialize(read.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_text").distinct(), "labelled")
+
+    def run(part: Lists) -> dict[str, list]:
         made = [features(x) for x in part["_text"]]
-        return {"_doc": part["_doc"], "_y": part["_y"], "_grams": [a.astype("<i4").tobytes() for a, _ in made], "_rest": [b.astype("<i4").tobytes() for _, b in made]}
+        return {"_grams": [a.astype("<i4").tobytes() for a, _ in made], "_rest": [b.astype("<i4").tobytes() for _, b in made]}
 
-    id_type = labels.schema[id_col].dataType.simpleString()
-    got = map_rows(rows, run, f"_doc {id_type}, _y int, _grams binary, _rest binary").toArrow().to_pydict()
+    some = rows.where(among(rows.count(), F.lit(1), "_doc", "_text"))
+    got = map_rows(some, run, fields(("_doc", kind(rows, "_doc")), "_y int, _grams binary, _rest binary")).toArrow().to_pydict()
+    discard(rows)
     order = sorted(range(len(got["_y"])), key=lambda i: (got["_doc"][i], got["_grams"][i], got["_rest"][i]))
-    read = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
-    return Model([vector(read(got["_grams"][i]), read(got["_rest"][i])) for i in order], np.array([int(got["_y"][i] > 0) for i in order], np.int64))
+    read_ids = lambda x: np.frombuffer(x, "<i4").astype(np.int64)
+    return Model([vector(read_ids(got["_grams"][i]), read_ids(got["_rest"][i])) for i in order], np.array([int(got["_y"][i] > 0) for i in order], np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 6000, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, held_out (``crc32(id) mod folds = held``), score, predicted.
 
-    Plan: the sampled ids, at most a few thousand, are broadcast to find their texts; then one scan scores every text
-    against the broadcast weights, which have 4 MB whatever the input."""
+    Plan: the sampled ids, about ``sample``, are broadcast to find their texts, of which as many are fitted; then one scan
+    scores every text against the broadcast weights, which have 4 MB whatever the input."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, folds, held, sample))
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(part: dict[str, list]) -> dict[str, list]:
+    def run(part: Lists) -> dict[str, list]:
         scores = [model.value.score(x) for x in part["_text"]]
-        return {"doc_id": part["_doc"], "held_out": part["_held"], "score": scores, "predicted": [int(x >= threshold) for x in scores]}
+        return {"score": scores, "predicted": [int(x >= threshold) for x in scores]}
 
-    read = docs.select(F.col(id_col).alias("_doc"), F.coalesce(remainder(id_col, folds) == held, F.lit(False)).alias("_held"), text_or_empty(text_col).alias("_text"))
-    return map_rows(read, run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    read = docs.select(named(id_col).alias("doc_id"), F.coalesce(remainder(id_col, folds) == held, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("_text"))
+    return map_rows(read, run, fields(("doc_id", kind(docs, id_col)), "held_out boolean, score double, predicted int"))
