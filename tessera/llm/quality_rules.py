@@ -1,15 +1,16 @@
 """Quality rules: the contract's base counts, and robust multivariate outliers by minimum covariance determinant.
 
-Every document gives a vector of transformed statistics. For each language and source a robust centre and scatter are
-found by concentration steps over all rows: from a median start, keep the half of the rows that are nearest by
-Mahalanobis distance, take their mean and covariance, and repeat until the determinant, which falls with each step,
-stops falling. Rows tied at the edge of the half enter by the share that fills it. Rows whose final distance is beyond
-the cutoff are rejected.
+Every document gives a vector of transformed statistics. For each language and source, and for each language, a robust
+centre and scatter are found by concentration steps over all rows: keep the half of the rows that are nearest by
+Mahalanobis distance, take their mean and covariance, and repeat until the determinant, which falls with each step, stops
+falling. Two steps are made from each of several starts, and the one of least determinant goes on. Rows tied at the edge
+of the half enter by the share that fills it. A factor makes the covariance of the half that of all rows, if they are
+normal. A language and source is judged by its own estimates and those of its language, mixed by its number of rows
+against ``prior`` ones. Rows whose distance is beyond the cutoff are rejected.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null language or source is a
-group of its own; a group of fewer than ``least`` rows that pass the base rules is judged by the estimates of all rows
-of its language, however few; repeated rows are judged each for itself; an empty table gives an empty result; other
-columns of the input are ignored, whatever their names.
+group of its own; a group of which no row passes the base rules needs no estimates; repeated rows are judged each for
+itself; an empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize
+from .shared import Lists, carried, fields, kind, map_rows, materialize, named, others
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -33,6 +34,9 @@ STATS = {"word_length": 0.25, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.2
 
 #: A determinant that falls by no larger share of itself has stopped falling.
 FALL = 1e-4
+#: Concentration steps that are made from each start.
+TRIAL_STEPS = 2
+Params = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
 def n_repeat_words(words: list[bytes]) -> int:
@@ -79,9 +83,9 @@ def measure(text: str) -> tuple[tuple[int, ...], tuple[float, ...]]:
     return (n, chars, symbols, dups, repeats), tuple(map(float, stats))
 
 
-def _measure(rows: dict[str, list]) -> dict[str, list]:
+def _measure(rows: Lists) -> dict[str, list]:
     made = [measure(x or "") for x in rows["_text"]]
-    return rows | {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
+    return {k: [c[i] for c, _ in made] for i, k in enumerate(COUNTS)} | {k: [s[i] for _, s in made] for i, k in enumerate(STATS)}
 
 
 def half(n: int) -> int:
@@ -100,7 +104,7 @@ def consistency(share: float) -> float:
     return share / below(high, k + 2)
 
 
-def _moments(rows: DataFrame, sizes: dict[str, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _moments(rows: DataFrame, sizes: dict[str, int]) -> Params:
     """Mean and covariance of the statistics by ``_by``, of the rows before the edge and a share of those on it; two rows a group come to the driver."""
     names = list(STATS)
     pairs = list(combinations_with_replacement(range(len(names)), 2))
@@ -120,8 +124,8 @@ def _moments(rows: DataFrame, sizes: dict[str, int]) -> dict[str, tuple[np.ndarr
     return out
 
 
-def _distance(params: dict[str, tuple[np.ndarray, np.ndarray]], spark, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``_d2``, the squared Mahalanobis distance by the parameters of the row's group."""
+def _distance(params: Params, spark, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with ``_d2``, the squared Mahalanobis distance by the parameters (centre, inverse scatter) of the row's group."""
     names = list(STATS)
     k = len(names)
     pairs = list(combinations_with_replacement(range(k), 2))
@@ -132,7 +136,64 @@ def _distance(params: dict[str, tuple[np.ndarray, np.ndarray]], spark, rows: Dat
     }))
     diff = [F.col(names[i]) - F.col("_mean")[i] for i in range(k)]
     d2: Column = sum((F.col("_inv")[x] * diff[i] * diff[j] for x, (i, j) in enumerate(pairs)), F.lit(0.0))
-    return rows.join(frame, "_by").withColumn("_d2", d2).drop("_mean", "_inv")
+    return rows.join(F.broadcast(frame), "_by", how).withColumn("_d2", d2).drop("_mean", "_inv")
+
+
+def _step(spark, fit: DataFrame, params: Params, sizes: dict[str, int]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """One concentration step of each group in ``params`` (centre, inverse scatter): log determinant, centre and scatter of its nearest half."""
+    share = {g: math.ceil(1e4 * half(sizes[g]) / sizes[g]) / 1e4 for g in params}
+    shares = sorted(set(share.values()))
+    near = _distance(params, spark, fit)
+    found = near.groupBy("_by").agg(F.percentile_approx("_d2", shares, 10_000).alias("cut")).collect()
+    cuts = {r["_by"]: r["cut"][shares.index(share[r["_by"]])] for r in found}
+    edges = spark.createDataFrame(pa.table({"_by": pa.array(cuts, pa.string()), "_cut": pa.array(cuts.values(), pa.float64())}))
+    inside = near.join(edges, "_by").where(F.col("_d2") <= F.col("_cut")).withColumn("_edge", F.col("_d2") == F.col("_cut"))
+    floors, out = np.diag(np.array(list(STATS.values())) ** 2), {}
+    for g, (mean, cov) in _moments(inside, sizes).items():
+        scatter = cov * consistency(half(sizes[g]) / sizes[g]) + floors
+        out[g] = (float(np.linalg.slogdet(scatter)[1]), mean, scatter)
+    return out
+
+
+def _starts(fit: DataFrame) -> dict[str, Params]:
+    """Starts of each group: its medians with the floors, and with its quartiles' spread; its lower and its upper quartiles."""
+    floors = np.array(list(STATS.values()))
+    out = {}
+    for r in fit.groupBy("_by").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in STATS]).collect():
+        low, mid, high = np.array([r[c] for c in STATS]).T
+        narrow = np.diag(1 / floors**2)
+        out[r["_by"]] = {"0": (mid, narrow), "1": (mid, np.diag(1 / (floors**2 + ((high - low) / 1.349) ** 2))), "2": (low, narrow), "3": (high, narrow)}
+    return out
+
+
+def estimate(fit: DataFrame, sizes: dict[str, int]) -> Params:
+    """Minimum covariance determinant of each group ``_by``: centre and scatter, from the best of several starts."""
+    spark = fit.sparkSession
+    starts = _starts(fit)
+    if not starts:
+        return {}
+    tries = fit.withColumn("_start", F.explode(F.array(*map(F.lit, "0123")))).withColumn("_by", F.concat("_start", "_by")).drop("_start")
+    params = {k + g: p for g, own in starts.items() for k, p in own.items()}
+    tried = {}
+    for _ in range(TRIAL_STEPS):
+        tried = _step(spark, tries, params, {k: sizes[k[1:]] for k in params})
+        params = {k: (mean, np.linalg.inv(scatter)) for k, (_, mean, scatter) in tried.items()}
+    best = {}
+    for k in sorted(tried):
+        if k[1:] not in best or tried[k][0] < best[k[1:]][0]:
+            best[k[1:]] = tried[k]
+    falling = set(best)
+    while falling:
+        made = _step(spark, fit, {g: (best[g][1], np.linalg.inv(best[g][2])) for g in falling}, sizes)
+        falling = {g for g, x in made.items() if x[0] < best[g][0] - FALL}
+        best |= {g: x for g, x in made.items() if x[0] < best[g][0]}
+    return {g: (mean, scatter) for g, (_, mean, scatter) in best.items()}
+
+
+def mixed(own: tuple[np.ndarray, np.ndarray], lang: tuple[np.ndarray, np.ndarray], weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of a mixture of two groups."""
+    apart = own[0] - lang[0]
+    return weight * own[0] + (1 - weight) * lang[0], weight * own[1] + (1 - weight) * lang[1] + weight * (1 - weight) * np.outer(apart, apart)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
@@ -143,63 +204,39 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they were."""
-    names = docs.columns
-    carry = tuple(c for c in names if c != text_col)
+    carry = others(docs, text_col)
     rows = verdicts(docs, id_col, text_col, lang_col, source_col, carry=carry, with_text=True, **options).where("kept")
-    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)} | {text_col: F.col("_text")}
-    return rows.select(*[own[c].alias(c) for c in names])
+    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)}
+    return rows.select(*[own.get(c, F.col("_text")).alias(c) for c in docs.columns])
 
 
-def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, cutoff: float = 25.0, least: int = 30) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = (), with_text: bool = False, cutoff: float = 25.0, prior: int = 30) -> DataFrame:
     """Counts, distance and verdict of each row, with carried columns.
 
-    ``half`` of each group's rows enter the estimates, ``cutoff`` bounds the squared distance that is kept: the
-    chi-square quantile of 0.9997 for six statistics, ``least`` is five rows a statistic. Plan: one scan writes a short vector for each row to the shared
-    folder; every step is one aggregation over those vectors, pre-aggregated before its shuffle. The driver holds one
-    mean and matrix for each language and source."""
+    ``cutoff`` bounds the squared distance that is kept: the chi-square quantile of 0.9997 for six statistics. ``prior``
+    is what a language's estimates weigh in each of its sources, in rows. Plan: one scan writes a short vector for each
+    row to the shared folder; every step is one aggregation over those vectors, pre-aggregated before its shuffle. The
+    driver holds one mean and matrix for each language and source."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    group = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s")))
-    lang = F.to_json(F.struct(F.col(lang_col).cast("string").alias("l")))
-    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), group.alias("_group"), lang.alias("_lang"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
+    group = F.to_json(F.struct(named(lang_col).cast("string").alias("l"), named(source_col).cast("string").alias("s")))
+    lang = F.to_json(F.struct(named(lang_col).cast("string").alias("l")))
+    extra, types = carried(docs, carry)
+    read = docs.select(named(id_col).alias("_doc"), named(text_col).cast("string").alias("_text"), group.alias("_group"), lang.alias("_lang"), *extra)
     kinds = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in STATS)
-    kinds += "".join(f", _c_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    measured = map_rows(read, _measure, f"_doc {id_type}, _text string, _group string, _lang string, {kinds}")
+    measured = map_rows(read, _measure, fields(("_doc", kind(docs, id_col)), "_text string, _group string, _lang string", kinds, *types))
     rows = materialize(measured if with_text else measured.drop("_text"), "quality")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    groups = rows.groupBy("_group", "_lang").agg(F.count_if(~F.col("base_failed")).alias("n")).collect()
-    small = sorted({r["_lang"] for r in groups if r["n"] < least})
-    sizes = {"group " + r["_group"]: r["n"] for r in groups if r["n"] >= least}
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    passed = rows.where(~F.col("base_failed")).select("_group", "_lang", *STATS)
+    groups = passed.groupBy("_group", "_lang").agg(F.count("*").alias("n")).collect()
+    sizes: dict[str, int] = {}
     for r in groups:
-        if r["_lang"] in small:
-            sizes["lang " + r["_lang"]] = sizes.get("lang " + r["_lang"], 0) + r["n"]
-    names = {r["_group"]: "group " + r["_group"] if r["n"] >= least else "lang " + r["_lang"] for r in groups}
-    by = rows.join(spark.createDataFrame(pa.table({"_group": pa.array(names, pa.string()), "_by": pa.array(names.values(), pa.string())})), "_group")
-    fit = by.where(~F.col("base_failed"))
-    # All rows of a language stand in for those of its groups that are too small.
-    fit = fit.where(F.col("_by").startswith("group ")).unionByName(fit.where(F.col("_lang").isin(small)).withColumn("_by", F.concat(F.lit("lang "), "_lang")))
-    floors = np.diag(np.array(list(STATS.values())) ** 2)
-
-    marks = fit.groupBy("_by").agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in STATS]).collect()
-    params = {r["_by"]: (np.array([r[c] for c in STATS]), np.linalg.inv(floors)) for r in marks}
-    share = {g: math.ceil(1e4 * half(sizes[g]) / sizes[g]) / 1e4 for g in params}
-    shares = sorted(set(share.values()))
-    falling = dict.fromkeys(params, math.inf)
-    while falling:
-        near = _distance({g: params[g] for g in falling}, spark, fit)
-        found = near.groupBy("_by").agg(F.percentile_approx("_d2", shares, 10_000).alias("cut")).collect()
-        cuts = {r["_by"]: r["cut"][shares.index(share[r["_by"]])] for r in found}
-        edges = spark.createDataFrame(pa.table({"_by": pa.array(cuts, pa.string()), "_cut": pa.array(cuts.values(), pa.float64())}))
-        inside = near.join(edges, "_by").where(F.col("_d2") <= F.col("_cut")).withColumn("_edge", F.col("_d2") == F.col("_cut"))
-        before, falling = falling, {}
-        for g, (mean, cov) in _moments(inside, sizes).items():
-            scatter = cov * consistency(half(sizes[g]) / sizes[g]) + floors
-            size = float(np.linalg.slogdet(scatter)[1])
-            if size < before[g]:
-                params[g] = (mean, np.linalg.inv(scatter))
-            if size < before[g] - FALL:
-                falling[g] = size
-    for g in set(names.values()) - set(params):  # no row passes the base rules
-        params[g] = (np.zeros(len(STATS)), np.linalg.inv(floors))
-    return _distance(params, spark, by).withColumn("kept", ~F.col("base_failed") & (F.col("_d2") <= cutoff))
+        sizes["group " + r["_group"]] = r["n"]
+        sizes["lang " + r["_lang"]] = sizes.get("lang " + r["_lang"], 0) + r["n"]
+    fit = passed.withColumn("_by", F.explode(F.array(F.concat(F.lit("group "), "_group"), F.concat(F.lit("lang "), "_lang")))).drop("_group", "_lang")
+    found = estimate(fit, sizes)
+    params = {}
+    for r in groups:
+        mean, scatter = mixed(found["group " + r["_group"]], found["lang " + r["_lang"]], r["n"] / (r["n"] + prior))
+        params[r["_group"]] = (mean, np.linalg.inv(scatter))
+    judged = _distance(params, spark, rows.withColumn("_by", F.col("_group")), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_d2") <= cutoff, F.lit(False)))
