@@ -15,6 +15,7 @@ columns are ignored, whatever their names. Results depend on ids, texts and sour
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import map_rows, materialize, text_or_empty
+from .shared import Lists, carried, fields, kind, map_rows, materialize, named, others
 
 BLOCK, SHARD, REPEATS = 64, 4096, 3
 #: The sources' weights in turn, by code point, null last.
 WEIGHTS = (1, 2, 3)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: numpy draws hypergeometric counts below this sum.
-LIMIT = 10**9
 
 
 def targets(sizes: list[int], repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS) -> list[float]:
@@ -58,16 +57,32 @@ def slots(sizes: list[int], wanted: list[float], block: int, repeats: int) -> tu
     return blocks, np.minimum(count, repeats * blocks)
 
 
-def _draw(counts: np.ndarray, n: int, seed: tuple[int, ...]) -> np.ndarray:
-    """Source counts of ``n`` slots out of ``counts``."""
-    rng, total = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))), int(counts.sum())
-    if total < LIMIT:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    got = np.minimum(rng.multinomial(n, counts / total), counts)
-    for i in np.argsort(got - counts):  # what the bounds took off goes where there is most room
-        add = min(n - int(got.sum()), int(counts[i] - got[i]))
-        got[i] += add
-    return got
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Good ones among ``n`` drawn of ``good + bad`` without replacement, by inversion; totals may have any size.
+
+    Probabilities are summed over twelve standard deviations on either side of the mean; what lies beyond is below
+    the resolution of a double."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = float(good + bad)
+    mean = n * (good / total)
+    reach = 12 * (mean * (bad / total) * ((total - n) / max(1.0, total - 1))) ** 0.5 + 12
+    low, high = max(low, int(mean - reach)), min(high, int(mean + reach) + 1)
+    k = np.arange(low, high, dtype=np.float64)
+    log = np.concatenate([[0.0], np.cumsum(np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1)))])
+    below = np.cumsum(np.exp(log - log.max()))
+    return low + int(np.searchsorted(below, rng.random() * below[-1], side="right"))
+
+
+@lru_cache(maxsize=4096)
+def _draw(counts: tuple[int, ...], n: int, seed: tuple[int, ...]) -> tuple[int, ...]:
+    """Source counts of ``n`` slots out of ``counts``, one source after the other; shards share the draws above them."""
+    rng, rest, out = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed))), sum(counts), []
+    for c in counts:
+        out.append(hypergeometric(rng, c, rest - c, n))
+        rest, n = rest - c, n - out[-1]
+    return tuple(out)
 
 
 def shard_counts(shard: int, counts: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +91,7 @@ def shard_counts(shard: int, counts: np.ndarray, size: int, seed: int) -> tuple[
     first, here = np.zeros(len(counts), np.int64), counts.copy()
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = _draw(here, min((mid - lo) * size, int(here.sum())), (seed, lo, hi))
+        left = np.array(_draw(tuple(here.tolist()), min((mid - lo) * size, int(here.sum())), (seed, lo, hi)), np.int64)
         if shard < mid:
             here, hi = left, mid
         else:
@@ -104,7 +119,7 @@ def permute(at: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _layout(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...], with_text: bool) -> DataFrame:
     """In the shared folder: row, id, source, size in words, carried columns."""
-    read = docs.select(F.col(id_col).alias("_doc"), F.col(source_col).cast("string").alias("_source"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)])
+    read = docs.select(named(id_col).alias("_doc"), named(source_col).cast("string").alias("_source"), named(text_col).cast("string").alias("_text"), *carried(docs, carry)[0])
     sized = read.withColumn("_size", F.coalesce(F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")).withColumn("_hash", F.xxhash64("_doc", "_text")).withColumn("_row", F.monotonically_increasing_id())
     return materialize(sized if with_text else sized.drop("_text"), "mix")
 
@@ -150,7 +165,7 @@ def plan(rows: DataFrame, block: int = BLOCK, shard: int = SHARD, repeats: int =
     pieces = placed.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("_size") - 1) / block)))).select(
         "_row", "_s", "_block", F.greatest(F.lit(0), F.col("_block") * block - F.col("_start")).alias("_from"), F.least("_size", (F.col("_block") + 1) * block - F.col("_start")).alias("_till"))
 
-    def deal(part: dict[str, list]) -> dict[str, list]:
+    def deal(part: Lists) -> dict[str, list]:
         out: dict[str, list[np.ndarray]] = {"_shard": [], "_s": [], "_repeat": [], "_block": []}
         for k in part["id"]:
             first, here = shard_counts(k, counts, shard, seed)
@@ -182,13 +197,13 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
     """The mixture in the columns of ``docs``: a row for each repeat in which blocks of a document are drawn, with the text
     of those blocks in order; the whole text, as it was, where all are drawn. A column ``n_chars`` follows the text."""
-    carry = tuple(c for c in docs.columns if c != text_col)
+    carry = others(docs, text_col)
+    types = carried(docs, carry)[1]
     rows = _layout(docs, id_col, text_col, source_col, carry, True)
     _, taken = plan(rows, block, shard, repeats, seed)
     ranges = taken.groupBy("_row", "_repeat").agg(F.sort_array(F.collect_list(F.struct("_from", "_till"))).alias("_ranges"))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    def cut(part: dict[str, list]) -> dict[str, list]:
+    def cut(part: Lists) -> dict[str, list]:
         texts = []
         for text, size, ranges in zip(part["_text"], part["_size"], part["_ranges"]):
             if sum(r["_till"] - r["_from"] for r in ranges) == size:
@@ -202,12 +217,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 else:
                     joined.append([r["_from"], r["_till"]])
             texts.append("\n".join(text[ends[a][0] : ends[b - 1][1]] for a, b in joined))
-        return {c: x for c, x in part.items() if c not in ("_size", "_ranges")} | {"_text": texts, "_chars": [len(x) for x in texts]}
+        return {"_text": texts, "_chars": [len(x) for x in texts]}
 
-    full = rows.join(ranges, "_row").select("_text", "_size", "_ranges", *[f"_c_{i}" for i in range(len(carry))])
-    schema = "_text string, _chars long" + "".join(f", _c_{i} {kinds[c]}" for i, c in enumerate(carry))
-    out = map_rows(full, cut, schema)
-    own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)} | {text_col: F.col("_text")}
+    full = rows.join(ranges, "_row").select("_text", "_size", "_ranges", *[name for name, _ in types])
+    out = map_rows(full, cut, fields("_text string, _chars long", *types))
+    own = dict(zip(carry, (F.col(name) for name, _ in types)))
     if "n_chars" in own:
-        own["n_chars"] = F.col("_chars").cast(kinds["n_chars"])
-    return out.select(*[own[c].alias(c) for c in docs.columns])
+        own["n_chars"] = F.col("_chars").cast(kind(docs, "n_chars"))
+    return out.select(*[own.get(c, F.col("_text")).alias(c) for c in docs.columns])
