@@ -2,11 +2,12 @@
 
 Each language has a byte context tree of orders 0 to 3. A byte's code length in a context is that of PPM with method C:
 the escape probability is the number of different successors over that number plus the context's count, and what a
-context has seen is excluded below it. Statistics are frozen after training, so the code length of every byte in every
-kept context is one entry of a table, and a text's exact code length is a sum of table entries. The language with the
-shortest code is predicted.
+context has seen is excluded below it; below order 0 all 256 bytes are alike. Statistics are frozen after training, so the
+code length of every byte in every kept context is one entry of a table, and a text's exact code length is a sum of table
+entries. The language with the shortest code is predicted.
 
-Bytes are those of the lower-cased text; bytes of ASCII other than letters are one symbol, and runs of it cost nothing.
+Bytes are those of the lower-cased text. Bytes that no language has seen share one column of the tables, as they cost the
+same. A space stands before each text.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, and if there is nothing to learn from; a
 null id is never held out nor learned from; a null language is not learned; ties go to the first language by code point;
@@ -16,58 +17,63 @@ whatever their names.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_rows, remainder, text_or_empty
+from .shared import Lists, fields, kind, map_rows, named, remainder, text_or_empty
 
 ORDER = 3
-SYMBOLS = 27 + 128
-LETTER = re.compile(r"[^\W\d_]")
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[128:] = np.arange(27, SYMBOLS)
+LETTER = regex.compile(r"\p{L}")
 #: A text is scored in pieces of so many bytes, with the context carried over.
 PIECE = 1 << 18
+SPACE = 32
 
 
-def symbols(text: str) -> np.ndarray:
-    return _SYMBOL[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
+def data(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def grams(s: np.ndarray, size: int) -> np.ndarray:
-    """Codes of the ``size``-grams that end at each symbol; blanks stand before the text."""
-    padded = np.concatenate([np.zeros(size - 1, np.int64), s])
+def grams(s: np.ndarray, size: int, base: int = 256, blank: int = SPACE) -> np.ndarray:
+    """Codes of the ``size``-grams that end at each byte; blanks stand before the text."""
+    padded = np.concatenate([np.full(size - 1, blank, np.int64), s])
     code = np.zeros(len(s), np.int64)
     for j in range(size):
-        code = code * SYMBOLS + padded[j : j + len(s)]
+        code = code * base + padded[j : j + len(s)]
     return code
 
 
-def counted(s: np.ndarray) -> np.ndarray:
-    """True where a symbol counts: everywhere but at a blank after a blank."""
-    return (s > 0) | (np.concatenate([[0], s[:-1]]) > 0)
-
-
 class Model:
-    """Frozen statistics: ``state`` gives for each three symbols the longest kept context, ``bits`` the code lengths there by symbol and language."""
+    """Frozen statistics: ``state`` gives for each three symbols the longest kept context, ``bits`` the code lengths there by symbol and language.
+
+    A symbol is a byte that was seen in training, in order, or the last one for all others."""
 
     def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int):
         self.langs = langs
         if not langs:
             return
+        seen = np.zeros(256, bool)
+        seen[SPACE] = True
+        for code, _ in counts.values():
+            for j in range(ORDER + 1):
+                seen[code >> (8 * j) & 255] = True
+        self.size = size = int(seen.sum()) + 1
+        self.symbol = np.where(seen, np.cumsum(seen) - 1, size - 1).astype(np.int64)
+        alike = 256 - size + 1  # bytes of the last symbol
+        base = np.full(size, 1 / 256)
+        base[-1] = alike / 256
         trees = []
         for lang in langs:
-            code, n = counts[lang]
+            raw, n = counts[lang]
+            code = np.zeros(len(raw), np.int64)
+            for j in range(ORDER, -1, -1):
+                code = code * size + self.symbol[raw >> (8 * j) & 255]
             tree: dict[tuple[int, int], np.ndarray] = {}
             for order in range(ORDER + 1):
-                context = code // SYMBOLS % SYMBOLS**order
-                at, back = np.unique(context, return_inverse=True)
-                table = np.zeros((len(at), SYMBOLS))
-                np.add.at(table, (back, code % SYMBOLS), n)
+                at, back = np.unique(code // size % size**order, return_inverse=True)
+                table = np.zeros((len(at), size))
+                np.add.at(table, (back, code % size), n)
                 tree |= {(order, int(c)): row for c, row in zip(at, table)}
             trees.append(tree)
         weight: dict[tuple[int, int], float] = {}
@@ -78,47 +84,45 @@ class Model:
         # A context is kept only with its shorter ones, and stands after them.
         whole = {(0, 0)}
         for order, code in sorted(kept):
-            if not order or (order - 1, code % SYMBOLS ** (order - 1)) in whole:
+            if not order or (order - 1, code % size ** (order - 1)) in whole:
                 whole.add((order, code))
         ordered = sorted(whole)
         place = {k: i for i, k in enumerate(ordered)}
-        self.bits = np.zeros((len(ordered), SYMBOLS, len(langs)), np.float32)
+        self.bits = np.zeros((len(ordered), size, len(langs)), np.float32)
         for j, tree in enumerate(trees):
-            p = np.zeros((len(ordered), SYMBOLS))
+            p = np.zeros((len(ordered), size))
             for i, (order, code) in enumerate(ordered):
-                below = p[place[order - 1, code % SYMBOLS ** (order - 1)]] if order else np.full(SYMBOLS, 1 / SYMBOLS)
+                below = p[place[order - 1, code % size ** (order - 1)]] if order else base
                 row = tree.get((order, code))
                 if row is None:
                     p[i] = below
                     continue
-                seen, n, kinds = row > 0, row.sum(), (row > 0).sum()
-                rest = max(below[~seen].sum(), 1e-12)
-                p[i] = np.where(seen, row / (n + kinds), below / rest * kinds / (n + kinds)) if kinds < SYMBOLS else row / n
-            self.bits[:, :, j] = -np.log2(np.maximum(p, 1e-12))
+                known, n, kinds = row > 0, row.sum(), (row > 0).sum()
+                rest = below[~known].sum()
+                p[i] = np.where(known, row / (n + kinds), below / max(rest, 1e-300) * kinds / (n + kinds)) if rest > 0 else row / n
+            p[:, -1] /= max(1, alike)
+            self.bits[:, :, j] = -np.log2(np.maximum(p, 1e-300))
         self.bits = self.bits.reshape(-1, len(langs))
-        self.state = np.zeros(SYMBOLS**ORDER, np.int32)
+        self.state = np.zeros(size**ORDER, np.int32)
         for i, (order, code) in enumerate(ordered):  # longer contexts overwrite shorter ones
             if order == ORDER:
                 self.state[code] = i
             elif order:
-                self.state.reshape(-1, SYMBOLS**order)[:, code] = i
+                self.state.reshape(-1, size**order)[:, code] = i
 
     def code_length(self, text: str) -> np.ndarray:
-        s = symbols(text)
+        s = data(text)
         total = np.zeros(len(self.langs))
-        before = np.zeros(ORDER, np.int64)
+        before = np.full(ORDER, self.symbol[SPACE])
         for at in range(0, len(s), PIECE):
-            piece = np.concatenate([before, s[at : at + PIECE]])
+            piece = np.concatenate([before, self.symbol[s[at : at + PIECE]]])
             before = piece[-ORDER:]
-            own = piece[ORDER:]
-            context = (piece[:-3] * SYMBOLS + piece[1:-2]) * SYMBOLS + piece[2:-1]
-            use = (own > 0) | (piece[2:-1] > 0)
-            rows = self.state[context[use]] * np.int64(SYMBOLS) + own[use]
-            total += self.bits[rows].sum(axis=0, dtype=np.float64)
+            context = (piece[:-3] * self.size + piece[1:-2]) * self.size + piece[2:-1]
+            total += self.bits[self.state[context] * np.int64(self.size) + piece[ORDER:]].sum(axis=0, dtype=np.float64)
         return total
 
     def predict(self, text: str) -> tuple[str, float]:
-        """The language of the shortest code, and its weight among all if each code were worth 64 symbols at most."""
+        """The language of the shortest code, and its weight among all if each code were worth 64 characters at most."""
         if not self.langs or not LETTER.search(text):
             return "und", 0.0
         bits = self.code_length(text)
@@ -128,20 +132,19 @@ class Model:
 
 
 def train(rows: DataFrame, lang_col: str, text_col: str, id_col: str, per_lang: int = 1500, contexts: int = 24_000) -> Model:
-    """Fit on about ``per_lang`` rows of each language, chosen by a hash of the id; ``contexts`` are kept, fewer for more
-    than four languages. Only distinct 4-grams of that sample come to the driver."""
+    """Fit on about ``per_lang`` rows of each language, chosen by a hash of the id; the ``contexts`` of most weight in all
+    languages are kept, whose tables take about 14 MB a language. Only distinct 4-grams of that sample come to the driver."""
     sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
         return Model([], {}, 1)
     share = F.create_map(*(F.lit(x) for pair in ((k, min(1.0, per_lang / n)) for k, n in sizes.items()) for x in pair))
     sample = rows.where((F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / float(1 << 20)) < share[F.col(lang_col)])
 
-    def count(part: dict[str, list]) -> dict[str, list]:
+    def count(part: Lists) -> dict[str, list]:
         out: dict[str, list] = {"lang": [], "code": [], "n": []}
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(part["_lang"], part["_text"]):
-            s = symbols(text)
-            by.setdefault(lang, []).append(grams(s, ORDER + 1)[counted(s)])
+            by.setdefault(lang, []).append(grams(data(text), ORDER + 1))
         for lang, found in by.items():
             code, n = np.unique(np.concatenate(found), return_counts=True)
             out["lang"] += [lang] * len(code)
@@ -153,7 +156,7 @@ def train(rows: DataFrame, lang_col: str, text_col: str, id_col: str, per_lang:
     frame = made.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = {lang: (g["code"].to_numpy(), g["n"].to_numpy(float)) for lang, g in frame.groupby("lang")}
     langs = sorted(counts)
-    return Model(langs, counts, max(500, contexts * 4 // max(4, len(langs))))
+    return Model(langs, counts, contexts)
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_lang: int = 1500) -> DataFrame:
@@ -162,14 +165,13 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Plan: a count by language, a sample's 4-gram counts, then one scan without a shuffle against the broadcast tables,
     whose size is fixed by the number of kept contexts and languages."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
     rest = remainder(id_col, folds)
-    learn = docs.where((rest != held) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    learn = docs.where((rest != held) & named(lang_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).alias("_doc"), named(lang_col).cast("string").alias("_lang"), named(text_col).alias("_text"))
     model = spark.sparkContext.broadcast(train(learn, "_lang", "_text", "_doc", per_lang))
 
-    def run(part: dict[str, list]) -> dict[str, list]:
+    def run(part: Lists) -> dict[str, list]:
         made = [model.value.predict(x) for x in part["_text"]]
-        return {"doc_id": part["_doc"], "held_out": part["_held"], "lang_pred": [x for x, _ in made], "score": [y for _, y in made]}
+        return {"lang_pred": [x for x, _ in made], "score": [y for _, y in made]}
 
-    read = docs.select(F.col(id_col).alias("_doc"), F.coalesce(rest == held, F.lit(False)).alias("_held"), text_or_empty(text_col).alias("_text"))
-    return map_rows(read, run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
+    read = docs.select(named(id_col).alias("doc_id"), F.coalesce(rest == held, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("_text"))
+    return map_rows(read, run, fields(("doc_id", kind(docs, id_col)), "held_out boolean, lang_pred string, score double"))
