@@ -15,6 +15,37 @@ def test_stages(spark, sf_dir, tmp_path):
     assert kept[0] >= kept[1] == kept[2] and kept[3] > 0 and docs.select("sequence_id").distinct().count() > 0
 
 
+def test_run(spark, sf_dir):
+    import __spark_entry__
+    from tessera.llm.shared import open_tables
+
+    before = open_tables()
+    out = __spark_entry__.queries()["pipeline"](spark, sf_dir)
+    pieces = out.collect()
+    assert len(set(open_tables()) - set(before)) == 1  # nothing but the result stays
+    assert out.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    full = {}
+    for r in pieces:
+        full.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in full.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 1024
+
+
+def test_run_again_is_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    once = [sorted(r["doc_id"] for r in corpus_pipeline.quality(spark, docs.repartition(n), sf_dir).collect()) for n in (1, 5)]
+    assert once[0] == once[1]
+
+
+def test_stages_in_sequence_without_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+        docs = out
+
+
 def test_registered():
     import __spark_entry__
 

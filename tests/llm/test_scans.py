@@ -71,6 +71,85 @@ def test_private_keys_are_whole_values(docs):
         assert "pem" not in got[i]["live_spans"] and masked[i] == t and got[i]["n_example"] >= 1
 
 
+def test_ownership_is_counted_over_the_corpus(spark):
+    import random
+
+    draw = random.Random(3)
+    values = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(12)] + ["example_key_value", "aaaaaaaaaaaa"]
+    repos = ["own1/a", "own1/b", "own2/a", "own3/a", "own3/b", "own3/c", None]
+    rows = [(i, " ".join(f"token={draw.choice(values[: 3 + i % 12])} ." for _ in range(draw.randint(0, 3))), draw.choice(repos)) for i in range(60)]
+    held = {}
+    for _, text, repo in rows:
+        for v in re.findall(r"token=(\S+)", text):
+            held.setdefault(v, (set(), set()))[0].add(repo)
+            held[v][1].add(repo.split("/")[0] if repo else None)
+    live = {v for v, (r, o) in held.items() if len(r) < 3 and len(o) < 3 and "example" not in v and len(set(v)) > 5}
+    assert live and set(held) - live
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, text, _ in rows:
+        found = re.findall(r"token=(\S+)", text)
+        assert (got[i]["n_live"], got[i]["n_example"]) == (sum(v in live for v in found), sum(v not in live for v in found))
+        assert got[i]["max_owners"] == max((len(held[v][1]) for v in found), default=0)
+
+
+def timed(run, text):
+    import time
+
+    began = time.perf_counter()
+    run(text)
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("text", ["eyJaaaaaaaa" * 90_000, "eyJaaaaaaaa." * 90_000, "eyJ" * 330_000, "-----BEGIN PRIVATE KEY-----" * 38_000, "-----BEGIN RSA PRIVATE KEY-----\nabcd\n" * 25_000, "password " * 110_000, "AKIA" * 250_000, "ghp_" * 250_000])
+def test_secrets_of_long_texts_are_found_in_one_pass(text):
+    assert timed(lambda t: (secret_scan.base_spans(t), secret_scan.extra_spans(t)), text) < 4
+
+
+@pytest.mark.parametrize("text", ["mit license " * 80_000, "licensed under the mit licence " * 32_000, "gnu general pubic license " * 40_000, "cc by " * 160_000, "a " * 500_000])
+def test_notices_of_long_texts_are_found_in_one_pass(text):
+    assert timed(lambda t: license_scan._scan({"_text": [t]}), text) < 6
+
+
+@pytest.mark.parametrize("page", ["<b " * 330_000, "<b " * 330_000 + ">", "<p>" + "a<b='" * 200_000, "<p>" + "a<b='" * 200_000 + ">", "<a \"'>" * 150_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 120_000, "<li><ul>" + "<div>" * 256 + "<li></li>" * 100_000, "<" * 1_000_000, "<div>" * 200_000, "<!--" * 250_000, "<script>" * 120_000])
+def test_long_pages_are_read_in_one_pass(page):
+    assert timed(html_extract.extract, page) < 6
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_notices_against_all_word_spans():
+    import random
+
+    draw = random.Random(11)
+    notices = [n for n in license_scan.NOTICES if len(n) < 40]
+    hits = 0
+    for _ in range(30):
+        picked = list(draw.choice(notices))
+        for _ in range(draw.randint(0, 5)):
+            at = draw.randrange(len(picked))
+            picked[at : at + draw.randint(0, 1)] = draw.choice(["", "e", "x", " "])
+        flat = b" ".join(license_scan.normal_words("some words " + "".join(picked) + " and others")).decode()
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", flat)]
+        want = set()
+        for notice, label in license_scan.NOTICES.items():
+            k = license_scan.edits(notice)
+            if any(abs(b - a - len(notice)) <= k and edit_distance(flat[a:b], notice) <= k for i, (a, _) in enumerate(words) for _, b in words[i:]):
+                want.add(label)
+        found = license_scan.fuzzy(flat)
+        assert {m["label"] for m in found} == want
+        hits += bool(want)
+        for m in found:
+            assert any(edit_distance(flat[m["at"] : m["till"]], n) <= m["edits"] for n, label in license_scan.NOTICES.items() if label == m["label"])
+    assert 8 < hits < 30
+
+
 NOTICES = ["Released under the MIT License.", "the MIT\n\nlicense; mit-license", "xmit license", "Licensed under the Apache License, Version 2.0.", "GNU General Public  License", "licensed under cc by-nc 4.0", "relaesed undr the mit license", "Mozila Public License version 2", "nothing here at all"]
 
 
@@ -105,6 +184,49 @@ def test_articles_are_no_more_than_a_prior():
     assert html_extract.extract(f"<p>Hello.</p><article><p>{text}</p></article><p>Bye.</p>") == text
 
 
+def test_density_decides_in_articles_too():
+    links = "".join(f"<a href=/{i}>More of the news of the day and of what it is</a> " for i in range(6))
+    assert html_extract.extract(f"<article><p>{ARTICLE}</p><p>{links}</p><p>{ARTICLE}</p><p>Short.</p></article>") == f"{ARTICLE}\n\n{ARTICLE}\n\nShort."
+
+
+def test_both_passes_matter_on_the_given_pages(spark, sf_dir, monkeypatch):
+    pages = [r["html"] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    texts = [html_extract.extract(x) for x in pages]
+    bare = [html_extract.extract(re.sub("</?article>", lambda m: m[0].replace("article", "div"), x)) for x in pages]
+    assert sum(a == b for a, b in zip(texts, bare)) >= 0.8 * len(pages)  # density alone finds most articles
+    both = html_extract.classify
+    monkeypatch.setattr(html_extract, "classify", lambda found: [html_extract.score(t, k, html_extract._stops(t), 2.0 * own) >= html_extract.GOOD and y for (t, k, own), y in zip(found, both(found))])
+    assert any(html_extract.extract(x) != t for x, t in zip(pages, texts))  # without the second pass
+
+
+def test_labelled_pages():
+    """Random pages of blocks whose labels are known: prose between menus, link lists and imprint lines, without any marks."""
+    import random
+
+    draw = random.Random(2)
+    stop = ["the", "of", "and", "to", "in", "is", "that", "was", "with", "for"]
+    rare = ["harbour", "engine", "violet", "market", "window", "yellow", "mountain", "paper", "silver", "garden"]
+    prose = lambda n: " ".join(draw.choice(stop if draw.random() < 0.45 else rare) for _ in range(n))
+    listing = lambda: " ".join(draw.choice(rare).title() for _ in range(40))
+    right = total = 0
+    for _ in range(60):
+        made, want = [], []
+        for _ in range(draw.randint(1, 3)):
+            made.append("".join(f"<li><a href=x>{prose(3)}</a>" for _ in range(5)))
+        for i in range(draw.randint(3, 8)):
+            text = prose(4) if 0 < i and draw.random() < 0.3 else prose(draw.randint(60, 120))
+            made.append(f"<p>{text}</p>")
+            want.append(text)
+        last = prose(90)
+        made.append(f"<p>{last}</p>")
+        want.append(last)
+        made += [f"<div>{listing()}</div>", f"<div>{listing()}</div>"]
+        got = html_extract.extract("<div>" + "".join(f"<div>{x}</div>" for x in made) + "</div>").split("\n\n")
+        right += len(set(got) & set(want))
+        total += len(set(got) | set(want))
+    assert right >= 0.97 * total
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_pages(page, text):
     assert html_extract.extract(page or "") == text
@@ -151,6 +273,36 @@ def test_quality_rejects_junk_and_keeps_prose(docs):
     assert kept.columns == docs([""]).columns and kept.count() == 300
 
 
+def test_estimates_are_of_least_determinant(spark):
+    """The estimates against exhaustive random starts of exact concentration steps on one group."""
+    import numpy as np
+
+    rng = np.random.RandomState(4)
+    names = list(quality_rules.STATS)
+    x = np.concatenate([rng.standard_normal((150, 6)) * [0.3, 0.1, 0.1, 0.2, 0.1, 0.1], 3 + 0.01 * rng.standard_normal((70, 6)), -2 + rng.standard_normal((40, 6))])
+    fit = spark.createDataFrame([("g", *map(float, r)) for r in x], "_by string, " + ", ".join(f"{c} double" for c in names))
+    mean, scatter = quality_rules.estimate(fit, {"g": len(x)})["g"]
+    floors, h = np.diag(np.array(list(quality_rules.STATS.values())) ** 2), quality_rules.half(len(x))
+    factor, best = quality_rules.consistency(h / len(x)), (np.inf, None)
+    for _ in range(200):
+        own = rng.choice(len(x), 7, replace=False)
+        for _ in range(60):
+            m, s = x[own].mean(0), np.cov(x[own].T, bias=True) * factor + floors
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+            own = np.argsort(d)[:h]
+        best = min(best, (np.linalg.slogdet(np.cov(x[own].T, bias=True) * factor + floors)[1], tuple(x[own].mean(0))))
+    assert abs(np.linalg.slogdet(scatter)[1] - best[0]) < 1e-3 and np.allclose(mean, best[1], atol=1e-2)
+
+
+def test_groups_lean_on_their_language_by_size():
+    import numpy as np
+
+    own, lang = (np.zeros(6), np.eye(6)), (np.ones(6), 4 * np.eye(6))
+    for n in (1, 29, 30, 31, 1000):
+        mean, scatter = quality_rules.mixed(own, lang, n / (n + 30))
+        assert np.allclose(mean, 30 / (n + 30)) and (np.linalg.eigvalsh(scatter) > 0.99).all()
+
+
 @pytest.mark.parametrize("share", [0.26, 0.34, 0.45])
 def test_quality_rejects_copies_that_are_no_majority(spark, share):
     import random
@@ -179,6 +331,15 @@ def test_quality_judges_small_groups_by_their_language(spark, sizes):
     assert kept == set(range(n))
 
 
+def test_any_column_goes_along(spark):
+    rows = [(i, "token = 'a8f3k2l9x0q7' " + " ".join(f"w{j}{i}" for j in range(40)), "en", "s", (i,)) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, odd struct<`a b.c`:int>")
+    for run in (quality_rules.keep, secret_scan.redact):
+        out = run(df)
+        assert out.columns == df.columns and sorted(r["odd"][0] for r in out.collect()) == list(range(8))
+    assert html_extract.extract_pages(df.select("doc_id", "text", "lang"), "DOC_ID", "lang", "Text").count() == 8
+
+
 @pytest.mark.parametrize("run", [secret_scan.scan, secret_scan.redact, license_scan.scan, quality_rules.judge, quality_rules.keep])
 def test_empty_tables(docs, run):
     assert run(docs([])).count() == 0

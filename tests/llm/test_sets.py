@@ -66,6 +66,27 @@ def test_posterior_bounds():
     b = a.copy()
     b[1] = 1
     assert near_dedup.plausible(a, b, 0.75, 1e-6).tolist() == [0]
+    assert 1e-6 < near_dedup.loss() < 1 / 140_000 and near_dedup.loss(0.8) < 1e-7
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_blocks_of_large_buckets_lose_no_link(docs, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    draw = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    chain = []  # one component of many, and outliers that share buckets with it and link with one member or none
+    for i in range(60):
+        w = list(base)
+        w[i % 60] = f"x{i}"
+        chain.append(" ".join(w))
+    for i in range(25):
+        w = list(base)
+        for _ in range(draw.randint(2, 4)):
+            w[draw.randrange(60)] = f"y{i}{draw.random()}"
+        chain.append(" ".join(w))
+    _, comp = brute_components(chain)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(chain)).collect()}
+    assert [got[i] for i in range(len(chain))] == comp and len(set(comp)) > 3
 
 
 @pytest.fixture(scope="module")
@@ -73,13 +94,11 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing_round_trip(docs, odd_texts, tokenizer):
-    texts = odd_texts + ["<|endoftext|> stands here, isn't it?"] + near_texts(3, 30, 2, 40)
+    texts = odd_texts + ["<|endoftext|> stands here, isn't it?", "a <|endoftext|> b <|endoftext", "<|endoftext|><|endoftext|>"] + near_texts(3, 30, 2, 40)
     pieces = [r.asDict() for r in packing.pack(docs(texts)).collect()]
     by_doc, by_seq = {}, {}
     for p in pieces:
@@ -136,6 +155,32 @@ def test_permutation_and_shards():
         assert [int(f[s]) for f, _ in parts] == np.cumsum([0, *[int(h[s]) for _, h in parts]])[:-1].tolist()
 
 
+def test_draws_are_hypergeometric():
+    from math import comb
+
+    rng = np.random.Generator(np.random.Philox(3))
+    for good, bad, n in ((5, 7, 4), (3, 100, 50), (40, 40, 80), (6, 0, 3), (0, 6, 3), (9, 9, 0)):
+        got = Counter(mixing.hypergeometric(rng, good, bad, n) for _ in range(4000))
+        for k in range(max(0, n - bad), min(n, good) + 1):
+            p = comb(good, k) * comb(bad, n - k) / comb(good + bad, n)
+            assert abs(got[k] / 4000 - p) < 5 * (p * (1 - p) / 4000) ** 0.5 + 1e-3
+        assert all(max(0, n - bad) <= k <= min(n, good) for k in got)
+
+
+def test_one_way_of_drawing_for_any_number_of_slots():
+    counts = np.array([3 * 10**11, 10**10, 7, 10**12])
+    assert mixing._draw(tuple(counts.tolist()), int(counts.sum()), (1, 2, 3)) == tuple(counts.tolist())
+    last = -(-int(counts.sum()) // 4096) - 1
+    first, here = mixing.shard_counts(last, counts, 4096, 5)
+    assert (first + here == counts).all() and here.sum() == counts.sum() - last * 4096
+    spread = [mixing.shard_counts(k, counts, 4096, 5) for k in (0, 1, 12_345_678, 12_345_679)]
+    assert all(h.sum() == 4096 and abs(h[0] - 4096 * 0.229) < 150 for _, h in spread)
+    assert (spread[0][0] == 0).all() and (spread[0][1] == spread[1][0]).all() and (spread[2][0] + spread[2][1] == spread[3][0]).all()
+    half = np.array(mixing._draw(tuple(counts.tolist()), int(counts.sum()) // 2, (9,)), float)
+    sd = (counts * 0.25 * (1 - counts / counts.sum())) ** 0.5
+    assert (np.abs(half - counts / 2) < 6 * sd + 1).all() and (np.abs(half - counts / 2)[[0, 1, 3]] > 0).all()
+
+
 def test_mixing(docs, odd_texts):
     texts = near_texts(4, 120, 2, 60) + odd_texts
     df = docs(texts)
@@ -190,6 +235,44 @@ def test_repeated_rows_hide_no_neighbours(spark):
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, i) for i in range(1, 6)] and all(abs(r["score"] - 1) < 1e-12 for r in got)
 
 
+def test_extreme_components(spark):
+    for size in (1e200, 1e-200, 5e-324, 1.7e308):
+        rows = [(0, [size, size]), (1, [size, 0.9 * size]), (2, [size, -size]), (3, [size, 0.0]), (4, [1.0, 0.5])]
+        got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+        assert got[0]["vec_id"] == 1 and got[0]["score"] > 0.99 and [r["vec_id"] for r in got][-1] == 2 and all(np.isfinite(r["score"]) for r in got)
+
+
+def test_deep_trees(spark):
+    rng = np.random.RandomState(6)
+    x = rng.standard_normal((40, 12))[rng.randint(40, size=6000)] + 0.4 * rng.standard_normal((6000, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.search(vectors, leaf=16, sample=150, split_sample=120).collect():  # 150 rows give few leaves of over 64 rows: two levels are added
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, 6000, 50):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert set(got) == set(range(0, 6000, 50)) and hit >= 0.9 * 600
+
+
+def test_every_vector_stays_in_the_index(spark):
+    rows = [(i, [1.0 + i * 1e-9, 1.0]) for i in range(700)] + [(i, [1.0, float(i)]) for i in range(700, 1500)]  # the first are all but alike
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    import tessera.llm.shared as shared
+
+    read = df.select("vec_id", "embedding")
+    indexed = shared.map_rows(read, lambda r: {"_ids": [[i] for i in r["vec_id"]], "_v": r["embedding"], "_leaf": [1] * len(r["vec_id"]), "_whole": [False] * len(r["vec_id"])}, vector_search.INDEXED)
+    asked = shared.map_rows(read.where("vec_id % 100 = 0"), lambda r: {"_id": r["vec_id"], "_v": r["embedding"], "_leaf": [1] * len(r["vec_id"])}, vector_search.ASKED)
+    indexed, asked = vector_search._deepen(shared.materialize(indexed), shared.materialize(asked), 2, 5, 0.97, 16, 200)
+    got = indexed.selectExpr("_ids[0] AS id", "_leaf", "_whole").collect()
+    assert sorted(r["id"] for r in got) == list(range(1500)) and len({r["_leaf"] for r in got}) > 20
+    assert {r["_leaf"] for r in asked.collect()} <= {r["_leaf"] for r in got} and {r["_id"] for r in asked.collect()} == set(range(0, 1500, 100))
+
+
 def crc(i):
     return zlib.crc32(str(i).encode())
 
@@ -205,15 +288,67 @@ def test_language(docs, odd_texts, spark):
     assert language_id.predict(docs([])).count() == 0
 
 
-def test_code_lengths_are_a_distribution():
-    s = language_id.symbols("the cat and the hat that sat")
-    code, n = np.unique(language_id.grams(s, 4), return_counts=True)
-    m = language_id.Model(["x"], {"x": (code, n.astype(float))}, 500)
-    assert np.allclose(np.exp2(-m.bits.reshape(-1, language_id.SYMBOLS)).sum(1), 1, atol=1e-4)
+def test_letters_are_those_of_unicode(docs):
+    texts = ["² ½ Ⅷ", "१२३ 123 ٣", "a", "ª", "中", "١x", "😀 !?"] + ["the cat sat on that mat and then the other"] * 30
+    got = {r["doc_id"]: r for r in language_id.predict(docs(texts)).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(7)] == [True, True, False, False, False, False, True]
+
+
+def plain_code_length(train, text, orders=3):
+    """Bits of PPM, method C with exclusion, over all 256 bytes, straight from its definition."""
+    import math
+    from functools import lru_cache
+
+    counts = {}
+    for t in train:
+        raw = b" " * orders + t.lower().encode()
+        for i in range(orders, len(raw)):
+            for k in range(orders + 1):
+                counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+
+    @lru_cache(maxsize=None)
+    def chances(context):
+        below = {b: 1 / 256 for b in range(256)} if context is None else None
+        if below:
+            return below
+        below = chances(context[1:] if context else None)
+        seen = counts.get(context)
+        if not seen:
+            return below
+        n, kinds = sum(seen.values()), len(seen)
+        rest = sum(p for b, p in below.items() if b not in seen)
+        return {b: seen[b] / (n + kinds) if b in seen else p / rest * kinds / (n + kinds) for b, p in below.items()}
+
+    raw = b" " * orders + text.lower().encode()
+    return -sum(math.log2(chances(raw[i - orders : i])[raw[i]]) for i in range(orders, len(raw)))
+
+
+def test_code_lengths_are_exact():
+    train = {"x": ["the cat and the hat that sat", "Then 12, that hat?"], "y": ["le chat était là", "çà et là; été"]}
+    counts = {}
+    for lang, texts in train.items():
+        code, n = np.unique(np.concatenate([language_id.grams(language_id.data(t), 4) for t in texts]), return_counts=True)
+        counts[lang] = (code, n.astype(float))
+    m = language_id.Model(["x", "y"], counts, 10_000)
+    for text in ("the hat", "là, le chat!", "zebra \u4e2d\x00", "", "THAT cat " * 40):
+        assert np.allclose(m.code_length(text), [plain_code_length(train["x"], text), plain_code_length(train["y"], text)], rtol=1e-5, atol=1e-3)
     whole = m.code_length("the rat " * 100)
     language_id.PIECE, old = 64, language_id.PIECE
     assert np.allclose(m.code_length("the rat " * 100), whole)
     language_id.PIECE = old
+    few = language_id.Model(["x", "y"], counts, 12)  # with any number of kept contexts each is a distribution over bytes
+    weight = np.ones(few.size)
+    weight[-1] = 256 - few.size + 1
+    assert np.allclose((np.exp2(-few.bits.reshape(-1, few.size, 2).astype(float)) * weight[:, None]).sum(1), 1, atol=1e-4)
+
+
+def test_many_languages(docs, spark):
+    draw = random.Random(5)
+    syllables = {f"l{k}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)] for k in range(9)}
+    rows = [(i, " ".join(draw.choice(syllables[f"l{i % 9}"]) for _ in range(30)), f"l{i % 9}") for i in range(900)]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [i for i in range(900) if got[i]["held_out"]]
+    assert sum(got[i]["lang_pred"] == f"l{i % 9}" for i in held) >= 0.98 * len(held)
 
 
 def test_classifier(docs, odd_texts, spark):
@@ -229,6 +364,57 @@ def test_classifier(docs, odd_texts, spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_classifier_of_odd_tables(docs, spark):
+    """Clashing names, one id in a third of all rows, with one text and with many, and empty tables."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    rows = [(i, ("good clean words " if i % 2 else "%% || ## ") * (3 + i % 7), "a", "b", "c", "d") for i in range(300)]
+    rows += [(8, "%% || ## " * 4, "a", "b", "c", "d")] * 150 + [(9, f"good clean words {i}", "a", "b", "c", "d") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _y string, _text string, _doc string")
+    got = quality_classifier.score(df, labels, sample=100).collect()
+    assert len(got) == 600 and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+    assert quality_classifier.score(df.limit(0), labels).count() == 0 and quality_classifier.score(df.limit(5), labels.limit(0)).count() == 5
+
+
+def test_classifier_solves_its_problem():
+    """Dual coordinate descent against many steps of plain projected ascent on the same dual."""
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["alpha", "beta", "gamma", "%%", "||"][:: 1 if i % 2 else -1][:4]) for _ in range(12)) for i in range(60)]
+    y = np.array([i % 2 for i in range(60)])
+    rows = [quality_classifier.vector(*quality_classifier.features(t)) for t in texts]
+    model = quality_classifier.Model(rows, y, epochs=400)
+    size = 2 << quality_classifier.BITS
+    p, q = np.ones(size), np.ones(size)
+    for (at, _), label in zip(rows, y):
+        for j in at:
+            (p if label else q)[j] += 1
+    ratio = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
+    order = np.random.RandomState(7).permutation(60)
+    fit = order[12:]
+    dense = {}
+    for i in fit:
+        dense[i] = {int(j): float(x * ratio[j]) for j, x in zip(*rows[i])}
+    gram = np.array([[sum(v * dense[b].get(j, 0.0) for j, v in dense[a].items()) for b in fit] for a in fit])
+    sign = np.where(y[fit] > 0, 1.0, -1.0)
+    limit = np.where(y[fit] > 0, 1 / y[fit].sum(), 1 / (1 - y[fit]).sum()) * len(fit) / 2
+    k = gram * sign[:, None] * sign[None, :]
+    alpha = np.zeros(len(fit))
+    for _ in range(20_000):
+        alpha = np.clip(alpha + (1 - k @ alpha) / np.linalg.eigvalsh(k).max() if _ == 0 else alpha + (1 - k @ alpha) * step, 0, limit)
+        step = 1 / np.linalg.norm(k, 2) if _ == 0 else step
+    want = gram @ (alpha * sign)
+    got = np.array([float(model.weights[rows[i][0]] @ rows[i][1]) for i in fit])
+    assert np.allclose(got, want, atol=0.02 * np.abs(want).max())
+
+
+@pytest.mark.parametrize("run", [near_dedup.deduplicate, mixing.mix])
+def test_any_column_goes_along(spark, run):
+    rows = [(i, f"some words that stand here {i} " * 9, "s", (i, [f"v{i}"]), {"k": i}) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `odd col.umn` struct<`a b`:int,`c.d``e`:array<string>>, m map<string,int>")
+    out = run(df)
+    assert out.columns == df.columns and out.count() >= 4 and {r["odd col.umn"]["a b"] for r in out.collect()} <= set(range(5))
+    assert packing.pack(df, "DOC_ID", "TEXT").select("doc_id").distinct().count() == 5
+
+
 @pytest.mark.parametrize("run", [near_dedup.near_duplicates, near_dedup.deduplicate, packing.pack, mixing.take, mixing.mix])
 def test_empty_tables(docs, run):
     assert run(docs([])).count() == 0
