@@ -8,28 +8,28 @@ tasks and never the stages before it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from tessera.llm.shared import delete, materialize, open_tables, table
+from tessera.llm.shared import delete, discard, materialize, open_tables, roots, table
 
-#: Tables of the stage that ran last; the next one, whose input is that stage's written result, deletes them.
-_spent: list[str] = []
+#: Tables of this thread's stage that ran last; the next one, whose input is that stage's written result, deletes them.
+_spent: ContextVar[tuple[str, ...]] = ContextVar("spent", default=())
 
 
 def _tidy(stage: Callable) -> Callable:
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles()
-        if not any(path in f for path in _spent for f in files):  # else the input isn't written yet
-            delete(spark, *_spent)
-            _spent.clear()
-        before = set(open_tables)
+        read = roots(docs)
+        kept = tuple(path for path in _spent.get() if any(path in root for root in read))  # the input isn't written yet
+        delete(spark, *(path for path in _spent.get() if path not in kept))
+        before = open_tables()
         out = stage(spark, docs, sf_dir)
-        _spent.extend(p for p in open_tables if p not in before)
+        _spent.set((*kept, *(path for path in open_tables() if path not in before)))
         return out
 
     return run
@@ -72,7 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result, which stays in the shared folder until the driver ends; each stage's input is deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
+    delete(spark, *_spent.get())
+    _spent.set(())
     return docs
