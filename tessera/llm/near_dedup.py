@@ -7,13 +7,13 @@
    batches of 32 hashes, and dropped as soon as the posterior chance of a similarity of 0.75 or more, under a uniform
    prior, is below ``miss``. Survivors are verified on their full shingle sets, and links are joined to components.
 4. Members of a bucket that are still in different components are compared in blocks by the same posterior bounds, so no
-   link between different texts is lost to the pivots; the batches go on over 1024 more hashes, so that only pairs near
-   the threshold are left. A bucket's largest component has blocks of its own, which meet those of other members only.
-   Of the survivors, the best few of each two components are verified first; a link joins the components, and the other
-   pairs of the two need no look. Later rounds take the rest.
+   link between different texts is lost to the pivots; the batches go on over 512 more hashes, so that few pairs but
+   those near the threshold are left. A bucket's largest component has blocks of its own, which meet those of other
+   members only. What is left of a block is verified where its members' shingle sets meet, the most alike first; pairs of
+   components that a link has joined there need no look. Sets move once for each block and member, not for each pair.
 
-A pair that is verified passes 4 batches, and one of step 4 twelve. ``loss`` sums the chances to fall out on the way: for a
-similarity of 0.75 exactly, where it is largest, less than 1 in 140,000 pairs.
+``loss`` sums the chances of a pair to fall out on the way, which are largest at a similarity of 0.75 exactly: less than
+1 in 150,000 pairs.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows that repeat a doc_id are linked
 by their texts as any others; a null doc_id never is a component's smallest, and a component of null ids only has a null
@@ -41,9 +41,9 @@ BROADCAST_ROWS = 500_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 4096
 #: Further hashes of the members of open buckets, in batches; of each 8 bits are kept, which may only make pairs look more alike.
-WIDE, WIDE_BATCH = 1024, 128
-#: Plausible pairs of two components, by rank in a block, up to which each round verifies; the last takes all.
-RANKS = (8, 256, 1 << 62)
+WIDE, WIDE_BATCH = 512, 128
+#: Members of either side of a block whose sets meet in one task at once.
+MEET = 512
 _A = np.random.RandomState(20_011).randint(1, 2**63 - 1, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _WIDE = np.random.RandomState(20_029).randint(1, 2**63 - 1, WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2, _S = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(31)
@@ -171,25 +171,32 @@ def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float)
     return map_rows(pairs.join(side("a"), "_a").join(side("b"), "_b").select("_a", "_b", "_sig_a", "_sig_b"), check, "_a long, _b long")
 
 
-def _verify(pairs: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
-    """The pairs of rows whose full shingle sets have 100 * intersection >= threshold * union."""
-    pairs = materialize(pairs, "pairs", narrow=True)
-    wanted = materialize(pairs.select(F.col("_a").alias("_row")).union(pairs.select("_b")).distinct(), "wanted", narrow=True)
+def _sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_row, _set) of the wanted rows' texts."""
     few = wanted.count() <= BROADCAST_ROWS
     texts = base.select("_row", "_text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
+    return materialize(map_rows(texts, lambda rows: {"_set": [shingles(words_of(x)).tobytes() for x in rows["_text"]]}, "_row long, _set binary"), "sets")
 
-    def make(rows: Lists) -> dict[str, list]:
-        return {"_set": [shingles(words_of(x)).tobytes() for x in rows["_text"]]}
 
-    sets = materialize(map_rows(texts, make, "_row long, _set binary"), "sets")
+def _alike(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= threshold * union."""
+    if min(len(x), len(y)) * 100 < threshold * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def _verify(pairs: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of rows whose full shingle sets have 100 * intersection >= threshold * union."""
+    pairs = materialize(pairs, "pairs", narrow=True)
+    wanted = materialize(pairs.select(F.col("_a").alias("_row")).union(pairs.select("_b")).distinct(), "wanted", narrow=True)
+    sets = _sets(base, wanted)
     side = lambda x: sets.select(F.col("_row").alias(f"_{x}"), F.col("_set").alias(f"_set_{x}"))
 
     def check(rows: Lists) -> dict[str, list]:
         out: dict[str, list] = {"_a": [], "_b": []}
         for a, b, x, y in zip(rows["_a"], rows["_b"], rows["_set_a"], rows["_set_b"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) * 100 >= threshold * max(len(x), len(y)) else 0
-            if 100 * both >= threshold * (len(x) + len(y) - both):
+            if _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold):
                 out["_a"].append(a)
                 out["_b"].append(b)
         return out
@@ -240,12 +247,35 @@ def _wide(buckets: DataFrame, names: DataFrame, base: DataFrame) -> DataFrame:
     return made
 
 
-def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: DataFrame, threshold: float, miss: float, ranks: tuple[int, int]) -> DataFrame:
-    """Plausible pairs across components within buckets that hold several, of the given ranks among those of two
-    components in a block; pairs with the pivot are done already. A pair counts in the first band that it shares only.
-
-    Components only merge from round to round, and the best of merged lists are among the best of each, so the ranks
-    below those of this round are done."""
+def _by_key(keys: list[str], fn):
+    """A mapInPandas function that gives ``fn`` the rows of each key, which follow each other, and concatenates what it returns."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for part in parts:
+            if not len(part):
+                continue
+            key = part[keys].to_numpy()
+            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(part)]
+            done = []
+            for lo, hi in zip(edge, edge[1:]):
+                if last is not None and tuple(key[lo]) != last:
+                    done.append(fn(pd.concat(held, ignore_index=True)))
+                    held = []
+                held.append(part.iloc[lo:hi])
+                last = tuple(key[lo])
+            done = [x for x in done if x is not None]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held and (x := fn(pd.concat(held, ignore_index=True))) is not None:
+            yield x
+
+    return run
+
+
+def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: DataFrame, base: DataFrame, threshold: int, miss: float) -> DataFrame:
+    """Links across components within buckets that hold several, in full but for pairs of components that a link in the
+    same block joins; pairs with the pivot are done already. A pair counts in the first band that it shares only."""
     rows = _named(buckets, names).withColumn("_in", F.col("_comp") == F.col("_top"))
     rows = rows.withColumn("_tops", F.ceil(F.col("_n_top") / BLOCK).cast("int")).withColumn("_rests", F.ceil(F.col("_n_rest") / BLOCK).cast("int"))
     place = lambda n: F.pmod(F.xxhash64("_rid"), n).cast("int")
@@ -253,14 +283,19 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: Da
     # The largest component's blocks meet the others' only: within it there is nothing to find.
     rows = rows.join(classes.select("_rid", "_sig"), "_rid").join(wide, "_rid").withColumn("_other", F.explode(F.sequence(F.when(F.col("_in"), F.col("_tops")).otherwise(F.lit(0)), F.col("_tops") + F.col("_rests") - 1)))
     rows = rows.select("_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_rid", "_comp", "_sig", "_more")
-    least, (low, high) = least_matches(threshold, miss), ranks
-    least_wide = least_matches(threshold, miss, tuple(range(HASHES + WIDE_BATCH, HASHES + WIDE + 1, WIDE_BATCH)))
-
-    def compare(bucket: int, own: np.ndarray, rid: np.ndarray, comp: np.ndarray, sig: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    least = least_matches(threshold / 100, miss)
+    least_wide = least_matches(threshold / 100, miss, tuple(range(HASHES + WIDE_BATCH, HASHES + WIDE + 1, WIDE_BATCH)))
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
+        """The members of a block with plausible partners, in parts of up to ``MEET`` members of either side."""
+        own, rid, comp = (g[c].to_numpy() for c in ("_own", "_rid", "_comp"))
+        alone = g["_i"].iat[0] == g["_j"].iat[0]
+        if comp.min() == comp.max() or not alone and own.min() == own.max():
+            return None
+        sig, more = _matrix(list(g["_sig"])), np.frombuffer(b"".join(g["_more"]), "u1").reshape(len(g), WIDE)
         left = np.flatnonzero(own == own.min())
-        alone = own.min() == own.max()
         right = left if alone else np.flatnonzero(own != own.min())
-        band = int(np.argmax(_bands(sig[:1])[0] == bucket))
+        band = int(np.argmax(_bands(sig[:1])[0] == g["_bucket"].iat[0]))
         a, b, n = [], [], []
         for i in left:
             at = right[(comp[right] != comp[i]) & ((right > i) | (not alone))]
@@ -280,39 +315,56 @@ def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: Da
                 part = slice(k * WIDE_BATCH, (k + 1) * WIDE_BATCH)
                 equal = equal + (more[at, part] == more[i, part]).sum(axis=1)
                 at, equal = at[equal >= m], equal[equal >= m]
-            a.append(np.full(len(at), i))
-            b.append(at)
-            n.append(equal)
-        a, b, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, n))
-        first, second = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-        order = np.lexsort((np.maximum(rid[a], rid[b]), np.minimum(rid[a], rid[b]), -n, second, first))
-        a, b, first, second = a[order], b[order], first[order], second[order]
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])[: len(a)]
-        rank = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else a
-        kept = (rank >= low) & (rank < high)
-        return rid[a[kept]], rid[b[kept]]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for part in (*parts, None):
-            kept = pd.concat([kept, part], ignore_index=True) if kept is not None and part is not None else part if kept is None else kept
-            if kept is None or not len(kept):
-                continue
-            key = kept[["_bucket", "_i", "_j"]].to_numpy()
-            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), *([len(kept)] if part is None else [])]
-            out = []
-            for lo, hi in zip(edge, edge[1:]):
-                g = kept.iloc[lo:hi]
-                if g["_comp"].nunique() > 1 and (g["_i"].iat[0] == g["_j"].iat[0] or g["_own"].nunique() > 1):
-                    more = np.frombuffer(b"".join(g["_more"]), "u1").reshape(len(g), WIDE)
-                    out.append(compare(int(g["_bucket"].iat[0]), g["_own"].to_numpy(), g["_rid"].to_numpy(), g["_comp"].to_numpy(), _matrix(list(g["_sig"])), more))
-            kept = kept.iloc[edge[-1] :]
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)}).drop_duplicates()
-
-    sorted_ = rows.repartition("_bucket", "_i", "_j").sortWithinPartitions("_bucket", "_i", "_j")
-    return sorted_.mapInPandas(run, "_a long, _b long").distinct()
+            if len(at):
+                a.append(np.full(len(at), i))
+                b.append(at)
+                n.append(equal)
+        if not a:
+            return None
+        a, b, n = map(np.concatenate, (a, b, n))
+        chunk = lambda x: np.unique(x, return_inverse=True)[1] // MEET
+        sub = chunk(a) * (1 << 20) + chunk(b)
+        out: dict[str, list] = {"_sub": [], "_at": [], "_with": [], "_equal": []}
+        for k in np.unique(sub):
+            here = sub == k
+            x, y, z = a[here], b[here], n[here]
+            for i in np.unique(np.concatenate([x, y])):
+                own_pairs = x == i
+                for c, v in zip(out, (int(k), int(i), rid[y[own_pairs]].tolist(), z[own_pairs].tolist())):
+                    out[c].append(v)
+        at = np.array(out.pop("_at"))
+        key = {c: g[c].iat[0] for c in ("_bucket", "_i", "_j")}
+        return pd.DataFrame({**key, "_rid": rid[at], "_comp": comp[at], **out})
+
+    def check(g: pd.DataFrame) -> pd.DataFrame | None:
+        """Links of a part, the most alike pairs first; components that are joined here are one from then on."""
+        sets = dict(zip(g["_rid"], (np.frombuffer(x, np.uint64) for x in g["_set"])))
+        comp = dict(zip(g["_rid"], g["_comp"]))
+        pairs = sorted((-e, min(i, j), max(i, j)) for i, js, es in zip(g["_rid"], g["_with"], g["_equal"]) for j, e in zip(js, es))
+        into: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in into:
+                c = into[c]
+            return c
+
+        found = []
+        for _, i, j in pairs:
+            x, y = root(comp[i]), root(comp[j])
+            if x != y and _alike(sets[i], sets[j], threshold):
+                into[max(x, y)] = min(x, y)
+                found.append((i, j))
+        return pd.DataFrame(found, columns=["_a", "_b"]) if found else None
+
+    block, part = ["_bucket", "_i", "_j"], ["_bucket", "_i", "_j", "_sub"]
+    near = rows.repartition(*block).sortWithinPartitions(*block).mapInPandas(_by_key(block, compare), "_bucket long, _i int, _j int, _rid long, _comp long, _sub long, _with array<long>, _equal array<long>")
+    near = materialize(near, "near", narrow=True)
+    wanted = materialize(near.select(F.col("_rid").alias("_row")).distinct(), "wanted", narrow=True)
+    sets = _sets(base, wanted)
+    met = near.join(sets.withColumnRenamed("_row", "_rid"), "_rid").repartition(*part).sortWithinPartitions(*part)
+    links = materialize(met.mapInPandas(_by_key(part, check), "_a long, _b long").distinct(), "found", narrow=True)
+    discard(near, wanted, sets)
+    return links
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -333,17 +385,12 @@ def group(base: DataFrame, threshold: int = 75, miss: float = 1e-7) -> DataFrame
     links = _verify(_bayes(stars, classes, share, miss), base, threshold)
     names = components(links)
     wide = _wide(buckets, names, base)
-    for ranks in zip((0, *RANKS), RANKS):
-        rest = materialize(_residual(buckets, classes, names, wide, share, miss, ranks), "rest", narrow=True)
-        if rest.isEmpty():
-            discard(rest)
-            break  # no two components have a pair of this rank, so none of a later one
-        more = _verify(rest, base, threshold)
-        if not more.isEmpty():
-            links, old = materialize(links.union(more), "found", narrow=True), (links, names)
-            names = components(links)
-            discard(*old)
-        discard(rest, more)
+    more = _residual(buckets, classes, names, wide, base, threshold, miss)
+    if not more.isEmpty():
+        links, old = materialize(links.union(more), "found", narrow=True), (links, names)
+        names = components(links)
+        discard(*old)
+    discard(more)
     comp = classes.join(names, "_rid", "left").select("_class", F.coalesce("_comp", "_rid").alias("_comp"), "_least")
     least = comp.groupBy("_comp").agg(F.min("_least").alias("_least"))
     by_class = materialize(comp.select("_class", "_comp").join(least, "_comp").select("_class", F.col("_least.id").alias("_cid"), F.col("_least.row").alias("_crow")), "groups")

@@ -69,9 +69,10 @@ def test_posterior_bounds():
     assert 1e-6 < near_dedup.loss() < 1 / 140_000 and near_dedup.loss(0.8) < 1e-7
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_blocks_of_large_buckets_lose_no_link(docs, monkeypatch, block):
+@pytest.mark.parametrize("block,meet", [(7, 3), (7, 512), (4096, 5), (4096, 512)])
+def test_blocks_of_large_buckets_lose_no_link(docs, monkeypatch, block, meet):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MEET", meet)
     draw = random.Random(12)
     base = [f"w{i}" for i in range(60)]
     chain = []  # one component of many, and outliers that share buckets with it and link with one member or none
