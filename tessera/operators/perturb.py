@@ -1,19 +1,19 @@
 """Seeded perturbations of table columns: noise, drift, outliers, bias and edge cases.
 
 Every draw is keyed by (seed, purpose, column, row key), so a result doesn't depend on partitions or row order. What an
-operator needs to know of a column (deviation, extremes, categories) is one aggregation joined back as one row.
+operator needs to know of a column (deviation, extremes) is one aggregation joined back as one row, or is given as
+``stats`` that were taken before (``column_stats``); categories are joined by their rank.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalars as S
-from tessera.functions.rng import gauss, pick, u01
-from tessera.functions.shared import cut
+from tessera.functions.rng import gauss, u01
+from tessera.operators.order import checked, ordinals, ranked_values
 from tessera.operators.profile import plain_numeric
 
 
@@ -29,31 +29,50 @@ def _whole(df: DataFrame, column: str, x: Column) -> Column:
     return F.rint(x).cast(kind) if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else x.cast(kind)
 
 
-def _with(df: DataFrame, stats: list[Column]) -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(*stats)))
+Stats = dict[str, dict[str, float | None]]
+
+
+def column_stats(df: DataFrame, columns: list[str]) -> Stats:
+    """What the numeric operators need to know of columns: mean, deviation and extremes, one row on the driver."""
+    made = [f(F.col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("mean", lambda x: F.avg(x.cast("double"))), ("sd", lambda x: F.stddev_pop(x.cast("double"))), ("low", F.min), ("high", F.max))]
+    row = df.agg(*made).first()
+    return {c: {k: row[f"{k}{i}"] for k in ("mean", "sd", "low", "high")} for i, c in enumerate(columns)}
+
+
+def _with(df: DataFrame, wanted: dict[str, tuple[str, str]], stats: Stats | None) -> DataFrame:
+    """``df`` with columns of a name each: (statistic, column), from ``stats`` or of the table itself."""
+    if stats is not None:
+        return df.select("*", *[F.lit(stats[c][k]).cast(df.schema[c].dataType if k in ("low", "high") else "double").alias(name) for name, (k, c) in wanted.items()])
+    own = {"mean": lambda c: F.avg(F.col(c).cast("double")), "sd": lambda c: F.stddev_pop(F.col(c).cast("double")), "low": F.min, "high": F.max}
+    return df.crossJoin(F.broadcast(df.agg(*[own[k](c).alias(name) for name, (k, c) in wanted.items()])))
 
 
 def _positive(x: Column) -> Column:
     return F.when(x > 0, x).otherwise(1.0)
 
 
-def noise(df: DataFrame, columns: list[str], key: list[str], seed: int, intensity: float, kind: str = "gaussian") -> DataFrame:
+def noise(df: DataFrame, columns: list[str], key: list[str], seed: int, intensity: float, kind: str = "gaussian", stats: Stats | None = None) -> DataFrame:
     """Adds normal noise of ``intensity`` deviations, or uniform noise of as large a share of the span; null stays null."""
-    names = df.columns
-    stats = [F.stddev_pop(F.col(c).cast("double")).alias(f"_s{i}") if kind == "gaussian" else (F.max(c) - F.min(c)).cast("double").alias(f"_s{i}") for i, c in enumerate(columns)]
-    out = _with(df, stats)
+    wanted = {f"_{k}{i}": (k, c) for i, c in enumerate(columns) for k in (("sd",) if kind == "gaussian" else ("low", "high"))}
+    out = _with(df, wanted, stats)
     for i, c in enumerate(columns):
+        size = F.col(f"_sd{i}") if kind == "gaussian" else (F.col(f"_high{i}") - F.col(f"_low{i}")).cast("double")
         draw = gauss(u01(seed, f"noise:{c}:a", *key), u01(seed, f"noise:{c}:b", *key)) if kind == "gaussian" else 2 * u01(seed, f"noise:{c}", *key) - 1
-        out = out.withColumn(c, _whole(df, c, F.col(c) + draw * intensity * _positive(F.col(f"_s{i}"))))
-    return out.select(*names)
+        out = out.withColumn(c, _whole(df, c, F.col(c) + draw * intensity * _positive(size)))
+    return out.select(*df.columns)
 
 
 def categorical_swap(df: DataFrame, column: str, key: list[str], seed: int, intensity: float) -> DataFrame:
-    """A share of values becomes another observed value; nothing changes with fewer than two."""
-    seen = df.agg(F.array_sort(F.collect_set(column)).alias("_seen"))
-    other = F.array_remove("_seen", F.col(column))
-    hit = (u01(seed, f"swap:{column}", *key) < intensity) & (F.size("_seen") > 1) & F.col(column).isNotNull()
-    return df.crossJoin(F.broadcast(seen)).withColumn(column, F.when(hit, pick(u01(seed, f"swap:{column}:to", *key), other)).otherwise(F.col(column))).select(*df.columns)
+    """A share of values becomes another observed value; nothing changes with fewer than two.
+
+    Only the rows that change meet the ranks of the values, and the values of the drawn ranks."""
+    ranks = checked(ranked_values(df, column))
+    hit = (u01(seed, f"swap:{column}", *key) < intensity) & F.col(column).isNotNull()
+    at = df.withColumn("_at", F.when(hit, F.col(column))).join(ranks.select(F.col("value").alias("_at"), F.col("rank").alias("_own"), "kinds"), "_at", "left")
+    k = F.floor(u01(seed, f"swap:{column}:to", *key) * (F.col("kinds") - 1)).cast("long")
+    drawn = at.withColumn("_to", F.when(F.col("kinds") > 1, F.when(k >= F.col("_own"), k + 1).otherwise(k)))
+    new = ranks.select(F.col("rank").alias("_to"), F.col("value").alias("_new"))
+    return drawn.join(new, "_to", "left").withColumn(column, F.coalesce("_new", column)).select(*df.columns)
 
 
 def text_noise(df: DataFrame, column: str, key: list[str], seed: int, intensity: float, kind: str = "char") -> DataFrame:
@@ -74,26 +93,14 @@ def text_noise(df: DataFrame, column: str, key: list[str], seed: int, intensity:
     return df.withColumn(column, out)
 
 
-def drift_covariate(df: DataFrame, columns: list[str], intensity: float, scale: float = 1.0, shift: float | None = None) -> DataFrame:
+def drift_covariate(df: DataFrame, columns: list[str], intensity: float, scale: float = 1.0, shift: float | None = None, stats: Stats | None = None) -> DataFrame:
     """Scales values and adds a shift, by default ``intensity`` deviations."""
-    out = _with(df, [F.coalesce(F.stddev_pop(F.col(c).cast("double")), F.lit(1.0)).alias(f"_s{i}") for i, c in enumerate(columns)])
+    out = _with(df, {f"_s{i}": ("sd", c) for i, c in enumerate(columns)}, stats) if shift is None else df
     for i, c in enumerate(columns):
-        out = out.withColumn(c, _whole(df, c, F.col(c) * scale + (F.lit(float(shift)) if shift is not None else intensity * F.col(f"_s{i}"))))
+        out = out.withColumn(c, _whole(df, c, F.col(c) * scale + (F.lit(float(shift)) if shift is not None else intensity * F.coalesce(F.col(f"_s{i}"), F.lit(1.0)))))
     return out.select(*df.columns)
 
 
-def ordinals(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
-    """``_i``, the place of each row in the total order of the key columns, and ``_n``, the number of rows.
-
-    Rows are numbered within range partitions, and a partition starts where the ones before it end, so no task holds all."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    # Written once: another run of the range shuffle could draw other bounds, and both sides below must agree on them.
-    local = cut(ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_c"))
-    starts = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_start"), F.sum("_c").over(W.partitionBy()).alias("_n"))
-    return local.join(F.broadcast(starts), "_p").withColumn("_i", F.col("_i") + F.col("_start")).drop("_p", "_start")
-
-
 def drift_temporal(df: DataFrame, column: str, order: list[str], intensity: float, slope: float = 1.0) -> DataFrame:
     """A trend along the given order, from nothing up to ``intensity * slope`` deviations."""
     sd = df.agg(F.coalesce(F.stddev_pop(F.col(column).cast("double")), F.lit(1.0)).alias("_s"))
@@ -110,9 +117,10 @@ def relabel(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
 
 def rotate(df: DataFrame, column: str) -> DataFrame:
     """Each category becomes the next in order, the last the first."""
-    seen = df.agg(F.array_sort(F.collect_set(column)).alias("_seen"))
-    at = F.array_position("_seen", F.col(column))
-    return df.crossJoin(F.broadcast(seen)).withColumn(column, F.when(F.col(column).isNotNull(), F.get("_seen", F.pmod(at, F.size("_seen")).cast("int")))).select(*df.columns)
+    ranks = ranked_values(df, column)
+    after = ranks.select(F.col("rank").alias("next"), F.col("value").alias("_new"))
+    step = checked(ranks.withColumn("next", (F.col("rank") + 1) % F.col("kinds")).join(after, "next").select(F.col("value").alias(column), "_new"))
+    return df.join(step, column, "left").withColumn(column, F.col("_new")).select(*df.columns)
 
 
 def text_progressive(df: DataFrame, column: str, order: list[str], seed: int, intensity: float) -> DataFrame:
@@ -123,9 +131,9 @@ def text_progressive(df: DataFrame, column: str, order: list[str], seed: int, in
     return ordinals(df, order).withColumn(column, S.char_typos(F.col(column), rate, draw("hit"), draw("kind"), draw("letter"))).select(*df.columns)
 
 
-def outlier_point(df: DataFrame, column: str, key: list[str], seed: int, intensity: float, magnitude: float = 5.0) -> DataFrame:
+def outlier_point(df: DataFrame, column: str, key: list[str], seed: int, intensity: float, magnitude: float = 5.0, stats: Stats | None = None) -> DataFrame:
     """A share of values becomes the mean plus or minus ``magnitude`` deviations."""
-    out = _with(df, [F.avg(F.col(column).cast("double")).alias("_m"), F.stddev_pop(F.col(column).cast("double")).alias("_s")])
+    out = _with(df, {"_m": ("mean", column), "_s": ("sd", column)}, stats)
     far = F.col("_m") + F.when(u01(seed, f"outlier:{column}:sign", *key) < 0.5, -1.0).otherwise(1.0) * magnitude * _positive(F.col("_s"))
     return out.withColumn(column, F.when(u01(seed, f"outlier:{column}", *key) < intensity, _whole(df, column, far)).otherwise(F.col(column))).select(*df.columns)
 
@@ -156,12 +164,12 @@ def edge_nulls(df: DataFrame, column: str, key: list[str], seed: int, intensity:
     return df.withColumn(column, F.when(u01(seed, f"edge:{column}", *key) >= intensity, F.col(column)))
 
 
-def edge_boundary(df: DataFrame, column: str, key: list[str], seed: int, intensity: float) -> DataFrame:
+def edge_boundary(df: DataFrame, column: str, key: list[str], seed: int, intensity: float, stats: Stats | None = None) -> DataFrame:
     """A share of numbers becomes the least or the greatest; of strings, empty."""
     hit = u01(seed, f"edge:{column}", *key) < intensity
     if column not in plain_numeric(df):
         return df.withColumn(column, F.when(hit, F.lit("")).otherwise(F.col(column)))
-    out = _with(df, [F.min(column).alias("_lo"), F.max(column).alias("_hi")])
+    out = _with(df, {"_lo": ("low", column), "_hi": ("high", column)}, stats)
     return out.withColumn(column, F.when(hit, F.when(u01(seed, f"edge:{column}:side", *key) < 0.5, F.col("_lo")).otherwise(F.col("_hi"))).otherwise(F.col(column))).select(*df.columns)
 
 
@@ -177,21 +185,27 @@ def edge_text(df: DataFrame, column: str, key: list[str], seed: int, intensity:
     return df.withColumn(column, F.when(u01(seed, f"edge:{column}", *key) < intensity, odd).otherwise(F.col(column)))
 
 
-def perturb(df: DataFrame, family: str, column: str, key: list[str], seed: int, intensity: float, kind: str | None = None, **params) -> DataFrame:
-    """One perturbation by family and kind on a column; image, audio and video have none."""
+#: Families and kinds that use statistics of the whole column.
+NEED_STATS = {("noise", None), ("noise", "gaussian"), ("noise", "uniform"), ("drift", None), ("drift", "covariate"), ("outlier", None), ("edge", "boundary")}
+#: Those that need all rows at once: ranks of values, places in an order, draws among all rows.
+NEED_TABLE = {("noise", "swap"), ("drift", "temporal"), ("drift", "concept"), ("drift", "progressive"), ("bias", None)}
+
+
+def perturb(df: DataFrame, family: str, column: str, key: list[str], seed: int, intensity: float, kind: str | None = None, stats: Stats | None = None, **params) -> DataFrame:
+    """One perturbation by family and kind on a column; image, audio and video have none. ``stats`` take the place of the table's own."""
     number = column in plain_numeric(df)
     table = {
-        ("noise", None): lambda: noise(df, [column], key, seed, intensity) if number else categorical_swap(df, column, key, seed, intensity),
-        ("noise", "gaussian"): lambda: noise(df, [column], key, seed, intensity), ("noise", "uniform"): lambda: noise(df, [column], key, seed, intensity, "uniform"),
+        ("noise", None): lambda: noise(df, [column], key, seed, intensity, stats=stats) if number else categorical_swap(df, column, key, seed, intensity),
+        ("noise", "gaussian"): lambda: noise(df, [column], key, seed, intensity, stats=stats), ("noise", "uniform"): lambda: noise(df, [column], key, seed, intensity, "uniform", stats),
         ("noise", "swap"): lambda: categorical_swap(df, column, key, seed, intensity),
         **{("noise", k): (lambda k=k: text_noise(df, column, key, seed, intensity, k)) for k in ("char", "word", "mask")},
-        ("drift", None): lambda: drift_covariate(df, [column], intensity, **params), ("drift", "covariate"): lambda: drift_covariate(df, [column], intensity, **params),
+        ("drift", None): lambda: drift_covariate(df, [column], intensity, stats=stats, **params), ("drift", "covariate"): lambda: drift_covariate(df, [column], intensity, stats=stats, **params),
         ("drift", "temporal"): lambda: drift_temporal(df, column, key, intensity, **params), ("drift", "concept"): lambda: relabel(df, column, params["mapping"]) if params.get("mapping") else rotate(df, column),
         ("drift", "progressive"): lambda: text_progressive(df, column, key, seed, intensity),
-        ("outlier", None): lambda: outlier_point(df, column, key, seed, intensity, **params) if number else outlier_value(df, column, key, seed, intensity, **params),
+        ("outlier", None): lambda: outlier_point(df, column, key, seed, intensity, stats=stats, **params) if number else outlier_value(df, column, key, seed, intensity, **params),
         ("bias", None): lambda: bias_resample(df, column, key, seed, **params),
         ("edge", None): lambda: edge_nulls(df, column, key, seed, intensity), ("edge", "nulls"): lambda: edge_nulls(df, column, key, seed, intensity),
-        ("edge", "boundary"): lambda: edge_boundary(df, column, key, seed, intensity), ("edge", "format"): lambda: edge_format(df, column, key, seed, intensity), ("edge", "text"): lambda: edge_text(df, column, key, seed, intensity),
+        ("edge", "boundary"): lambda: edge_boundary(df, column, key, seed, intensity, stats), ("edge", "format"): lambda: edge_format(df, column, key, seed, intensity), ("edge", "text"): lambda: edge_text(df, column, key, seed, intensity),
     }
     if (family, kind) not in table:
         raise NotImplementedError(f"no perturbation {family}/{kind}")

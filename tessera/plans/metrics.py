@@ -278,7 +278,7 @@ def sample_without_replacement(spark, d):
 JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) USING (place)""")
 def sample_with_replacement(spark, d):
     from tessera.functions.rng import u01
-    from tessera.operators.perturb import ordinals
+    from tessera.operators.order import ordinals
 
     c = ordinals(read(spark, d, "customer").select("c_custkey"), ["c_custkey"])
     n = read(spark, d, "customer").count()
@@ -306,7 +306,7 @@ def except_absent_relations(spark, d):
 
 @query("dense_node_index", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer")
 def dense_node_index(spark, d):
-    from tessera.operators.perturb import ordinals
+    from tessera.operators.order import ordinals
 
     return ordinals(read(spark, d, "customer").select("c_custkey"), ["c_custkey"]).select("c_custkey", F.col("_i").alias("idx"))
 
@@ -320,7 +320,7 @@ def version_lookup(spark, d):
 
 @query("prompt_label_alignment", f"SELECT row_number() OVER (ORDER BY conv_id, turn) AS ordinal, question, answer FROM {_QA} WHERE answer IS NOT NULL")
 def prompt_label_alignment(spark, d):
-    from tessera.operators.perturb import ordinals
+    from tessera.operators.order import ordinals
 
     rows = ordinals(_qa(spark, d).where("answer is not null"), ["conv_id", "turn"])
     return rows.select((F.col("_i") + 1).alias("ordinal"), "question", "answer")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import judges, profile
+from tessera.operators.order import running
 from tessera.plans.registry import query, read
 
 
@@ -190,7 +191,7 @@ def ks_two_sample(spark, d):
 @query("ecdf", "SELECT l_quantity AS x, round(sum(n) OVER (ORDER BY l_quantity) / sum(n) OVER (), 6)::DOUBLE AS share FROM (SELECT l_quantity, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1)")
 def ecdf(spark, d):
     n = read(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
-    return n.select("x", r6(F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(W.partitionBy()), "share"))
+    return running(n.withColumn("g", F.lit(0)), ["g"], ["x"], ["n"]).select("x", r6(F.col("cum_n") / F.col("all_n"), "share"))
 
 
 _JS = f"""SELECT 'o_orderpriority' AS "column", round(sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)), 6) AS js FROM (SELECT coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM
