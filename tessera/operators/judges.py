@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import clamp01
+from tessera.functions.shared import cut
+from tessera.operators.order import running
 from tessera.operators.profile import categorical_columns, correlations, numeric_columns, shared_columns
 
 #: Weights of the dimensions in the overall score, the media ones last and so in force where names meet.
@@ -28,12 +30,11 @@ def _long(df: DataFrame, names: list[str], kind: str) -> DataFrame:
 def ks(subject: DataFrame, reference: DataFrame, names: list[str]) -> DataFrame:
     """(column, ks): largest distance of the two empirical distributions, all columns at once.
 
-    Rows are counted by value before any order is needed, so the window runs over distinct values of each column."""
+    Rows are counted by value before any order is needed; running sums over the values are made by range partitions."""
     side = lambda df, s, r: _long(df, names, "double").where("x is not null and not isnan(x)").select("column", "x", F.lit(s).alias("s"), F.lit(r).alias("r"))
     counts = side(subject, 1, 0).union(side(reference, 0, 1)).groupBy("column", "x").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
-    run, whole = W.partitionBy("column").orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("column")
-    cum = counts.select("column", F.sum("s").over(run).alias("cs"), F.sum("r").over(run).alias("cr"), F.sum("s").over(whole).alias("ns"), F.sum("r").over(whole).alias("nr"))
-    return cum.where("ns > 0 and nr > 0").groupBy("column").agg(F.max(F.abs(F.col("cs") / F.col("ns") - F.col("cr") / F.col("nr"))).alias("ks"))
+    cum = running(counts, ["column"], ["x"], ["s", "r"])
+    return cum.where("all_s > 0 and all_r > 0").groupBy("column").agg(F.max(F.abs(F.col("cum_s") / F.col("all_s") - F.col("cum_r") / F.col("all_r"))).alias("ks"))
 
 
 def js(subject: DataFrame, reference: DataFrame, names: list[str]) -> DataFrame:
@@ -102,30 +103,126 @@ def exact_duplicates(subject: DataFrame, reference: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("n")).crossJoin(s.join(r, same, "left_semi").agg(F.count("*").alias("n_copies"))).withColumn("rate", F.when(F.col("n") > 0, F.col("n_copies") / F.col("n")).otherwise(0.0))
 
 
+CELL = 512
+SAMPLE = 65_536
+
+
+def _cells(reference: DataFrame, columns: list[Column], n: int) -> list[tuple[int, float, int, int]]:
+    """A k-d tree whose leaves hold about ``CELL`` reference rows, at most 8,192 leaves: (dimension, cut, left, right) of each node, or a leaf's number as dimension -1 - number.
+
+    It is split at medians of a sample of at most about ``SAMPLE`` rows; any tree gives exact results."""
+    share = min(1.0, SAMPLE / max(1, n))
+    some = reference.select(F.array(*columns).alias("v")).where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1)).limit(4 * SAMPLE).toArrow().column(0).to_pylist()
+    x, least = np.array(some, np.float64).reshape(-1, len(columns)), max(8.0, CELL * share)
+    nodes: list[tuple[int, float, int, int]] = []
+    leaves = 0
+    todo = [(x, 0, -1, 0)]
+    while todo:
+        rows, depth, parent, side = todo.pop()
+        me = len(nodes)
+        if parent >= 0:
+            d, cut_, left, right = nodes[parent]
+            nodes[parent] = (d, cut_, left if side else me, me if side else right)
+        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(len(columns))
+        d = int(np.argmax(spread))
+        if len(rows) <= 1.5 * least or spread[d] == 0 or depth >= 13:
+            nodes.append((-1 - leaves, 0.0, 0, 0))
+            leaves += 1
+            continue
+        at = float(np.median(rows[:, d]))
+        if at >= rows[:, d].max():  # more than half are equal to the greatest: the rest goes left
+            at = float(rows[rows[:, d] < at, d].max())
+        nodes.append((d, at, -1, -1))
+        todo += [(rows[rows[:, d] > at], depth + 1, me, 1), (rows[rows[:, d] <= at], depth + 1, me, 0)]
+    return nodes
+
+
+def _leaf_of(nodes: list[tuple[int, float, int, int]], x: np.ndarray) -> np.ndarray:
+    out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        d, at, left, right = nodes[node]
+        if d < 0:
+            out[rows] = -1 - d
+            continue
+        low = x[rows, d] <= at
+        todo += [(n, r) for n, r in ((left, rows[low]), (right, rows[~low])) if len(r)]
+    return out
+
+
 def nearest_distances(subject: DataFrame, reference: DataFrame, names: list[str], key: str, block: int = 4096) -> DataFrame:
     """(key, distance): Euclidean distance of each subject row to its nearest reference row, columns scaled by the reference's mean and deviation.
 
-    Exact: subject and reference meet in a grid of blocks, matrix product by matrix product, and a minimum is taken."""
-    stats = reference.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)], *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    Exact: distinct reference rows are dealt to the cells of a k-d tree, whose bounding boxes are one row a cell on the
+    driver. A subject row first meets the cell whose box is nearest, and then those whose boxes are nearer than what it
+    found there; cells meet in blocks of ``block`` rows."""
+    stats = reference.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)], *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(names)]).first()
     scaled = [F.coalesce((F.col(c).cast("double") - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0), F.lit(0.0)) for i, c in enumerate(names)]
-    n_s, n_r = (max(1, -(-df.count() // block)) for df in (subject, reference))
-    side = lambda df, own, other, n_own, n_other, *more: df.select(*more, F.array(*scaled).alias("v")).withColumn(own, F.pmod(F.xxhash64("v"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    left = side(subject, "i", "j", n_s, n_r, F.col(key).alias("k"))
-    right = side(reference, "j", "i", n_r, n_s)
+    spark, dims = subject.sparkSession, len(names)
+    nodes = spark.sparkContext.broadcast(_cells(reference, scaled, stats["n"]))
+    kind = subject.schema[key].dataType.simpleString()
+
+    def own_cell(batches):
+        for b in batches:
+            v = np.array(b.column("v").to_pylist(), np.float64).reshape(-1, dims)
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(_leaf_of(nodes.value, v), pa.int64())], names=["v", "cell"])
+
+    cells = cut(reference.select(F.array(*scaled).alias("v")).distinct().mapInArrow(own_cell, "v array<double>, cell long"))
+    boxes = cells.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("v")[i]).alias(f"{s}{i}") for i in range(dims) for s, f in (("lo", F.min), ("hi", F.max))]).collect()
+    if not boxes:
+        return subject.select(F.col(key), F.lit(None).cast("double").alias("distance"))
+    held = spark.sparkContext.broadcast((np.array([r["cell"] for r in boxes]), np.array([[r[f"lo{i}"] for i in range(dims)] for r in boxes]), np.array([[r[f"hi{i}"] for i in range(dims)] for r in boxes]), np.array([-(-r["n"] // block) for r in boxes])))
+
+    def route(first: bool):
+        """Rows for the blocks of the cells that a subject row asks: the nearest box's, then all whose boxes are nearer than the distance so far, but that one's."""
+        def run(batches):
+            ids, lo, hi, parts = held.value
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    v = np.array(part.column("v").to_pylist(), np.float64).reshape(-1, dims)
+                    far = np.zeros((len(v), len(ids)))
+                    for d in range(dims):
+                        far += np.maximum(0.0, np.maximum(lo[None, :, d] - v[:, None, d], v[:, None, d] - hi[None, :, d])) ** 2
+                    best = np.argmin(far, axis=1)
+                    if first:
+                        row, cell = np.arange(len(v)), best
+                    else:
+                        limit = np.array(part.column("distance").to_pylist(), np.float64) ** 2
+                        row, cell = np.nonzero((far < limit[:, None]) & (np.arange(len(ids))[None, :] != best[:, None]))
+                    row, cell = np.repeat(row, parts[cell]), np.repeat(cell, parts[cell])
+                    block_ = np.arange(len(cell)) - np.maximum.accumulate(np.where(np.concatenate([[True], (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])])[: len(cell)], np.arange(len(cell)), 0)) if len(cell) else cell
+                    took = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([took.column("k"), took.column("v"), pa.array(ids[cell], pa.int64()), pa.array(block_, pa.int32())], names=["k", "v", "cell", "part"])
+
+        return run
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = (np.array(t.column("v").to_pylist(), np.float64).reshape(-1, len(names)) for t in (a, b))
-        if not len(x) or not len(y):
+        if not a.num_rows or not b.num_rows:
             return pa.table({"k": a.column("k").slice(0, 0), "distance": pa.array([], pa.float64())})
+        x, y = (np.array(t.column("v").to_pylist(), np.float64).reshape(-1, dims) for t in (a, b))
         low = np.full(len(x), np.inf)
-        for at in range(0, len(y), 512):
-            part = y[at : at + 512]
-            low = np.minimum(low, ((x[:, None, :] - part[None, :, :]) ** 2).sum(2).min(1))
+        for at in range(0, len(x), 256):
+            for to in range(0, len(y), 512):
+                low[at : at + 256] = np.minimum(low[at : at + 256], ((x[at : at + 256, None, :] - y[None, to : to + 512, :]) ** 2).sum(2).min(1))
         return pa.table({"k": a.column("k"), "distance": pa.array(np.sqrt(low))})
 
-    kind = subject.schema[key].dataType.simpleString()
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, f"k {kind}, distance double")
-    return met.groupBy(F.col("k").alias(key)).agg(F.min("distance").alias("distance"))
+    counts = spark.createDataFrame([(r["cell"], -(-r["n"] // block)) for r in boxes], "cell long, parts int")
+    right = cells.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int")).select("cell", "part", "v")
+
+    def asked(rows: DataFrame, first: bool) -> DataFrame:
+        routed = rows.mapInArrow(route(first), f"k {kind}, v array<double>, cell long, part int")
+        salted = routed.withColumn("salt", F.pmod(F.xxhash64("k", "v"), F.lit(salts)).cast("int"))
+        spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on = ("cell", "part", "salt")
+        met = salted.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(meet, f"k {kind}, distance double")
+        return met.groupBy("k").agg(F.min("distance").alias("distance"))
+
+    rows = cut(subject.select(F.col(key).alias("k"), F.array(*scaled).alias("v")))
+    salts = max(1, -(-rows.count() // (len(boxes) * 16 * block)))  # a cell that many subject rows ask is met in several tasks
+    near = cut(asked(rows, True))
+    more = asked(rows.join(near, "k"), False)
+    return near.unionByName(more).groupBy(F.col("k").alias(key)).agg(F.min("distance").alias("distance"))
 
 
 def privacy(subject: DataFrame, reference: DataFrame, key: str) -> DataFrame:
