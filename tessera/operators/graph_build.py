@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,26 +13,100 @@ from tessera.functions import scalars as S
 from tessera.functions.rng import u01
 from tessera.functions.shared import cut
 from tessera.operators.graph import Ontology, both_ways, resolved
-from tessera.operators.perturb import ordinals
+from tessera.operators.order import checked, ordinals, places, running
+
+
+#: Draws of a block of pair numbers: a block is as long as so many draws are expected to reach, and has half as many more.
+DRAWS = 1024
+
 
+def _skipped(spark: SparkSession, spaces: list[tuple[int, float]], seed: int, purpose: str) -> DataFrame:
+    """(space, at): numbers below each space's size, each chosen with the space's chance, independently.
 
-def _pairs(spark: SparkSession, n: int) -> DataFrame:
-    """Every a < b below n, made row by row from sequences; the number of pairs is the size of what a density asks for."""
-    return spark.range(n).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(n))).alias("b")).where(F.col("b") < n)
+    A geometric draw leads from one chosen number to the next, so work is that of the chosen ones. Numbers are dealt to
+    blocks, which draw for themselves; the chance that a block's draws end before it does is below 1e-30."""
+    made = [(i, n, float(p), max(1, int(DRAWS / p))) for i, (n, p) in enumerate(spaces) if n > 0 and p > 0]
+    if not made:
+        return spark.createDataFrame([], "space int, at long")
+    ends = list(accumulate(-(-n // size) for _, n, _, size in made))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), "s")
+    blocks = spark.range(ends[-1]).withColumn("s", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("id"))))
+    blocks = blocks.select(pick([x[0] for x in made]).alias("space"), pick([x[1] for x in made]).cast("long").alias("n"), pick([math.log1p(-p) if p < 1 else 0.0 for _, _, p, _ in made]).alias("miss"), pick([x[3] for x in made]).cast("long").alias("size"), (F.col("id") - pick([0, *ends])).alias("k"))
+    draws = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(DRAWS + DRAWS // 2 - 1))))
+    skip = F.when(F.col("miss") == 0, 1).otherwise(F.floor(F.log(F.lit(1.0) - u01(seed, purpose, "space", "k", "j")) / F.col("miss")) + 1).cast("long")
+    upto = W.partitionBy("space", "k").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
+    at = draws.select("space", "n", "size", "k", (F.sum(skip).over(upto) - 1).alias("o")).where("o < size")
+    return at.select("space", (F.col("k") * F.col("size") + F.col("o")).alias("at"), "n").where("at < n").drop("n")
+
+
+def _triangle(at: Column) -> tuple[Column, Column]:
+    """The pair a < b that has this number, counting b's pairs after those of all below it."""
+    b = F.floor((F.sqrt(F.lit(8.0) * at + 1) + 1) / 2).cast("long")
+    b = F.when(b * (b - 1) / 2 > at, b - 1).when(b * (b + 1) / 2 <= at, b + 1).otherwise(b)  # the root may be rounded
+    return (at - b * (b - 1) / 2).cast("long"), b
 
 
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int) -> DataFrame:
-    return _pairs(spark, n).where(u01(seed, "er", "a", "b") < p)
+    a, b = _triangle(F.col("at"))
+    return _skipped(spark, [(n * (n - 1) // 2, p)], seed, "er").select(a.alias("a"), b.alias("b"))
 
 
 def stochastic_blocks(spark: SparkSession, sizes: list[int], inside: float, across: float, seed: int) -> DataFrame:
-    """Edges by chance, more likely within a block; blocks are ranges of node numbers."""
-    ends, total = [], 0
-    for s in sizes:
-        total += s
-        ends.append(total)
-    block = lambda c: F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(c)))
-    return _pairs(spark, total).where(u01(seed, "sbm", "a", "b") < F.when(block("a") == block("b"), inside).otherwise(across))
+    """Edges by chance, more likely within a block; blocks are ranges of node numbers. Each two blocks are a space of pairs of their own."""
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    within = [(starts[i], starts[i], sizes[i]) for i in range(len(sizes))]
+    between = [(starts[i], starts[j], sizes[i]) for i in range(len(sizes)) for j in range(i + 1, len(sizes))]
+    spaces = [(n * (n - 1) // 2, inside) for n in sizes] + [(sizes[i] * sizes[j], across) for i in range(len(sizes)) for j in range(i + 1, len(sizes))]
+    table = F.broadcast(spark.createDataFrame([(k, x, y, n, k < len(sizes)) for k, (x, y, n) in enumerate(within + between)], "space int, x long, y long, width long, own boolean"))
+    rows = _skipped(spark, spaces, seed, "sbm").join(table, "space")
+    a, b = _triangle(F.col("at"))
+    return rows.select((F.col("x") + F.when(F.col("own"), a).otherwise(F.col("at") % F.col("width"))).alias("a"), (F.col("y") + F.when(F.col("own"), b).otherwise(F.floor(F.col("at") / F.col("width")).cast("long"))).alias("b"))
+
+
+def _power(u: Column, low: float, high: float, exponent: float) -> Column:
+    """A draw of a power law between two bounds, by inversion."""
+    e = 1 - exponent
+    return F.pow(F.lit(low**e) + u * F.lit(high**e - low**e), F.lit(1 / e))
+
+
+def _least_degree(average: float, high: float, exponent: float) -> float:
+    """The lower bound at which a power law has this mean."""
+    def mean(low: float) -> float:
+        e, f = 1 - exponent, 2 - exponent
+        return (e / f if f else e) * ((high**f - low**f) if f else math.log(high / low)) / (high**e - low**e)
+
+    low, top = 1e-3, float(high)
+    for _ in range(80):
+        mid = (low + top) / 2
+        low, top = (mid, top) if mean(mid) < average else (low, mid)
+    return low
+
+
+def lfr(spark: SparkSession, n: int, seed: int, degree_exponent: float = 3.0, size_exponent: float = 1.5, mixing: float = 0.1, average_degree: float = 5.0, min_community: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, community; pairs a < b): degrees and community sizes by power laws, a share ``mixing`` of each node's links going elsewhere.
+
+    Communities are ranges of node numbers. A node's links within its community are half-edges that are paired in hashed
+    order there, the others are paired in hashed order over all; loops, repeated pairs, and outer pairs that meet in one
+    community drop, so degrees are met but for these. No step takes one node or link after another."""
+    least = min(n, min_community or max(10, n // 10))
+    high = max(least + 1.0, n / 2)
+    drawn = spark.range(-(-n // least)).select("id", F.floor(_power(u01(seed, "lfr:size", "id"), least, high, size_exponent)).cast("long").alias("size"), F.lit(0).alias("g"))
+    spans = running(drawn, ["g"], ["id"], ["size"]).select(F.col("id").alias("community"), (F.col("cum_size") - F.col("size")).alias("from"), "size").where(F.col("from") < n)
+    # What is left for the last community may be too little for one of its own: it goes to the one before.
+    spans = spans.withColumn("till", F.least(F.lit(n), F.col("from") + F.col("size")))
+    spans = spans.where((F.lit(n) - F.col("from") >= least) | (F.col("community") == 0)).withColumn("till", F.when(F.lit(n) - F.col("till") < least, F.lit(n)).otherwise(F.col("till")))
+    chunks = spans.withColumn("chunk", F.explode(F.sequence(F.col("from"), F.col("till") - 1, F.lit(100_000)))).repartition("community", "chunk")
+    nodes = chunks.select(F.explode(F.sequence("chunk", F.least(F.col("till"), F.col("chunk") + 100_000) - 1)).alias("id"), "community", (F.col("till") - F.col("from")).alias("size"))
+    most = max(2.0, min(n - 1.0, n**0.5 * average_degree))
+    real = _power(u01(seed, "lfr:degree", "id"), _least_degree(average_degree, most, degree_exponent), most, degree_exponent)
+    whole = lambda x, what: (F.floor(x) + (u01(seed, what, "id") < x - F.floor(x)).cast("int")).cast("int")
+    nodes = cut(nodes.withColumn("degree", F.greatest(F.lit(1), whole(real, "lfr:round"))))
+    nodes = nodes.withColumn("inner", F.least(whole(F.col("degree") * (1 - mixing), "lfr:inner"), (F.col("size") - 1).cast("int")))
+    halves = lambda count, what: nodes.where(count > 0).select("id", "community", F.explode(F.sequence(F.lit(1), count)).alias("h")).withColumn("u", u01(seed, what, "id", "h"))
+    near = places(halves(F.col("inner"), "lfr:near"), "community", ["u", "id", "h"]).withColumn("pair", F.floor(F.col("_k") / 2)).withColumn("far", F.lit(False))
+    far = ordinals(halves(F.col("degree") - F.col("inner"), "lfr:far"), ["u", "id", "h"]).withColumn("pair", F.floor(F.col("_i") / 2)).withColumn("far", F.lit(True))
+    ends = lambda df, *by: df.groupBy(*by, "pair").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), (F.min("community") == F.max("community")).alias("same"), F.first("far").alias("far")).where("n = 2 and a <> b and not (far and same)").select("a", "b")
+    return nodes.select("id", "community"), ends(near, "community").union(ends(far)).distinct()
 
 
 def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int) -> DataFrame:
@@ -101,8 +178,7 @@ def graph_from_sample(nodes: DataFrame, edges: DataFrame, n: int, seed: int) ->
     u = u01(seed, "type", "id")
     kind = F.coalesce(*[F.when(u < b, F.lit(t)) for t, b in cum], F.lit(cum[-1][0]))
     new_nodes = spark.range(n).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), kind.alias("type"), F.lit("{}").alias("props"))
-    by_type = W.partitionBy("type").orderBy("id")
-    ranked = new_nodes.withColumn("k", F.row_number().over(by_type) - 1)
+    ranked = cut(places(new_nodes, "type", ["id"]).withColumnRenamed("_k", "k"))
     sizes = new_nodes.groupBy("type").agg(F.count("*").alias("size"))
     rules = resolved(nodes, edges).where("source_type is not null and target_type is not null").groupBy("type", "source_type", "target_type").agg(F.count("*").alias("m"))
     rules = rules.join(nodes.groupBy(F.col("type").alias("source_type")).agg(F.count("*").alias("s")), "source_type").withColumn("per", F.col("m") / F.col("s"))
@@ -115,10 +191,10 @@ def graph_from_sample(nodes: DataFrame, edges: DataFrame, n: int, seed: int) ->
 
 def hybrid_props(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Nodes with the properties of given rows (type, props), dealt in turn within each type; types without rows keep theirs."""
-    a = nodes.withColumn("k", F.row_number().over(W.partitionBy("type").orderBy("id")) - 1)
-    b = rows.withColumn("k", F.row_number().over(W.partitionBy("type").orderBy("props")) - 1).select("type", "k", F.col("props").alias("new"))
-    size = rows.groupBy("type").agg(F.count("*").alias("size"))
-    dealt = a.join(F.broadcast(size), "type", "left").withColumn("k", F.when(F.col("size") > 0, F.col("k") % F.col("size")))
+    a = places(nodes, "type", ["id"]).withColumnRenamed("_k", "k").drop("_size")
+    b = places(rows, "type", ["props"]).select("type", F.col("_k").alias("k"), F.col("props").alias("new"))
+    size = checked(rows.groupBy("type").agg(F.count("*").alias("size")))
+    dealt = a.join(size, "type", "left").withColumn("k", F.when(F.col("size") > 0, F.col("k") % F.col("size")))
     return dealt.join(b, ["type", "k"], "left").select("id", "type", F.coalesce("new", "props").alias("props"))
 
 
@@ -187,15 +263,16 @@ def qa_exists(nodes: DataFrame, edges: DataFrame, ontology: Ontology) -> DataFra
 def qa_compare(edges: DataFrame) -> DataFrame:
     """Which of two neighbours in id order has more edges of a type: question and answer; equal counts ask nothing."""
     n = edges.groupBy("type", "source").agg(F.count("*").alias("n"))
-    nxt = W.partitionBy("type").orderBy("source")
-    rows = n.select("type", "source", "n", F.lead("source").over(nxt).alias("other"), F.lead("n").over(nxt).alias("m")).where("other is not null and n <> m")
+    at = ordinals(n, ["type", "source"]).drop("_n")
+    after = at.select((F.col("_i") - 1).alias("_i"), "type", F.col("source").alias("other"), F.col("n").alias("m"))
+    rows = at.join(after, ["_i", "type"]).where("n <> m")
     return rows.select("type", F.concat(F.lit("Which has more "), S.rel_phrase(F.col("type")), F.lit(" links, "), "source", F.lit(" or "), "other", F.lit("?")).alias("question"), F.when(F.col("n") > F.col("m"), F.col("source")).otherwise(F.col("other")).alias("answer"))
 
 
 def qa_checks(items: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """n, answerable, multi_hop, grounded: shares of items (path, answer) whose nodes all exist, whose path is joined hop by hop
     to the answer, and that name known nodes at all."""
-    rows = ordinals(items.select("path", "answer").distinct(), ["path", "answer"], 8).select(F.col("_i").alias("item"), "path", "answer")
+    rows = ordinals(items.select("path", "answer").distinct(), ["path", "answer"]).select(F.col("_i").alias("item"), "path", "answer")
     known = rows.select("item", F.explode("path").alias("id")).join(nodes.select("id").distinct().withColumn("ok", F.lit(1)), "id", "left").groupBy("item").agg(F.min(F.coalesce("ok", F.lit(0))).alias("all_known"), F.max(F.coalesce("ok", F.lit(0))).alias("any_known"))
     hops = rows.where(F.size("path") > 1).select("item", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("x"), F.slice("path", 2, F.size("path") - 1).alias("y"))).alias("h"))
     joined = hops.select("item", F.least("h.x", "h.y").alias("a"), F.greatest("h.x", "h.y").alias("b")).join(pairs.withColumn("ok", F.lit(1)), ["a", "b"], "left").groupBy("item").agg(F.min(F.coalesce("ok", F.lit(0))).alias("walks"))
@@ -206,10 +283,21 @@ def qa_checks(items: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame
 def align(left: DataFrame, right: DataFrame, floor: float = 0.3, accept: float = 0.85, review: float = 0.5) -> DataFrame:
     """(source, target, score, predicate, route): each label's best match of the other ontology, ties by name.
 
-    Ontologies are label lists of a bounded size: the smaller is broadcast as one row that holds the list."""
-    names = right.select(F.col("label").alias("t")).distinct()
-    pairs = left.select(F.col("label").alias("source")).distinct().crossJoin(F.broadcast(names.agg(F.array_sort(F.collect_set("t")).alias("ts")))).select("source", F.explode("ts").alias("target"))
-    scored = pairs.withColumn("score", S.lexical_score(F.col("source"), F.col("target"))).where(F.col("score") >= floor)
+    Labels that share a token meet by it. Without one the score is half of the likeness in characters, so only labels
+    whose lengths allow the floor, and that have a character in common, are compared."""
+    names = lambda df, c: cut(df.select(F.col("label").alias(c)).distinct().withColumn("words", S.tokenize_label(F.col(c))).withColumn("flat", F.array_join("words", " ")).withColumn("size", F.length("flat")))
+    a, b = names(left, "source"), names(right, "target")
+    word = lambda df, c: df.select(c, F.explode(F.array_distinct("words")).alias("word"))
+    shared = word(a, "source").join(word(b, "target"), "word").select("source", "target").distinct()
+    least = 2 * floor  # the likeness in characters that a pair without a shared token needs
+    if least <= 1:
+        reach = a.select("source", "size", "flat", F.explode(F.sequence(F.ceil(F.col("size") * least - 1e-9).cast("int"), F.floor(F.col("size") / least + 1e-9).cast("int"))).alias("length"))
+        signs = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: F.length(x) > 0))
+        by_size = reach.join(b.select("target", F.col("size").alias("length"), F.col("flat").alias("other")), "length")
+        by_size = by_size.where((F.size(F.array_intersect(signs(F.col("flat")), signs(F.col("other")))) > 0) | ((F.col("size") == 0) & (F.col("length") == 0)))
+        by_size = by_size.where(1 - F.levenshtein("flat", "other") / F.greatest("size", "length", F.lit(1)) >= least - 1e-9)
+        shared = shared.union(by_size.select("source", "target")).distinct()
+    scored = shared.withColumn("score", S.lexical_score(F.col("source"), F.col("target"))).where(F.col("score") >= floor)
     best = scored.groupBy("source").agg(F.min(F.struct((-F.col("score")).alias("s"), "target")).alias("b")).select("source", F.col("b.target").alias("target"), (-F.col("b.s")).alias("score"))
     route: Column = F.when(F.col("score") >= accept, "accept").when(F.col("score") >= review, "review").otherwise("drop")
     return best.select("source", "target", "score", S.predicate_for_score(F.col("score")).alias("predicate"), route.alias("route"))
@@ -227,3 +315,43 @@ def engine(sample=None, topology: str | None = None, rows=None) -> str:
     if topology and rows is not None:
         return "hybrid"
     return "topology" if topology else "rows"
+
+
+def topology_pairs(spark: SparkSession, name: str, n: int, seed: int, params: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, communities or None) of a named topology; parameters left out have their usual values, bounded by ``n``."""
+    p = params or {}
+    if name == "barabasi_albert":
+        return barabasi_albert(spark, n, max(1, min(int(p.get("m", 2)), n - 1)), seed), None
+    if name == "watts_strogatz":
+        return watts_strogatz(spark, n, max(2, min(int(p.get("k", 4)), n - 1)), float(p.get("p", 0.1)), seed), None
+    if name == "erdos_renyi":
+        return erdos_renyi(spark, n, float(p.get("p", min(0.1, 10 / max(n, 1)))), seed), None
+    if name == "stochastic_block_model":
+        sizes = list(p.get("sizes") or p.get("blocks") or [n // 3 + (i < n % 3) for i in range(3)])
+        table = spark.createDataFrame([(i, sum(sizes[:i]), sum(sizes[: i + 1])) for i in range(len(sizes))], "community long, lo long, hi long")
+        communities = spark.range(sum(sizes)).join(F.broadcast(table), (F.col("id") >= F.col("lo")) & (F.col("id") < F.col("hi"))).select("id", "community")
+        return stochastic_blocks(spark, sizes, float(p.get("p_in", 0.3)), float(p.get("p_out", 0.02)), seed), communities
+    if name == "lfr":
+        communities, pairs = lfr(spark, n, seed, float(p.get("tau1", 3.0)), float(p.get("tau2", 1.5)), float(p.get("mu", 0.1)), float(p.get("average_degree", 5)), p.get("min_community"))
+        return pairs, communities
+    raise ValueError(f"unknown topology {name!r}")
+
+
+def build(spark: SparkSession, n: int, seed: int, ontology: Ontology | None = None, sample: tuple[DataFrame, DataFrame] | None = None, topology: str | None = None, rows: tuple[DataFrame, DataFrame] | None = None, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """A graph by the builder that ``engine`` names. ``rows`` are proposed nodes and edges; with a topology, its nodes' properties are dealt to the topology's."""
+    kind = engine(sample, topology, rows)
+    if kind == "sample":
+        return graph_from_sample(*sample, n, seed)
+    if kind == "rows":
+        return build_from_rows(*rows)
+    if not ontology or not ontology.nodes:
+        raise ValueError("a topology needs node types")
+    pairs, communities = topology_pairs(spark, topology, n, seed, params)
+    names = [t.name for t in ontology.nodes]
+    nodes = assign_types(spark, n, names)
+    if communities is not None:  # a community is of one type
+        nodes = communities.select(F.col("id").cast("string").alias("id"), F.get(F.array(*map(F.lit, names)), F.pmod("community", F.lit(len(names))).cast("int")).alias("type"), F.lit("{}").alias("props"))
+    nodes = cut(nodes)
+    if kind == "hybrid":
+        nodes = cut(hybrid_props(nodes, rows[0].select("type", "props")))
+    return nodes, map_edges(nodes, pairs, ontology)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rng import u01
 from tessera.operators.graph import Ontology, dangling_filter, resolved
-from tessera.operators.perturb import ordinals
+from tessera.operators.order import ordinals
 
 
 def affected(df: DataFrame, intensity: float) -> int:
@@ -102,11 +102,13 @@ def violate_ontology(nodes: DataFrame, edges: DataFrame, ontology: Ontology, see
     kind, props = _broken_props(ontology)
     n = _flag(nodes, chosen(nodes, affected(nodes, intensity), seed, "violate:node"))
     new_nodes = n.withColumn("_t", F.when(F.col("_hit"), kind).otherwise(F.col("type"))).withColumn("props", F.when(F.col("_hit"), props).otherwise(F.col("props"))).withColumn("type", F.col("_t")).select(*nodes.columns)
-    first = nodes.groupBy("type").agg(F.min("id").alias("_any"))
+    # The least id of another type is the least of all, or of the types but that one's.
+    least = [*nodes.groupBy("type").agg(F.min("id").alias("id")).orderBy("id").limit(2).collect(), None, None][:2]
     e = _flag(edges, chosen(edges, affected(edges, intensity), seed, "violate:edge"))
-    wrong = resolved(nodes, e.where("_hit")).crossJoin(F.broadcast(first.agg(F.map_from_entries(F.collect_list(F.struct("type", "_any"))).alias("_by"))))
-    options = F.array_sort(F.map_values(F.map_filter("_by", lambda t, i: t != F.coalesce(F.col("target_type"), F.lit("")))))
-    wrong = wrong.withColumn("target", F.coalesce(F.get(options, 0), F.concat(F.lit("missing-"), "id")))
+    any_, other = (F.lit(r["id"] if r else None) for r in least)
+    wrong = resolved(nodes, e.where("_hit"))
+    to = F.when(F.col("target_type").eqNullSafe(F.lit(least[0]["type"] if least[0] else None)), other).otherwise(any_)
+    wrong = wrong.withColumn("target", F.coalesce(to, F.concat(F.lit("missing-"), "id")))
     return new_nodes, e.where("not _hit").select(*edges.columns).unionByName(wrong.select(*edges.columns))
 
 

@@ -5,6 +5,8 @@ The party graph has regions, nations, customers and suppliers; the parts graph j
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,6 +159,13 @@ def modularity(spark, d):
 
 @query("modularity_greedy")
 def modularity_greedy(spark, d):
+    n, e = party(spark, d)
+    p = X.to_undirected(n, e)
+    return rounded(X.modularity(p, X.greedy_communities(n, p)), "modularity")
+
+
+@query("modularity_propagated")
+def modularity_propagated(spark, d):
     n, e = party(spark, d)
     p = X.to_undirected(n, e)
     return rounded(X.modularity(p, X.label_communities(n, p)), "modularity")
@@ -325,16 +334,36 @@ def inject_violations(spark, d):
 
 
 # --- building -----------------------------------------------------------------------------------------------------------
-@query("erdos_renyi", f"SELECT a, b FROM (SELECT x.range AS a, y.range AS b FROM range(400) x, range(400) y WHERE x.range < y.range) WHERE {u(2, 'er', 'a', 'b')} < 0.02")
+def _skip_sql(purpose: str, spaces: list[tuple[int, float]]) -> str:
+    """(space, at): chosen pair numbers, each a geometric draw after the one before it in its block."""
+    one = lambda i, n, p: f"SELECT {i} AS space, {n} AS n, {int(B.DRAWS / p)} AS size, k.range AS k, j.range AS j, floor(ln(1.0 - {u(2, purpose, str(i), 'k.range', 'j.range')}) / {math.log1p(-p)!r}::DOUBLE)::BIGINT + 1 AS skip FROM range({-(-n // int(B.DRAWS / p))}) k, range({B.DRAWS + B.DRAWS // 2}) j"
+    draws = " UNION ALL ".join(one(i, n, p) for i, (n, p) in enumerate(spaces))
+    return f"(SELECT space, (k * size + o)::BIGINT AS pos FROM (SELECT space, n, size, k, sum(skip) OVER (PARTITION BY space, k ORDER BY j) - 1 AS o FROM ({draws})) WHERE o < size AND k * size + o < n)"
+
+
+#: The greatest b whose pairs' numbers begin at or below this one.
+_TRIANGLE = "(SELECT space, pos, CASE WHEN b * (b - 1) // 2 > pos THEN b - 1 WHEN b * (b + 1) // 2 <= pos THEN b + 1 ELSE b END AS b FROM (SELECT *, floor((sqrt(8.0 * pos + 1) + 1) / 2)::BIGINT AS b FROM {t}))"
+
+
+@query("erdos_renyi", f"SELECT pos - b * (b - 1) // 2 AS a, b FROM {_TRIANGLE.format(t=_skip_sql('er', [(79_800, 0.02)]))}")
 def erdos_renyi(spark, d):
     return B.erdos_renyi(spark, 400, 0.02, 2)
 
 
-@query("stochastic_block_model", f"SELECT a, b FROM (SELECT x.range AS a, y.range AS b FROM range(300) x, range(300) y WHERE x.range < y.range) WHERE {u(2, 'sbm', 'a', 'b')} < CASE WHEN a // 100 = b // 100 THEN 0.1 ELSE 0.005 END")
+_SBM = _skip_sql("sbm", [(4950, 0.1)] * 3 + [(10_000, 0.005)] * 3)
+
+
+@query("stochastic_block_model", f"""SELECT 100 * space + pos - b * (b - 1) // 2 AS a, 100 * space + b AS b FROM {_TRIANGLE.format(t=_SBM)} WHERE space < 3 UNION ALL
+SELECT CASE space WHEN 5 THEN 100 ELSE 0 END + pos % 100, CASE space WHEN 3 THEN 100 ELSE 200 END + pos // 100 FROM {_SBM} WHERE space >= 3""")
 def stochastic_block_model(spark, d):
     return B.stochastic_blocks(spark, [100, 100, 100], 0.1, 0.005, 2)
 
 
+@query("lfr")
+def lfr(spark, d):
+    return B.lfr(spark, 3000, 2)[1]
+
+
 @query("watts_strogatz", f"""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, CASE WHEN {u(2, 'ws', 'a', 'j')} < 0.1 THEN CASE WHEN k >= a THEN k + 1 ELSE k END ELSE (a + j) % 500 END AS b FROM
 (SELECT x.range AS a, y.range AS j, floor({u(2, 'ws:to', 'x.range', 'y.range')} * 499)::BIGINT AS k FROM range(500) x, range(1, 4) y)) WHERE a <> b""")
 def watts_strogatz(spark, d):
@@ -355,7 +384,7 @@ def assign_node_types(spark, d):
 SELECT CASE WHEN ta = 1 OR tb = 1 THEN 'CUSTOMER_OF' ELSE 'SUPPLIER_OF' END AS type, CASE WHEN tb = 0 THEN a ELSE b END AS source, CASE WHEN tb = 0 THEN b ELSE a END AS target FROM t WHERE (ta = 0) <> (tb = 0)""")
 def map_edges(spark, d):
     n = B.assign_types(spark, 30, ["Nation", "Customer", "Supplier"])
-    return B.map_edges(n, B._pairs(spark, 30), ONTOLOGY).select("type", "source", "target")
+    return B.map_edges(n, B.erdos_renyi(spark, 30, 1.0, 2), ONTOLOGY).select("type", "source", "target")
 
 
 @query("edge_type_by_endpoint_types", f"SELECT DISTINCT a.type AS source_type, b.type AS target_type, e.type AS name FROM {EDGES} e JOIN {NODES} a ON a.id = e.source JOIN {NODES} b ON b.id = e.target")
