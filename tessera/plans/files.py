@@ -76,10 +76,10 @@ def _lines(spark, path: str, schema: str):
     return text.select(F.explode(F.from_json(listed, f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-@query("scan_graph_json", f"SELECT 'node' AS part, id, type FROM {NODES} WHERE type IN ('Region', 'Nation') UNION ALL SELECT 'edge', id, type FROM {EDGES} WHERE type = 'IN_REGION'")
+@query("scan_graph_json", f"SELECT 'node' AS part, id, type FROM {NODES} UNION ALL SELECT 'edge', id, type FROM {EDGES}")
 def scan_graph_json(spark, d):
+    """Written as one document, as this format is, and read back."""
     n, e = party(spark, d)
-    n, e = n.where("type in ('Region', 'Nation')"), e.where("type = 'IN_REGION'")
     path = _folder(spark)
     one = n.agg(F.collect_list(F.struct("id", "type", F.parse_json("props").alias("properties"))).alias("nodes")).crossJoin(e.agg(F.collect_list(F.struct("id", "type", "source", "target")).alias("edges")))
     one.select(F.to_json(F.struct("nodes", "edges")).alias("value")).write.text(path)
@@ -135,18 +135,58 @@ def graph_to_rdf(spark, d):
     return writers.triples(n.withColumn("props", F.lit("{}")), e)
 
 
-@query("graph_to_rdf_properties")
+def _titled(spark, d):
+    """The party graph with names as its only properties."""
+    n, e = party(spark, d)
+    return n.withColumn("props", F.to_json(F.struct(F.get_json_object("props", "$.name").alias("name")))), e
+
+
+TITLED = """(SELECT 'r' || r_regionkey AS id, 'Region' AS type, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'Nation', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'Customer', c_name FROM customer UNION ALL SELECT 's' || s_suppkey, 'Supplier', s_name FROM supplier)"""
+_IRI, _TYPE = "http://example.org/graph/", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+_TRIPLES = f"""(SELECT '<{_IRI}node/' || id || '>' AS s, '<{_TYPE}>' AS p, '<{_IRI}type/' || type || '>' AS o FROM {TITLED} UNION ALL SELECT '<{_IRI}node/' || id || '>', '<{_IRI}property/name>', '"' || name || '"' FROM {TITLED}
+UNION ALL SELECT '<{_IRI}node/' || source || '>', '<{_IRI}relation/' || type || '>', '<{_IRI}node/' || target || '>' FROM {EDGES})"""
+
+
+def _document(head: str, body: str, tail: str, last: int = 2) -> str:
+    return f"SELECT 0 AS part, '{head}' AS value UNION ALL {body} UNION ALL SELECT {last}, '{tail}'"
+
+
+_JSONLD = _document("[{}", f"""SELECT 1, ',{{"@id":"' || s || '",' || string_agg(m, ',' ORDER BY m) || '}}' FROM (SELECT trim(s, '<>') AS s, k || ':[' || string_agg(v, ',' ORDER BY v) || ']' AS m FROM
+(SELECT s, CASE WHEN p = '<{_TYPE}>' THEN '"@type"' ELSE '"' || trim(p, '<>') || '"' END AS k, CASE WHEN p = '<{_TYPE}>' THEN '"' || trim(o, '<>') || '"' WHEN o LIKE '<%' THEN '{{"@id":"' || trim(o, '<>') || '"}}' ELSE '{{"@value":' || o || '}}' END AS v FROM {_TRIPLES}) GROUP BY s, k) GROUP BY s""", "]")
+_RDFXML = _document('<?xml version="1.0" encoding="UTF-8"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">', f"""SELECT 1, '<rdf:Description rdf:about="' || s || '">' || string_agg(l, '' ORDER BY l) || '</rdf:Description>' FROM
+(SELECT trim(s, '<>') AS s, '<q:' || q || ' xmlns:q="' || left(p, length(p) - length(q)) || '"' || CASE WHEN o LIKE '<%' THEN ' rdf:resource="' || trim(o, '<>') || '"/>' ELSE '>' || trim(o, '"') || '</q:' || q || '>' END AS l FROM
+(SELECT s, trim(p, '<>') AS p, regexp_extract(trim(p, '<>'), '[A-Za-z_]+$') AS q, o FROM {_TRIPLES})) GROUP BY s""", "</rdf:RDF>")
+_GRAPHML = _document('<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="name" for="all" attr.name="name" attr.type="string"/><key id="type" for="all" attr.name="type" attr.type="string"/><graph edgedefault="directed">',
+    f"""SELECT 1, '<node id="' || id || '"><data key="type">' || type || '</data><data key="name">' || name || '</data></node>' FROM {TITLED} UNION ALL SELECT 2, '<edge id="' || id || '" source="' || source || '" target="' || target || '"><data key="type">' || type || '</data></edge>' FROM {EDGES}""", "</graph></graphml>", 3)
+_GEXF = _document('<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><attributes class="node"><attribute id="name" title="name" type="string"/></attributes><attributes class="edge"></attributes><nodes>',
+    f"""SELECT 1, '<node id="' || id || '" label="' || type || '"><attvalues><attvalue for="name" value="' || name || '"/></attvalues></node>' FROM {TITLED} UNION ALL SELECT 2, '</nodes><edges>' UNION ALL
+SELECT 3, '<edge id="' || id || '" label="' || type || '" source="' || source || '" target="' || target || '"><attvalues></attvalues></edge>' FROM {EDGES}""", "</edges></graph></gexf>", 4)
+_JSON = f"""SELECT 'nodes' AS part, id, '{{"id":"' || id || '","properties":{{"name":"' || name || '"}},"type":"' || type || '"}}' AS value FROM {TITLED} UNION ALL
+SELECT 'edges', id, '{{"id":"' || id || '","properties":{{}},"source":"' || source || '","target":"' || target || '","type":"' || type || '"}}' FROM {EDGES}"""
+_NEO4J = f"""SELECT DISTINCT 'nodes_' || type || '.csv' AS file, 0 AS part, '' AS id, 'id:ID,:LABEL,name' AS value FROM {TITLED} UNION ALL SELECT 'nodes_' || type || '.csv', 1, id, id || ',' || type || ',' || name FROM {TITLED} UNION ALL
+SELECT DISTINCT 'edges_' || type || '.csv', 0, '', ':START_ID,:END_ID,:TYPE' FROM {EDGES} UNION ALL SELECT 'edges_' || type || '.csv', 1, id, source || ',' || target || ',' || type FROM {EDGES}"""
+
+
+@query("graph_to_rdf_properties", f"SELECT s || ' ' || p || ' ' || o || ' .' AS value FROM {_TRIPLES}")
 def graph_to_rdf_properties(spark, d):
-    return writers.ntriples(writers.triples(*party(spark, d)))
+    return writers.ntriples(writers.triples(*_titled(spark, d)))
 
 
-for _kind in ("turtle", "jsonld", "rdfxml", "gexf", "graphml", "json"):
-    @query({"json": "graph_to_json"}.get(_kind, f"graph_to_{_kind}"))
+for _name, _kind, _sql in (("graph_to_turtle", "turtle", f"SELECT s || ' ' || string_agg(p || ' ' || o, ' ;' || chr(10) || '    ' ORDER BY p || ' ' || o) || ' .' AS value FROM {_TRIPLES} GROUP BY s"), ("graph_to_jsonld", "jsonld", _JSONLD), ("graph_to_rdfxml", "rdfxml", _RDFXML),
+                           ("graph_to_gexf", "gexf", _GEXF), ("graph_to_graphml", "graphml", _GRAPHML), ("graph_to_json", "json", _JSON), ("graph_to_neo4j_files", "neo4j_csv", _NEO4J)):
+    @query(_name, _sql)
     def _graph(spark, d, kind=_kind):
-        return writers.export_graph(*party(spark, d), ONTOLOGY, kind)
+        return writers.export_graph(*_titled(spark, d), ONTOLOGY, kind)
+
+
+_W3 = "http://www.w3.org/"
 
 
-@query("ontology_to_owl")
+@query("ontology_to_owl", f"""WITH c AS (SELECT unnest(['Region', 'Nation', 'Customer', 'Supplier']) AS c), p AS (SELECT * FROM (VALUES ('Region', 'name', 'string'), ('Nation', 'name', 'string'), ('Customer', 'name', 'string'), ('Customer', 'segment', 'string'), ('Customer', 'balance', 'double'), ('Supplier', 'name', 'string'), ('Supplier', 'balance', 'double')) t(c, p, x)),
+r AS (SELECT * FROM (VALUES ('IN_REGION', 'Nation', 'Region'), ('CUSTOMER_OF', 'Customer', 'Nation'), ('SUPPLIER_OF', 'Supplier', 'Nation')) t(r, a, b)) SELECT '<{_IRI}type/' || c || '>' AS s, '<{_TYPE}>' AS p, '<{_W3}2002/07/owl#Class>' AS o FROM c
+UNION ALL SELECT '<{_IRI}property/' || c || '.' || p || '>', '<{_TYPE}>', '<{_W3}2002/07/owl#DatatypeProperty>' FROM p UNION ALL SELECT '<{_IRI}property/' || c || '.' || p || '>', '<{_W3}2000/01/rdf-schema#domain>', '<{_IRI}type/' || c || '>' FROM p
+UNION ALL SELECT '<{_IRI}property/' || c || '.' || p || '>', '<{_W3}2000/01/rdf-schema#range>', '<{_W3}2001/XMLSchema#' || x || '>' FROM p UNION ALL SELECT '<{_IRI}relation/' || r || '>', '<{_TYPE}>', '<{_W3}2002/07/owl#ObjectProperty>' FROM r
+UNION ALL SELECT '<{_IRI}relation/' || r || '>', '<{_W3}2000/01/rdf-schema#domain>', '<{_IRI}type/' || a || '>' FROM r UNION ALL SELECT '<{_IRI}relation/' || r || '>', '<{_W3}2000/01/rdf-schema#range>', '<{_IRI}type/' || b || '>' FROM r""")
 def ontology_to_owl(spark, d):
     return writers.owl(spark, ONTOLOGY)
 

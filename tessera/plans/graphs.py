@@ -16,6 +16,7 @@ from tessera.operators import graph as X
 from tessera.operators import graph_build as B
 from tessera.operators import graph_perturb as R
 from tessera.operators.graph import EdgeType, NodeType, Ontology, Prop
+from tessera.plans.metrics import _LEX_TOK
 from tessera.plans.registry import query, read
 from tessera.plans.tables import r6, rounded
 
@@ -202,13 +203,27 @@ def structural_fidelity_score(spark, d):
     return X.structural_fidelity(*a, *b)
 
 
-@query("graph_privacy_score")
+def _prints_sql(p: str, nodes: str, edges: str) -> str:
+    """CTEs of one graph: pairs, both ways, degrees, clustering and fingerprints, each named with a prefix."""
+    return f"""{p}n AS (SELECT DISTINCT id FROM {nodes}), {p}p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM {edges} WHERE source <> target AND source IN (SELECT id FROM {p}n) AND target IN (SELECT id FROM {p}n)),
+{p}w AS (SELECT a AS id, b AS other FROM {p}p UNION ALL SELECT b, a FROM {p}p), {p}d AS (SELECT n.id, count(w.other) AS degree FROM {p}n n LEFT JOIN {p}w w ON w.id = n.id GROUP BY 1),
+{p}t AS (SELECT id, count(*) AS triangles FROM (SELECT unnest([x.a, x.b, y.b]) AS id FROM {p}p x JOIN {p}p y ON x.b = y.a JOIN {p}p z ON z.a = x.a AND z.b = y.b) GROUP BY 1),
+{p}c AS (SELECT d.id, degree, CASE WHEN degree < 2 THEN 0.0 ELSE 2 * coalesce(triangles, 0) / (degree * (degree - 1))::DOUBLE END AS clustering FROM {p}d d LEFT JOIN {p}t t ON t.id = d.id),
+{p}f AS (SELECT c.id, md5(c.degree || '|' || coalesce(nds, '') || '|' || printf('%.2f', clustering::DOUBLE)) AS print FROM {p}c c LEFT JOIN (SELECT w.id, string_agg(d.degree::VARCHAR, ',' ORDER BY d.degree) AS nds FROM {p}w w JOIN {p}d d ON d.id = w.other GROUP BY 1) s ON s.id = c.id),
+{p}e AS (SELECT least(x.degree, y.degree) AS x, greatest(x.degree, y.degree) AS y FROM {p}p p JOIN {p}d x ON x.id = p.a JOIN {p}d y ON y.id = p.b)"""
+
+
+_TWO = _prints_sql("s", f"(SELECT id FROM {NODES} WHERE type <> 'Supplier')", f"(SELECT * FROM {EDGES} WHERE type <> 'SUPPLIER_OF')") + ", " + _prints_sql("r", f"(SELECT id FROM {NODES} WHERE type <> 'Customer')", f"(SELECT * FROM {EDGES} WHERE type <> 'CUSTOMER_OF')")
+
+
+@query("graph_privacy_score", f"""WITH {_TWO}, h AS (SELECT (SELECT avg((print IN (SELECT print FROM rf))::INT) FROM sf) AS n, (SELECT avg((EXISTS (SELECT 1 FROM re WHERE re.x = se.x AND re.y = se.y))::INT) FROM se) AS e)
+SELECT round(n, 6) AS node_hit_rate, round(e, 6) AS edge_hit_rate, round(1 - (n + e) / 2, 6) AS score FROM h""")
 def graph_privacy_score(spark, d):
     a, b = _halves(spark, d)
     return rounded(X.graph_privacy(*a, *b), "node_hit_rate", "edge_hit_rate", "score")
 
 
-@query("graph_fingerprint_match")
+@query("graph_fingerprint_match", f"WITH {_TWO} SELECT id FROM sf WHERE print IN (SELECT print FROM rf)")
 def graph_fingerprint_match(spark, d):
     a, b = _halves(spark, d)
     own, ref = X.fingerprints(a[0], X.to_undirected(*a)), X.fingerprints(b[0], X.to_undirected(*b))
@@ -392,7 +407,12 @@ def edge_type_by_endpoint_types(spark, d):
     return X.resolved(*party(spark, d)).select("source_type", "target_type", F.col("type").alias("name")).distinct()
 
 
-@query("graph_from_sample")
+@query("graph_from_sample", f"""WITH t AS (SELECT type, count(*) AS c FROM {NODES} GROUP BY 1), cum AS (SELECT type, sum(c) OVER (ORDER BY type) / (sum(c) OVER ())::DOUBLE AS hi FROM t),
+n AS (SELECT 'n' || range AS id, (SELECT coalesce(min(type), (SELECT max(type) FROM cum)) FROM cum WHERE {u(6, 'type', 'range')} < hi) AS type FROM range(3000)), k AS (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY type) AS size FROM n),
+g AS (SELECT e.type, a.type AS source_type, b.type AS target_type, count(*) AS m FROM {EDGES} e JOIN {NODES} a ON a.id = e.source JOIN {NODES} b ON b.id = e.target GROUP BY 1, 2, 3), r AS (SELECT g.*, m / t.c::DOUBLE AS per FROM g JOIN t ON t.type = g.source_type),
+o AS (SELECT k.id AS source, r.type, target_type, (floor(per) + CASE WHEN {u(6, 'extra', 'k.id', 'r.type')} < per - floor(per) THEN 1 ELSE 0 END)::INT AS c FROM k JOIN r ON r.source_type = k.type), j AS (SELECT source, type, target_type, unnest(range(1, c + 1)) AS j FROM o),
+z AS (SELECT DISTINCT j.type, source, k.id AS target FROM (SELECT j.*, floor({u(6, 'to', 'source', 'type', 'j')} * size)::BIGINT AS k FROM j JOIN (SELECT DISTINCT type AS tt, size FROM k) ON tt = target_type) j JOIN k ON k.type = j.target_type AND k.k = j.k WHERE source <> k.id)
+SELECT 'node' AS element, type, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'node', NULL, count(*) FROM n UNION ALL SELECT 'edge', type, count(*) FROM z GROUP BY 2 UNION ALL SELECT 'edge', NULL, count(*) FROM z""")
 def graph_from_sample(spark, d):
     n, e = B.graph_from_sample(*party(spark, d), 3000, 6)
     return X.graph_metrics(n, e)
@@ -445,7 +465,16 @@ def _walks(spark, d):
     return n, e, p, B.sample_paths(p, 200, 2, 12)
 
 
-@query("sample_paths")
+def _step_sql(walks: str, hop: int) -> str:
+    draw = u(12, f"step{hop}", "walk", "other")
+    return f"(SELECT walk, list_append(path, other) AS path FROM (SELECT walk, path, other, row_number() OVER (PARTITION BY walk ORDER BY {draw}, other) AS r FROM {walks} x JOIN bw ON bw.id = x.path[-1] WHERE NOT list_contains(path, other)) WHERE r = 1)"
+
+
+_PATHS = f"""pr AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM {EDGES}), bw AS (SELECT a AS id, b AS other FROM pr UNION ALL SELECT b, a FROM pr), ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM bw)),
+w0 AS (SELECT range AS walk, [id] AS path FROM range(200) JOIN ids ON i = floor({u(12, 'start', 'range')} * n)::BIGINT), w AS (SELECT path, min(walk) AS walk FROM {_step_sql(_step_sql('w0', 0), 1)} GROUP BY path)"""
+
+
+@query("sample_paths", f"WITH {_PATHS} SELECT walk, path FROM w")
 def sample_paths(spark, d):
     return _walks(spark, d)[3]
 
@@ -457,7 +486,9 @@ def adjacency_expand(spark, d):
     return one.join(e.select(F.col("source").alias("step"), F.col("target").alias("reached")), "step").select("start", "step", "reached")
 
 
-@query("qa_chained_relation")
+@query("qa_chained_relation", f"""WITH {_PATHS}, nm AS (SELECT least(source, target) AS a, greatest(source, target) AS b, lower(replace(min(type), '_', ' ')) AS phrase FROM {EDGES} GROUP BY 1, 2)
+SELECT walk, 'Starting from ' || path[1] || ', what is reached by: ' || x.phrase || ', then ' || y.phrase || '?' AS question, path[-1] AS answer, 'easy' AS difficulty
+FROM w JOIN nm x ON x.a = least(path[1], path[2]) AND x.b = greatest(path[1], path[2]) JOIN nm y ON y.a = least(path[2], path[3]) AND y.b = greatest(path[2], path[3])""")
 def qa_chained_relation(spark, d):
     _, e, _, w = _walks(spark, d)
     return B.qa_chain(w, e)
@@ -480,14 +511,21 @@ def qa_comparison(spark, d):
     return B.qa_compare(parts(spark, d)[1])
 
 
-for _i, _name in enumerate(("graph_qa_answerable", "graph_qa_multi_hop", "graph_qa_groundedness")):
-    @query(_name)
-    def _checks(spark, d, col=("answerable", "multi_hop", "grounded")[_i]):
+def _checks_sql(*columns: str) -> str:
+    known = f"(SELECT walk, bool_and(x IN (SELECT id FROM {NODES})) AS every_one, bool_or(x IN (SELECT id FROM {NODES})) AS some_one FROM (SELECT walk, unnest(path) AS x FROM w) GROUP BY 1)"
+    joined = "(SELECT walk, bool_and(EXISTS (SELECT 1 FROM pr WHERE pr.a = least(x, y) AND pr.b = greatest(x, y))) AS walks FROM (SELECT walk, unnest(path[:-2]) AS x, unnest(path[2:]) AS y FROM w) GROUP BY 1)"
+    values = {"answerable": "avg(every_one::INT)", "multi_hop": "avg(walks::INT)", "grounded": "avg(some_one::INT)"}
+    return f"WITH {_PATHS} SELECT count(*) AS n, " + ", ".join(f"{values[c]}::DOUBLE AS {c}" for c in columns) + f" FROM {known} JOIN {joined} USING (walk)"
+
+
+for _name, _col in (("graph_qa_answerable", "answerable"), ("graph_qa_multi_hop", "multi_hop"), ("graph_qa_groundedness", "grounded")):
+    @query(_name, _checks_sql(_col))
+    def _checks(spark, d, col=_col):
         n, _, p, w = _walks(spark, d)
         return B.qa_checks(w.select("path", F.element_at("path", -1).alias("answer")), n, p).select("n", col)
 
 
-@query("path_resolution")
+@query("path_resolution", _checks_sql("answerable", "multi_hop", "grounded"))
 def path_resolution(spark, d):
     n, _, p, w = _walks(spark, d)
     return B.qa_checks(w.select("path", F.element_at("path", -1).alias("answer")), n, p)
@@ -498,16 +536,22 @@ def _mappings(spark, d):
     return B.align(left, read(spark, d, "part").select(F.col("p_type").alias("label")).union(read(spark, d, "part").select(F.upper("p_brand").alias("label"))))
 
 
-@query("ontology_align")
+_ALIGNED = f"""(SELECT source, target, score, CASE WHEN score >= 0.95 THEN 'exactMatch' WHEN score >= 0.8 THEN 'closeMatch' ELSE 'relatedMatch' END AS predicate, CASE WHEN score >= 0.85 THEN 'accept' WHEN score >= 0.5 THEN 'review' ELSE 'drop' END AS route FROM
+(SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS r FROM (SELECT source, target, CASE WHEN p = q THEN 1.0 ELSE 0.5 * len(list_intersect(x, y)) / greatest(1, len(list_distinct(list_concat(x, y))))::DOUBLE + 0.5 * (1 - levenshtein(p, q) / greatest(1, length(p), length(q))::DOUBLE) END AS score
+FROM (SELECT source, x, array_to_string(x, ' ') AS p FROM (SELECT source, {_LEX_TOK.format('source')} AS x FROM (SELECT p_brand AS source FROM part UNION SELECT c_mktsegment FROM customer))),
+(SELECT target, y, array_to_string(y, ' ') AS q FROM (SELECT target, {_LEX_TOK.format('target')} AS y FROM (SELECT p_type AS target FROM part UNION SELECT upper(p_brand) FROM part)))) WHERE score >= 0.3) WHERE r = 1)"""
+
+
+@query("ontology_align", f"SELECT source, target, round(score, 6)::DOUBLE AS score, predicate, route FROM {_ALIGNED}")
 def ontology_align(spark, d):
     return rounded(_mappings(spark, d), "score")
 
 
-@query("ontology_align_candidates")
+@query("ontology_align_candidates", f"SELECT source, target, round(score, 6)::DOUBLE AS score FROM {_ALIGNED} WHERE route <> 'drop'")
 def ontology_align_candidates(spark, d):
     return rounded(_mappings(spark, d).where("route <> 'drop'").select("source", "target", "score"), "score")
 
 
-@query("mapping_review_task")
+@query("mapping_review_task", f"SELECT count(*) AS n, string_agg(source, ',' ORDER BY source) AS sources FROM {_ALIGNED} WHERE route = 'review' HAVING count(*) > 0")
 def mapping_review_task(spark, d):
     return B.mapping_review(_mappings(spark, d))

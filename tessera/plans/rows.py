@@ -150,7 +150,18 @@ def _typo_sql(rate: str, ns: str, key: str, text: str) -> str:
 
 
 query("noise_text_char", f"SELECT conv_id, turn, {_typo_sql('0.1', 'text', 'conv_id || chr(58) || turn', 'text')} AS text FROM conversations")(_typos("char"))
-query("noise_text_word")(_typos("word"))
+
+
+def word_typos_sql(rate: str, key: str) -> str:
+    """Typos in a share of words: each is spelled by character with half of the rate's chances."""
+    draw = lambda p, *more: "(('0x' || substr(md5(concat_ws(':', '9', 'text:" + p + "', " + ", ".join([key, "(j - 1)::VARCHAR", *more]) + ")), 1, 8))::BIGINT / 4294967296.0)"
+    at = "(i - 1)::VARCHAR"
+    letter = f"substr('abcdefghijklmnopqrstuvwxyz', floor({draw('letter', at)} * 26)::INT + 1, 1)"
+    word = f"array_to_string(list_transform(list_filter(regexp_extract_all(w, '(?s).'), lambda c: length(c) > 0), lambda c, i: CASE WHEN {draw('hit', at)} >= 0.5 THEN c WHEN {draw('kind', at)} < 1.0::DOUBLE / 3 THEN '' WHEN {draw('kind', at)} < 2.0::DOUBLE / 3 THEN {letter} || c ELSE {letter} END), '')"
+    return f"array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w, j: CASE WHEN {draw('word')} < {rate} THEN {word} ELSE w END), ' ')"
+
+
+query("noise_text_word", f"SELECT conv_id, turn, {word_typos_sql('0.1', 'conv_id || chr(58) || turn')} AS text FROM conversations")(_typos("word"))
 
 
 @query("drift_covariate", "SELECT c_custkey, round(c_acctbal * 1.1 + 0.5 * s, 6)::DOUBLE AS c_acctbal FROM customer, (SELECT stddev_pop(c_acctbal) AS s FROM customer)")
@@ -174,7 +185,14 @@ def drift_concept_rotate(spark, d):
     return P.rotate(customers(spark, d).select(_K, "c_mktsegment"), "c_mktsegment")
 
 
-@query("drift_text_progressive")
+def _progress_sql(table: str, order: str, key: str, rate: str) -> str:
+    draw = lambda p: f"(('0x' || substr(md5(concat_ws(':', '9', 'progress:{p}', {key}, (i - 1)::VARCHAR)), 1, 8))::BIGINT / 4294967296.0)"
+    letter = f"substr('abcdefghijklmnopqrstuvwxyz', floor({draw('letter')} * 26)::INT + 1, 1)"
+    new = f"array_to_string(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda c: length(c) > 0), lambda c, i: CASE WHEN {draw('hit')} >= {rate} * spot / greatest(n - 1, 1) THEN c WHEN {draw('kind')} < 1.0::DOUBLE / 3 THEN '' WHEN {draw('kind')} < 2.0::DOUBLE / 3 THEN {letter} || c ELSE {letter} END), '')"
+    return f"(SELECT *, {new} AS spoiled FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS spot, count(*) OVER () AS n FROM {table}))"
+
+
+@query("drift_text_progressive", f"SELECT conv_id, turn, spoiled AS text FROM {_progress_sql('conversations', 'conv_id, turn', 'conv_id || chr(58) || turn', '0.2::DOUBLE')}")
 def drift_text_progressive(spark, d):
     return P.text_progressive(read(spark, d, "conversations").select("conv_id", "turn", "text"), "text", ["conv_id", "turn"], 9, 0.2)
 

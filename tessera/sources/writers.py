@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import cypher_escape, local_name
+from tessera.functions.scalars import cypher_escape, local_name, safe_filename
 from tessera.operators.graph import Ontology
 from tessera.operators.order import ordinals
 
@@ -90,11 +90,16 @@ def _iri(kind: str, name: Column) -> Column:
     return F.concat(F.lit(f"<{BASE}{kind}/"), local_name(name), F.lit(">"))
 
 
+def _quoted(x: Column) -> Column:
+    """The text in double quotes, escaped as JSON and N-Triples both have it."""
+    whole = F.to_json(F.struct(x.alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
 def _literal(x: Column) -> Column:
     """A literal in triple notation, typed by the look of its value."""
     kind = F.when(x.rlike(r"^-?\d+$"), "integer").when(x.rlike(r"^-?\d+\.\d+(?:[eE][-+]?\d+)?$"), "double").when(x.isin("true", "false"), "boolean").when(x.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), "dateTime")
-    text = F.concat(F.lit('"'), F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
-    return F.when(kind.isNotNull(), F.concat(text, F.lit(f"^^<{XSD}"), kind, F.lit(">"))).otherwise(text)
+    return F.when(kind.isNotNull(), F.concat(_quoted(x), F.lit(f"^^<{XSD}"), kind, F.lit(">"))).otherwise(_quoted(x))
 
 
 def _props(df: DataFrame) -> DataFrame:
@@ -125,24 +130,51 @@ def turtle(t: DataFrame) -> DataFrame:
     return own.select(F.concat(F.col("s"), F.lit(" "), F.array_join("po", " ;\n    "), F.lit(" .")).alias("value"))
 
 
+def _parts(df: DataFrame, head: str, tail: str) -> DataFrame:
+    """(part, value): a document's head, its rows and its tail; sorted by part they are the document."""
+    one = lambda part, text: df.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(text).alias("value"))
+    return one(0, head).union(df.select(F.lit(1).alias("part"), "value")).union(one(2, tail))
+
+
+def _bare(c: str) -> Column:
+    return F.regexp_replace(c, "^<|>$", "")
+
+
+def _quote_of(o: str) -> Column:
+    """A literal's quoted text; empty for a resource."""
+    return F.regexp_extract(o, r'(?s)^(".*")(?:\^\^<[^<>]*>)?$', 1)
+
+
+def _datatype_of(o: str) -> Column:
+    return F.regexp_extract(o, r'(?s)^".*"\^\^<([^<>]*)>$', 1)
+
+
 def jsonld(t: DataFrame) -> DataFrame:
-    """One JSON object a subject."""
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^<|>$", ""), r'^"(.*)"(\^\^.*)?$', "$1")
-    by = t.groupBy("s", "p").agg(F.array_sort(F.collect_list(bare(F.col("o")))).alias("o")).groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(bare(F.col("p")), "o")))).alias("m"))
-    return by.select(F.to_json(F.struct(bare(F.col("s")).alias("@id"), F.col("m").alias("values"))).alias("value"))
+    """(part, value): an expanded JSON-LD document, one line a subject; the list's first element is an empty node, which means nothing."""
+    text, kind = _quote_of("o"), _datatype_of("o")
+    value = F.when(text == "", F.concat(F.lit('{"@id":'), _quoted(_bare("o")), F.lit("}"))).when(kind == "", F.concat(F.lit('{"@value":'), text, F.lit("}"))).otherwise(F.concat(F.lit('{"@value":'), text, F.lit(',"@type":'), _quoted(kind), F.lit("}")))
+    is_type = F.col("p") == f"<{RDF}type>"
+    key, value = F.when(is_type, F.lit('"@type"')).otherwise(_quoted(_bare("p"))), F.when(is_type, _quoted(_bare("o"))).otherwise(value)
+    by = t.select("s", key.alias("k"), value.alias("v")).groupBy("s", "k").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    own = by.select("s", F.concat("k", F.lit(":["), F.array_join("v", ","), F.lit("]")).alias("m")).groupBy("s").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return _parts(own.select(F.concat(F.lit(',{"@id":'), _quoted(_bare("s")), F.lit(","), F.array_join("m", ","), F.lit("}")).alias("value")), "[{}", "]")
 
 
 def rdfxml(t: DataFrame) -> DataFrame:
-    """One description a subject, each as one row; resources and literals apart."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
-    ns = F.regexp_extract(bare(F.col("p")), r"^(.*[/#])", 1)
-    name = F.regexp_extract(bare(F.col("p")), r"([^/#]*)$", 1)
-    is_node = F.col("o").startswith("<") | F.col("o").startswith("_:")
-    text = F.regexp_extract("o", r'(?s)^"(.*)"(?:\^\^<.*>)?$', 1)
-    line = F.concat(F.lit("<q:"), name, F.lit(' xmlns:q="'), ns, F.when(is_node, F.concat(F.lit('" rdf:resource="'), esc(bare(F.col("o"))), F.lit('"/>'))).otherwise(F.concat(F.lit('">'), esc(text), F.lit("</q:"), name, F.lit(">"))))
+    """(part, value): an RDF/XML document, one description a subject.
+
+    A predicate's name in XML is the longest end of its IRI that may be one; an IRI without such an end is an error."""
+    name = F.regexp_extract(_bare("p"), r"([A-Za-z_][A-Za-z0-9_-]*)$", 1)
+    name = F.when(name == "", F.raise_error(F.concat(F.lit("no name in XML for "), "p"))).otherwise(name)
+    ns = F.substr(_bare("p"), F.lit(1), F.length(_bare("p")) - F.length(name))
+    blank = lambda c, full, node: F.when(F.col(c).startswith("_:"), F.concat(F.lit(f'{node}="'), F.substr(F.col(c), F.lit(3)))).otherwise(F.concat(F.lit(f'{full}="'), _xml(_bare(c))))
+    text = F.from_json(F.concat(F.lit('{"v":'), _quote_of("o"), F.lit("}")), "v string")["v"]
+    kind = F.when(_datatype_of("o") != "", F.concat(F.lit(' rdf:datatype="'), _xml(_datatype_of("o")), F.lit('"'))).otherwise("")
+    head = F.concat(F.lit("<q:"), name, F.lit(' xmlns:q="'), _xml(ns), F.lit('"'))
+    line = F.when(_quote_of("o") == "", F.concat(head, F.lit(" "), blank("o", "rdf:resource", "rdf:nodeID"), F.lit('"/>'))).otherwise(F.concat(head, kind, F.lit(">"), _xml(text), F.lit("</q:"), name, F.lit(">")))
     own = t.select("s", line.alias("l")).groupBy("s").agg(F.array_sort(F.collect_list("l")).alias("l"))
-    return own.select(F.concat(F.lit(f'<rdf:Description xmlns:rdf="{RDF}" rdf:about="'), esc(bare(F.col("s"))), F.lit('">'), F.array_join("l", ""), F.lit("</rdf:Description>")).alias("value"))
+    body = own.select(F.concat(F.lit("<rdf:Description "), blank("s", "rdf:about", "rdf:nodeID"), F.lit('">'), F.array_join("l", ""), F.lit("</rdf:Description>")).alias("value"))
+    return _parts(body, f'<?xml version="1.0" encoding="UTF-8"?><rdf:RDF xmlns:rdf="{RDF}">', "</rdf:RDF>")
 
 
 def owl(spark, ontology: Ontology) -> DataFrame:
@@ -163,44 +195,92 @@ def owl(spark, ontology: Ontology) -> DataFrame:
 
 
 def _xml(x: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    """Text for an XML element or attribute; characters that XML can't hold become the replacement character."""
+    x = F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "\ufffd")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;")):
         x = F.replace(x, F.lit(a), F.lit(b))
     return x
 
 
+def property_names(df: DataFrame, kind: str | None = None) -> list[str]:
+    """Names of properties in order, of one type or of all; as many as the schema has come to the driver."""
+    own = df if kind is None else df.where(F.col("type") == kind)
+    return sorted(r["k"] for r in own.select(F.explode(F.json_object_keys("props")).alias("k")).distinct().collect())
+
+
+def _entries(reserved: tuple[str, ...] = ()) -> Column:
+    """Properties as (key, value) in order of their keys, without nulls and reserved names."""
+    held = F.array_sort(F.map_entries(F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))))
+    return F.filter(held, lambda e: e["value"].isNotNull() & ~e["key"].isin(*reserved)) if reserved else F.filter(held, lambda e: e["value"].isNotNull())
+
+
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, value): head, node, edge and tail lines; sorted by part they make a GraphML document."""
-    data = lambda: F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>")))), lambda e: F.when(e["value"].isNotNull(), F.concat(F.lit('<data key="'), _xml(e["key"]), F.lit('">'), _xml(e["value"]), F.lit("</data>"))).otherwise("")), "")
+    """(part, value): head with the keys, node, edge and tail lines; sorted by part they make a GraphML document."""
+    data = lambda: F.array_join(F.transform(_entries(("type",)), lambda e: F.concat(F.lit('<data key="'), _xml(e["key"]), F.lit('">'), _xml(e["value"]), F.lit("</data>"))), "")
     one = lambda part, text: nodes.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(text).alias("value"))
+    esc = lambda x: html.escape(x, quote=True)
+    keys = "".join(f'<key id="{esc(k)}" for="all" attr.name="{esc(k)}" attr.type="string"/>' for k in sorted({"type", *property_names(nodes), *property_names(edges)}))
     n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('"><data key="type">'), _xml(F.col("type")), F.lit("</data>"), data(), F.lit("</node>")).alias("value"))
     e = edges.select(F.lit(2).alias("part"), F.concat(F.lit('<edge id="'), _xml(F.col("id")), F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('"><data key="type">'), _xml(F.col("type")), F.lit("</data>"), data(), F.lit("</edge>")).alias("value"))
-    return one(0, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">').union(n).union(e).union(one(3, "</graph></graphml>"))
+    return one(0, f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">').union(n).union(e).union(one(3, "</graph></graphml>"))
 
 
 def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, value): head with the attributes, node, edge and tail lines; sorted by part they make a GEXF document."""
     one = lambda part, text: nodes.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(text).alias("value"))
-    n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.col("type")), F.lit('"/>')).alias("value"))
-    e = edges.select(F.lit(3).alias("part"), F.concat(F.lit('<edge id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.col("type")), F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('"/>')).alias("value"))
-    return one(0, '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>').union(n).union(one(2, "</nodes><edges>")).union(e).union(one(4, "</edges></graph></gexf>"))
+    esc = lambda x: html.escape(x, quote=True)
+    declare = lambda kind, names: f'<attributes class="{kind}">' + "".join(f'<attribute id="{esc(k)}" title="{esc(k)}" type="string"/>' for k in names) + "</attributes>"
+    values = lambda: F.concat(F.lit("<attvalues>"), F.array_join(F.transform(_entries(), lambda e: F.concat(F.lit('<attvalue for="'), _xml(e["key"]), F.lit('" value="'), _xml(e["value"]), F.lit('"/>'))), ""), F.lit("</attvalues>"))
+    n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.col("type")), F.lit('">'), values(), F.lit("</node>")).alias("value"))
+    e = edges.select(F.lit(3).alias("part"), F.concat(F.lit('<edge id="'), _xml(F.col("id")), F.lit('" label="'), _xml(F.col("type")), F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('">'), values(), F.lit("</edge>")).alias("value"))
+    head = f'<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed">{declare("node", property_names(nodes))}{declare("edge", property_names(edges))}<nodes>'
+    return one(0, head).union(n).union(one(2, "</nodes><edges>")).union(e).union(one(4, "</edges></graph></gexf>"))
 
 
 def cypher(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, id, value): a CREATE for each node, then a MATCH and CREATE for each edge; sorted by part and id."""
-    fields = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>")))), lambda e: F.concat(F.lit(", "), local_name(e["key"]), F.lit(": '"), cypher_escape(F.coalesce(e["value"], F.lit(""))), F.lit("'"))), "")
+    fields = F.array_join(F.transform(_entries(("_nid", "_eid")), lambda e: F.concat(F.lit(", "), local_name(e["key"]), F.lit(": '"), cypher_escape(e["value"]), F.lit("'"))), "")
     q = lambda c: F.concat(F.lit("'"), cypher_escape(F.col(c)), F.lit("'"))
     n = nodes.select(F.lit(0).alias("part"), "id", F.concat(F.lit("CREATE (:"), local_name(F.col("type")), F.lit(" {_nid: "), q("id"), fields, F.lit("});")).alias("value"))
-    e = edges.select(F.lit(1).alias("part"), "id", F.concat(F.lit("MATCH (a {_nid: "), q("source"), F.lit("}), (b {_nid: "), q("target"), F.lit("}) CREATE (a)-[:"), local_name(F.col("type")), F.lit(" {_eid: "), q("id"), F.lit("}]->(b);")).alias("value"))
+    e = edges.select(F.lit(1).alias("part"), "id", F.concat(F.lit("MATCH (a {_nid: "), q("source"), F.lit("}), (b {_nid: "), q("target"), F.lit("}) CREATE (a)-[:"), local_name(F.col("type")), F.lit(" {_eid: "), q("id"), fields, F.lit("}]->(b);")).alias("value"))
     return n.union(e)
 
 
-def neo4j_nodes(nodes: DataFrame, kind: str, props: list[str]) -> DataFrame:
-    """The node file of one type: id, label, and the listed properties, empty where missing."""
-    own = [F.coalesce(F.get_json_object("props", f"$.{p}"), F.lit("")).alias(p) for p in props]
-    return nodes.where(F.col("type") == kind).select(F.col("id").alias("id:ID"), F.col("type").alias(":LABEL"), *own)
+def _held(props: list[str]) -> list[Column]:
+    """The listed properties, empty where missing."""
+    fields = F.from_json("props", "map<string,string>")
+    return [F.coalesce(fields[p], F.lit("")).alias(p) for p in props]
+
+
+def neo4j_nodes(nodes: DataFrame, kind: str, props: list[str] | None = None) -> DataFrame:
+    """The node file of one type: id, label, and the listed properties, by default all that the type's nodes have."""
+    props = property_names(nodes, kind) if props is None else props
+    return nodes.where(F.col("type") == kind).select(F.col("id").alias("id:ID"), F.col("type").alias(":LABEL"), *_held(props))
 
 
-def neo4j_edges(edges: DataFrame, kind: str) -> DataFrame:
-    return edges.where(F.col("type") == kind).select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.col("type").alias(":TYPE"))
+def neo4j_edges(edges: DataFrame, kind: str, props: list[str] | None = None) -> DataFrame:
+    """The edge file of one type: its ends, its type, and its properties."""
+    props = property_names(edges, kind) if props is None else props
+    return edges.where(F.col("type") == kind).select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.col("type").alias(":TYPE"), *_held(props))
+
+
+def neo4j_csv(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, part, id, value): lines of one CSV file for each type of node and of edge, headers first; files, parts and ids in order."""
+    cell = lambda x: F.when(x.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    plain = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in '",\r\n') else x
+    out = []
+    for df, name, ends, head in ((nodes, "nodes", ("id", "type"), ["id:ID", ":LABEL"]), (edges, "edges", ("source", "target", "type"), [":START_ID", ":END_ID", ":TYPE"])):
+        keys: dict[str, list[str]] = {}
+        for r in df.select("type", F.explode_outer(F.json_object_keys("props")).alias("k")).distinct().collect():
+            keys.setdefault(r["type"], []).extend([r["k"]] if r["k"] is not None else [])
+        file = F.concat(F.lit(f"{name}_"), safe_filename(F.col("type")), F.lit(".csv"))
+        fields = F.from_json("props", "map<string,string>")
+        own = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[F.array(*map(F.lit, sorted(k))).cast("array<string>") for k in keys.values()])) if keys else F.create_map().cast("map<string,array<string>>")
+        cells = F.concat(F.array(*[cell(F.col(c)) for c in ends]), F.transform(own[F.col("type")], lambda k: cell(F.coalesce(fields[k], F.lit("")))))
+        out.append(df.select(file.alias("file"), F.lit(1).alias("part"), "id", F.array_join(cells, ",").alias("value")))
+        heads = [(k, ",".join(map(plain, [*head, *sorted(v)]))) for k, v in keys.items()]
+        out.append(df.sparkSession.createDataFrame(heads, "type string, value string").select(file.alias("file"), F.lit(0).alias("part"), F.lit("").alias("id"), "value"))
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 def gnn_edge_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,7 +290,7 @@ def gnn_edge_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def gnn_one_hot(nodes: DataFrame) -> DataFrame:
-    """(idx, one_hot): node types in name order."""
+    """(idx, one_hot): node types in name order. The list of types is as long as each row that is made of it."""
     kinds = nodes.agg(F.array_sort(F.collect_set("type")).alias("kinds"))
     rows = ordinals(nodes.select("id", "type"), ["id"]).crossJoin(F.broadcast(kinds))
     return rows.select(F.col("_i").alias("idx"), F.transform("kinds", lambda k: (k == F.col("type")).cast("int")).alias("one_hot"))
@@ -228,13 +308,26 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, ontology: Ontology, kind: str) -> DataFrame:
-    """A graph in one of twelve formats, as rows."""
+    """A graph in one of twelve formats, as rows; text has a column ``value``, whose order the columns before it give."""
     spark = nodes.sparkSession
     made = {
         "turtle": lambda: turtle(triples(nodes, edges)), "ntriples": lambda: ntriples(triples(nodes, edges)), "jsonld": lambda: jsonld(triples(nodes, edges)), "rdfxml": lambda: rdfxml(triples(nodes, edges)),
         "owl": lambda: ntriples(owl(spark, ontology)), "graphml": lambda: graphml(nodes, edges), "gexf": lambda: gexf(nodes, edges), "cypher": lambda: cypher(nodes, edges),
-        "neo4j_csv": lambda: edges.select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.col("type").alias(":TYPE")), "gnn": lambda: gnn_edge_index(nodes, edges), "parquet": lambda: edge_list(edges, ontology), "json": lambda: node_link(nodes, edges),
+        "neo4j_csv": lambda: neo4j_csv(nodes, edges), "gnn": lambda: gnn_edge_index(nodes, edges), "parquet": lambda: edge_list(edges, ontology), "json": lambda: node_link(nodes, edges),
     }
     if kind not in made:
         raise ValueError(f"unknown graph format {kind!r}")
     return made[kind]()
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, ontology: Ontology, kind: str, path: str) -> dict:
+    """Write a graph and say what was written: files of text in the order of their names, or of Parquet; ``neo4j_csv`` is a folder for each file."""
+    out = export_graph(nodes, edges, ontology, kind)
+    if "value" not in out.columns:
+        out.write.mode("errorifexists").parquet(path)
+    elif kind == "neo4j_csv":
+        out.orderBy("file", "part", "id").select("file", "value").write.mode("errorifexists").partitionBy("file").text(path)
+    else:
+        order = [c for c in out.columns if c != "value"]
+        (out.orderBy(*order) if order else out).select("value").write.mode("errorifexists").text(path)
+    return {"format": kind, "path": path, "rows": nodes.count() + edges.count()}
