@@ -70,7 +70,10 @@ def _power(u: Column, low: float, high: float, exponent: float) -> Column:
 
 
 def _least_degree(average: float, high: float, exponent: float) -> float:
-    """The lower bound at which a power law has this mean."""
+    """The lower bound at which a power law has this mean; the upper one if that is no more."""
+    if average >= high:
+        return high
+
     def mean(low: float) -> float:
         e, f = 1 - exponent, 2 - exponent
         return (e / f if f else e) * ((high**f - low**f) if f else math.log(high / low)) / (high**e - low**e)

@@ -9,6 +9,7 @@ from tessera.operators import graph as X
 from tessera.operators import graph_build as B
 from tessera.operators import graph_perturb as R
 from tessera.operators import judges, metadata, profile
+from tessera.operators import order as O
 from tessera.operators import perturb as P
 from tessera.plans import evaluate
 from tessera.sources import readers, writers
@@ -48,8 +49,48 @@ def test_bias_reaches_ratio(rows):
     assert abs(share - 0.9) < 0.01
 
 
-def test_ordinals_are_dense(rows):
-    assert sorted(r["_i"] for r in P.ordinals(rows, ["num", "k"]).collect()) == list(range(300))
+@pytest.mark.parametrize("size", [7, 250_000])
+def test_places_and_sums_are_those_of_one_order(rows, size):
+    assert sorted((r["num"], r["k"], r["_i"]) for r in O.ordinals(rows, ["num", "k"], size).collect()) == [(a, k, i) for i, (a, k) in enumerate(sorted((float(k % 37), k) for k in range(300)))]
+    got = {r["k"]: r for r in O.running(rows, ["cat"], ["num", "k"], ["k", "num"], size).collect()}
+    seen = {}
+    for num, k in sorted((float(k % 37), k) for k in range(300)):
+        own = seen.setdefault(k % 3, [0, 0.0])
+        own[0] += k
+        own[1] += num
+        assert got[k]["cum_k"] == own[0] and abs(got[k]["cum_num"] - own[1]) < 1e-9
+    assert all(got[k]["all_k"] == seen[k % 3][0] for k in range(300))
+    assert O.running(rows.limit(0), ["cat"], ["k"], ["num"]).count() == 0 and O.ordinals(rows.limit(0), ["k"]).count() == 0
+
+
+def test_large_and_small_value_tables_give_the_same(rows, monkeypatch):
+    ways = [P.categorical_swap(rows, "cat", ["k"], 3, 0.5), P.rotate(rows, "cat"), P.categorical_swap(rows, "text", ["k"], 3, 0.5)]
+    small = [x.collect() for x in ways]
+    monkeypatch.setattr(O, "SMALL", 0)
+    for a, b in zip(small, [P.categorical_swap(rows, "cat", ["k"], 3, 0.5), P.rotate(rows, "cat"), P.categorical_swap(rows, "text", ["k"], 3, 0.5)]):
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b.collect()))
+    changed = {r["k"]: r["text"] for r in small[2]}
+    assert 100 < sum(changed[k] != f"word {k} and more" for k in range(300)) < 200 and set(changed.values()) <= {f"word {k} and more" for k in range(300)}
+
+
+@pytest.mark.parametrize("cell,block", [(512, 4096), (8, 5)])
+def test_nearest_rows_are_exact(spark, monkeypatch, cell, block):
+    import numpy as np
+
+    monkeypatch.setattr(judges, "CELL", cell)
+    rng = np.random.RandomState(1)
+    a = np.concatenate([rng.standard_normal((60, 2)) * 50, np.zeros((10, 2)), rng.randint(0, 3, (30, 2))])
+    b = np.concatenate([rng.standard_normal((300, 2)) * 20, np.ones((200, 2)), rng.randint(0, 4, (100, 2))])
+    make = lambda x: spark.createDataFrame([(i, float(u), None if i % 41 == 40 else float(v)) for i, (u, v) in enumerate(x)], "key long, u double, v double")
+    got = {r["key"]: r["distance"] for r in judges.nearest_distances(make(a), make(b), ["u", "v"], "key", block).collect()}
+    holes = lambda x: np.array([np.nan if i % 41 == 40 else v for i, v in enumerate(x)])
+    bu, bv = b[:, 0], holes(b[:, 1])
+    scale = lambda x, of: np.nan_to_num((x - np.nanmean(of)) / np.nanstd(of))
+    x, y = np.stack([scale(a[:, 0], bu), scale(holes(a[:, 1]), bv)], 1), np.stack([scale(bu, bu), scale(bv, bv)], 1)
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2).min(1))
+    assert len(got) == 100 and all(abs(got[i] - want[i]) < 1e-9 for i in range(100))
+    assert judges.nearest_distances(make(a).limit(0), make(b), ["u", "v"], "key").count() == 0
+    assert {r["distance"] for r in judges.nearest_distances(make(a), make(b).limit(0), ["u", "v"], "key").collect()} == {None}
 
 
 def test_empty_tables(spark, rows):
@@ -182,6 +223,108 @@ def test_preferential_attachment_has_hubs(spark):
     assert max(deg) > 4 * sum(deg) / len(deg)
 
 
+def test_pairs_by_chance(spark):
+    pairs = [(r["a"], r["b"]) for r in B.erdos_renyi(spark, 700, 0.03, 5).collect()]
+    n = 700 * 699 / 2 * 0.03
+    assert len(set(pairs)) == len(pairs) and all(0 <= a < b < 700 for a, b in pairs) and abs(len(pairs) - n) < 5 * n**0.5
+    assert sorted((r["a"], r["b"]) for r in B.erdos_renyi(spark, 70, 1.0, 5).collect()) == [(a, b) for a in range(70) for b in range(a + 1, 70)]
+    assert B.erdos_renyi(spark, 50, 0.0, 5).count() == 0 and B.erdos_renyi(spark, 1, 0.5, 5).count() == 0
+    blocks = [(r["a"], r["b"]) for r in B.stochastic_blocks(spark, [30, 1, 50], 1.0, 0.1, 5).collect()]
+    side = lambda x: 0 if x < 30 else 1 if x < 31 else 2
+    assert len(set(blocks)) == len(blocks) and sum(side(a) == side(b) for a, b in blocks) == 30 * 29 / 2 + 50 * 49 / 2
+    across = sum(side(a) != side(b) for a, b in blocks)
+    assert abs(across - 0.1 * (30 + 1500 + 50)) < 60
+
+
+def test_lfr_has_its_shape(spark):
+    nodes, pairs = B.lfr(spark, 4000, 3, mixing=0.2, average_degree=8, min_community=100)
+    comm = {r["id"]: r["community"] for r in nodes.collect()}
+    edges = [(r["a"], r["b"]) for r in pairs.collect()]
+    sizes = {}
+    for c in comm.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert sorted(comm) == list(range(4000)) and min(sizes.values()) >= 100 and len(sizes) > 3
+    assert len(set(edges)) == len(edges) and all(a < b for a, b in edges)
+    outer = sum(comm[a] != comm[b] for a, b in edges) / len(edges)
+    assert 0.12 < outer < 0.25 and 6 < 2 * len(edges) / 4000 < 9
+    degree = {}
+    for a, b in edges:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    assert max(degree.values()) > 5 * 8
+    for n in (1, 5, 30):
+        nodes, pairs = B.lfr(spark, n, 3)
+        assert sorted(r["id"] for r in nodes.collect()) == list(range(n)) and pairs.where("a >= b").count() == 0
+
+
+def plain_greedy(names, edges):
+    """Communities by trying every union."""
+    parts = [{x} for x in names]
+    m = len(edges)
+
+    def quality(ps):
+        out = 0.0
+        for p in ps:
+            inside = sum(a in p and b in p for a, b in edges)
+            ends = sum((a in p) + (b in p) for a, b in edges)
+            out += inside / m - (ends / (2 * m)) ** 2
+        return out
+
+    best = quality(parts)
+    while True:
+        tried = [(quality([p for k, p in enumerate(parts) if k not in (i, j)] + [parts[i] | parts[j]]), -i, -j) for i in range(len(parts)) for j in range(i + 1, len(parts))]
+        if not tried or max(tried)[0] <= best + 1e-12:
+            return best
+        best, i, j = max(tried)
+        parts = [p for k, p in enumerate(parts) if k not in (-i, -j)] + [parts[-i] | parts[-j]]
+
+
+@pytest.mark.parametrize("most", [500_000, 30])
+def test_greedy_communities(spark, most):
+    import random
+
+    for seed in range(3):
+        draw = random.Random(seed)
+        names = [f"n{i:02d}" for i in range(24)]
+        edges = sorted({tuple(sorted((a, b))) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and draw.random() < (0.6 if i // 8 == j // 8 else 0.05)})
+        nodes = spark.createDataFrame([(x,) for x in [*names, "alone"]], "id string")
+        pairs = spark.createDataFrame(edges, "a string, b string")
+        got = X.greedy_communities(nodes, pairs, most)
+        assert got.count() == 25 and got.where("id = 'alone' and community = 'alone'").count() == 1
+        assert got.groupBy("community").agg(F.min("id").alias("least")).where("least <> community").count() == 0
+        q = X.modularity(pairs, got).first()[0]
+        assert q > 0 and (most < 100 or q >= plain_greedy(names, edges) - 0.02)  # contracted first, a graph this small is blurred
+    assert X.greedy_communities(nodes.limit(2), pairs.limit(0)).count() == 2
+
+
+def test_engines(spark, people):
+    n, e = people
+    for asked in ({"topology": t} for t in ("barabasi_albert", "watts_strogatz", "erdos_renyi", "stochastic_block_model", "lfr")):
+        nodes, edges = B.build(spark, 40, 3, ONTO, **asked)
+        assert nodes.count() == 40 and {r["type"] for r in nodes.collect()} == {"P", "C"}
+        assert X.constraint_check(nodes.withColumn("props", F.lit('{"age":3}')), edges, ONTO).count() == 0
+    assert B.build(spark, 25, 3, sample=people)[0].count() == 25
+    with pytest.raises(ValueError):
+        B.build(spark, 5, 3, ONTO, topology="odd")
+    with pytest.raises(ValueError):
+        B.build(spark, 5, 3, topology="lfr")
+
+
+def test_alignment_finds_every_best_match(spark):
+    import random
+
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcde") for _ in range(draw.randint(1, 7))) for _ in range(30)] + [""]
+    name = lambda: " ".join(draw.choice(words) for _ in range(draw.randint(1, 3)))
+    left, right = ([name() for _ in range(60)] for _ in range(2))
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "label string")
+    every = frame(left).distinct().withColumnRenamed("label", "source").crossJoin(frame(right).distinct().withColumnRenamed("label", "target")).withColumn("score", S.lexical_score(F.col("source"), F.col("target")))
+    want = {}
+    for r in every.where("score >= 0.3").collect():
+        want[r["source"]] = max(want.get(r["source"], (0, "")), (r["score"], r["target"]), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+    got = {r["source"]: (r["score"], r["target"]) for r in B.align(frame(left), frame(right)).collect()}
+    assert {k: round(v[0], 9) for k, v in got.items()} == {k: round(v[0], 9) for k, v in want.items()}
+
+
 def test_walks_are_simple(people):
     n, e = people
     p = X.to_undirected(n, e)
@@ -191,9 +334,118 @@ def test_walks_are_simple(people):
     assert got["answerable"] == got["multi_hop"] == got["grounded"] == 1.0
 
 
+@pytest.fixture(scope="module")
+def odd_people(spark):
+    n = spark.createDataFrame([('a "quoted" <id>', "P & Q", '{"text":"line\\n\\"two\\" \\\\ <b>&\\t,;\\u0001","n":-3,"x":1.5,"yes":true,"none":null}'), ("b", "C", "{}"), ("c", "C", '{"text":"plain"}')], "id string, type string, props string")
+    e = spark.createDataFrame([("e 1", "KNOWS", 'a "quoted" <id>', "b", '{"since":"2020-01-02T03:04:05"}'), ("e2", "AT", "b", "c", "{}")], "id string, type string, source string, target string, props string")
+    return n.cache(), e.cache()
+
+
+def document(df):
+    return "\n".join(r["value"] for r in df.orderBy("part").collect())
+
+
 @pytest.mark.parametrize("kind", writers.GRAPH_FORMATS)
-def test_graph_formats(people, kind):
-    assert writers.export_graph(*people, ONTO, kind).count() > 0
+def test_graph_formats_are_written(people, odd_people, kind, tmp_path):
+    for i, g in enumerate((people, odd_people)):
+        made = writers.write_graph(*g, ONTO, kind, str(tmp_path / f"{kind}{i}"))
+        assert made["format"] == kind and made["rows"] == g[0].count() + g[1].count()
+        read = g[0].sparkSession.read
+        assert (read.parquet if kind in ("gnn", "parquet") else read.text)(made["path"]).count() > 0
+
+
+def test_jsonld_and_rdfxml_hold_the_triples(odd_people):
+    import json
+    import xml.etree.ElementTree as ET
+
+    t = writers.triples(*odd_people)
+    want = {(r["s"].strip("<>"), r["p"].strip("<>"), r["o"]) for r in t.collect()}
+    lines = {r["value"] for r in writers.ntriples(t).collect()}
+    assert len(lines) == len(want) and not any("\n" in x for x in lines)
+    found = set()
+    for node in json.loads(document(writers.jsonld(t))):
+        for key, values in node.items():
+            if key == "@id":
+                continue
+            for v in values:
+                if key == "@type":
+                    found.add((node["@id"], writers.RDF + "type", ("iri", v)))
+                else:
+                    found.add((node["@id"], key, ("iri", v["@id"]) if "@id" in v else (v.get("@type", ""), v["@value"])))
+    plain = {(s, p, ("iri", o.strip("<>")) if o[0] != '"' else ((o.rsplit("^^<", 1)[1][:-1] if o.endswith(">") else ""), json.loads(o.rsplit("^^<", 1)[0] if o.endswith(">") else o))) for s, p, o in want}
+    assert found == plain
+    root, found, r = ET.fromstring(document(writers.rdfxml(t))), set(), "{" + writers.RDF + "}"
+    for node in root:
+        s = node.get(r + "about") or "_:" + node.get(r + "nodeID")
+        for child in node:
+            o = child.get(r + "resource") or (("_:" + child.get(r + "nodeID")) if child.get(r + "nodeID") else None)
+            found.add((s, child.tag[1:].replace("}", ""), ("iri", o) if o else (child.get(r + "datatype", ""), child.text or "")))
+    assert found == {(s, p, (k, v.replace("\u0001", "\ufffd") if k != "iri" else v)) for s, p, (k, v) in plain}
+
+
+def test_xml_graphs_parse_and_come_back(spark, odd_people, tmp_path):
+    import json
+    import xml.etree.ElementTree as ET
+
+    n, e = odd_people
+    doc = document(writers.graphml(n, e))
+    root = ET.fromstring(doc)
+    ns = "{http://graphml.graphdrawing.org/xmlns}"
+    declared = {k.get("id") for k in root.findall(ns + "key")}
+    assert {d.get("key") for d in root.iter(ns + "data")} <= declared and len(root[-1].findall(ns + "node")) == 3
+    (tmp_path / "g.graphml").write_text(doc)
+    nodes, edges = readers.scan_graphml(spark, str(tmp_path / "g.graphml"))
+    back = {r["id"]: (r["type"], json.loads(r["props"])) for r in nodes.collect()}
+    assert back['a "quoted" <id>'][0] == "P & Q" and back['a "quoted" <id>'][1]["n"] == "-3" and back["c"] == ("C", {"text": "plain"})
+    assert {(r["id"], r["type"], r["source"], r["target"]) for r in edges.collect()} == {("e 1", "KNOWS", 'a "quoted" <id>', "b"), ("e2", "AT", "b", "c")}
+    root = ET.fromstring(document(writers.gexf(n, e)))
+    values = [x.get("value") for x in root.iter("{http://gexf.net/1.3}attvalue")]
+    assert "1.5" in values and "plain" in values and "2020-01-02T03:04:05" in values
+
+
+def test_neo4j_files_hold_nodes_edges_and_properties(odd_people):
+    import csv
+    import io
+
+    files = {}
+    for r in writers.neo4j_csv(*odd_people).orderBy("file", "part", "id").collect():
+        files.setdefault(r["file"], []).append(r["value"])
+    tables = {k: list(csv.reader(io.StringIO("\n".join(v)))) for k, v in files.items()}
+    assert set(tables) == {"nodes_P_Q.csv", "nodes_C.csv", "edges_KNOWS.csv", "edges_AT.csv"}
+    assert tables["nodes_C.csv"] == [["id:ID", ":LABEL", "text"], ["b", "C", ""], ["c", "C", "plain"]]
+    assert tables["edges_KNOWS.csv"] == [[":START_ID", ":END_ID", ":TYPE", "since"], ['a "quoted" <id>', "b", "KNOWS", "2020-01-02T03:04:05"]]
+    assert tables["nodes_P_Q.csv"][0] == ["id:ID", ":LABEL", "n", "none", "text", "x", "yes"] and tables["nodes_P_Q.csv"][1][4] == 'line\n"two" \\ <b>&\t,;\x01'
+
+
+def test_templates(spark):
+    from tessera.operators import templates
+
+    for key, t in templates.TEMPLATES.items():
+        df = templates.generate(spark, key, 3, 50)
+        assert df.count() == 50 and df.columns == [f.name for f in t.fields]
+    with pytest.raises(ValueError):
+        templates.generate(spark, "odd", 3)
+
+
+def test_reports_have_every_judge_that_applies(spark, rows, people):
+    t = rows.withColumn("y", F.pmod("k", F.lit(2)).cast("string")).drop("text")
+    scores, total = evaluate.run(t, t, key="k", sensitive="cat", outcome="num", target="y", task="tabular_classification", columns={"label": "y"})
+    got = {r["dimension"]: r["score"] for r in scores.collect()}
+    assert set(got) == {"diversity", "fidelity", "privacy", "utility", "bias", "task_quality"} and got["fidelity"] == 1.0 and got["privacy"] == 0.0 and got["task_quality"] > 0.99
+    assert 0 <= total.first()["overall"] <= 1
+    assert evaluate.run(t, task="chat")[0].where("dimension = 'task_quality'").count() == 0  # no column of a chat
+    over, _ = evaluate.run(t, overrides={"diversity": 0.25})
+    assert over.first()["score"] == 0.25
+    graphs = {r["dimension"]: r["score"] for r in evaluate.run_graph(people, people, ONTO)[0].collect()}
+    assert set(graphs) == {"graph_connectivity", "graph_ontology", "graph_privacy", "graph_structure", "graph_utility"}
+    assert graphs["graph_structure"] == 1.0 and graphs["graph_ontology"] == 1.0 and graphs["graph_privacy"] == 0.0
+
+
+def test_connectivity_and_overlap_of_a_small_graph(people):
+    n, e = people
+    got = X.connectivity(n, e, ONTO).first()
+    assert (got["giant_fraction"], got["isolated_fraction"], got["relation_coverage"], got["node_type_coverage"]) == (8 / 11, 0.0, 1.0, 1.0) and abs(got["score"] - (8 / 11 + 3) / 4) < 1e-12
+    assert tuple(X.edge_overlap(n, e, n, e.where("type = 'AT'")).first()) == (10, 8)
 
 
 def test_unknown_formats(people, rows, tmp_path):
@@ -220,8 +472,21 @@ def test_scalars(spark):
 def test_stream(spark, tmp_path, rows):
     from tessera.streaming.perturb_stream import perturb_stream
 
-    rows.write.parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    stats = P.column_stats(rows, ["num"])
+    for i, (family, kind, intensity) in enumerate([("edge", "nulls", 0.5), ("noise", "gaussian", 0.3), ("noise", "uniform", 0.3), ("outlier", None, 0.4), ("edge", "boundary", 0.4), ("drift", "covariate", 0.5)]):
+        out = str(tmp_path / f"out{i}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        perturb_stream(stream, lambda df, n, out=out: df.write.mode("append").parquet(out), str(tmp_path / f"cp{i}"), family, "num", ["k"], 3, intensity, kind, stats).awaitTermination()
+        near = lambda df: sorted((r["k"], round(r["num"] or -1.0, 9)) for r in df.collect())
+        assert near(spark.read.parquet(out)) == near(P.perturb(rows, family, "num", ["k"], 3, intensity, kind))
+
+
+@pytest.mark.parametrize("family,kind,column", [("noise", "swap", "cat"), ("noise", None, "cat"), ("drift", "temporal", "num"), ("drift", "concept", "cat"), ("bias", None, "cat"), ("noise", "gaussian", "num")])
+def test_streams_refuse_what_needs_the_whole_table(spark, tmp_path, rows, family, kind, column):
+    from tessera.streaming.perturb_stream import perturb_stream
+
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    perturb_stream(stream, lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "cp"), "edge", "num", ["k"], 3, 0.5, "nulls").awaitTermination()
-    assert same(spark.read.parquet(out).na.fill(-1.0), P.perturb(rows, "edge", "num", ["k"], 3, 0.5, "nulls").na.fill(-1.0))
+    with pytest.raises(ValueError):
+        perturb_stream(stream, lambda df, n: None, str(tmp_path / "cp"), family, column, ["k"], 3, 0.5, kind)
