@@ -7,7 +7,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import clamp01
@@ -41,7 +40,8 @@ def js(subject: DataFrame, reference: DataFrame, names: list[str]) -> DataFrame:
     """(column, js): Jensen-Shannon distance to base 2 of the category shares; categories of one side count 0 on the other."""
     def shares(df: DataFrame, name: str) -> DataFrame:
         n = _long(df, names, "string").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
-        return n.select("column", "x", (F.col("n") / F.sum("n").over(W.partitionBy("column"))).alias(name))
+        total = F.broadcast(n.groupBy("column").agg(F.sum("n").alias("total")))  # a row for each column
+        return n.join(total, "column").select("column", "x", (F.col("n") / F.col("total")).alias(name))
 
     both = shares(subject, "p").join(shares(reference, "q"), ["column", "x"], "full_outer").na.fill(0.0, ["p", "q"])
     m = (F.col("p") + F.col("q")) / 2
@@ -71,12 +71,17 @@ def fidelity(subject: DataFrame, reference: DataFrame) -> DataFrame:
     return out.withColumn("score", clamp01(1 - (F.col("ks_mean") + F.col("js_mean") + F.col("corr_delta")) / 3))
 
 
+def entropy(n: Column) -> Column:
+    """Entropy of groups of these sizes over its most for so many, 0 for one; one aggregate, without shares."""
+    k, total = F.count(n), F.sum(n).cast("double")
+    h = F.log(total) - F.try_divide(F.sum(n * F.log(n.cast("double"))), total)
+    return F.when(k > 1, F.greatest(F.lit(0.0), h) / F.log(F.greatest(k, F.lit(2)).cast("double"))).otherwise(0.0)
+
+
 def entropy_of(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, entropy, top_share): entropy of the values over its most for so many values, 0 for one; share of the top value."""
     n = _long(df, names, "string").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
-    p = n.select("column", (F.col("n") / F.sum("n").over(W.partitionBy("column"))).alias("p"))
-    return p.groupBy("column").agg(F.count("*").alias("k"), (-F.sum(F.col("p") * F.log("p"))).alias("h"), F.max("p").alias("top_share")).select(
-        "column", F.when(F.col("k") <= 1, F.lit(0.0)).otherwise(F.col("h") / F.log(F.when(F.col("k") > 1, F.col("k")).otherwise(2).cast("double"))).alias("entropy"), "top_share")
+    return n.groupBy("column").agg(entropy(F.col("n")).alias("entropy"), (F.max("n") / F.sum("n")).alias("top_share"))
 
 
 def uniqueness(df: DataFrame) -> Column:
@@ -241,8 +246,7 @@ def privacy(subject: DataFrame, reference: DataFrame, key: str) -> DataFrame:
 def fairness(df: DataFrame, group: str, outcome: str) -> DataFrame:
     """score, representation_entropy, parity_gap, impact_ratio of an outcome by a sensitive column; a null group is one of its own."""
     n = df.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n"))
-    p = n.select((F.col("n") / F.sum("n").over(W.partitionBy())).alias("p"))
-    entropy = p.agg(F.count("*").alias("k"), (-F.sum(F.col("p") * F.log("p"))).alias("h")).select(F.when(F.col("k") <= 1, 0.0).otherwise(F.col("h") / F.log(F.greatest("k", F.lit(2)).cast("double"))).alias("representation_entropy"))
+    spread = n.agg(entropy(F.col("n")).alias("representation_entropy"))
     if outcome in numeric_columns(df):
         mark = df.agg(F.median(F.col(outcome).cast("double")).alias("mark"))
         good = F.coalesce((F.col(outcome).cast("double") > F.col("mark")).cast("double"), F.lit(0.0))
@@ -251,7 +255,7 @@ def fairness(df: DataFrame, group: str, outcome: str) -> DataFrame:
         good = F.coalesce((F.col(outcome) == F.col("mark")).cast("double"), F.lit(0.0))
     rates = df.crossJoin(F.broadcast(mark)).groupBy(F.coalesce(F.col(group).cast("string"), F.lit("None")).alias("g")).agg(F.avg(good).alias("rate"))
     gaps = rates.agg((F.max("rate") - F.min("rate")).alias("parity_gap"), F.when(F.max("rate") > 0, F.try_divide(F.min("rate"), F.max("rate"))).otherwise(1.0).alias("impact_ratio"))
-    return entropy.crossJoin(gaps).withColumn("score", clamp01(0.5 * F.col("representation_entropy") + 0.5 * (1 - F.col("parity_gap"))))
+    return spread.crossJoin(gaps).withColumn("score", clamp01(0.5 * F.col("representation_entropy") + 0.5 * (1 - F.col("parity_gap"))))
 
 
 def tstr_utility(subject: DataFrame, reference: DataFrame, target: str, seed: int = 7, trees: int = 25) -> DataFrame:

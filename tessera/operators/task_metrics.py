@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import INTERROGATIVES, bigram_overlap, clamp01, nonempty, question_type, strip_json_fence, text_value
+from tessera.operators.judges import entropy
 
 
 def share(condition: Column, empty: float = 0.0) -> Column:
@@ -17,9 +17,7 @@ def share(condition: Column, empty: float = 0.0) -> Column:
 def balance(df: DataFrame, label: str) -> DataFrame:
     """One row: entropy of the label's values over its most for so many; 0 for one value or none."""
     n = df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("x")).agg(F.count("*").alias("n"))
-    p = n.select((F.col("n") / F.sum("n").over(W.partitionBy())).alias("p"))
-    h = F.try_divide(-F.sum(F.col("p") * F.log("p")), F.log(F.count(F.lit(1)).cast("double")))
-    return p.agg(F.when(F.count(F.lit(1)) > 1, h).otherwise(0.0).alias("balance"))
+    return n.agg(entropy(F.col("n")).alias("balance"))
 
 
 def duplicate_rate(column: str) -> Column:
@@ -92,8 +90,7 @@ def duration_uniformity(df: DataFrame, column: str, slack: float = 0.1) -> DataF
 def modal_share(df: DataFrame, *columns: str) -> DataFrame:
     """value(s) and share of the most frequent combination; ties go to the smallest."""
     n = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    total = W.partitionBy()
-    return n.withColumn("share", F.col("n") / F.sum("n").over(total)).orderBy(F.desc("n"), *columns).limit(1).select(*columns, "share")
+    return n.orderBy(F.desc("n"), *columns).limit(1).crossJoin(n.agg(F.sum("n").alias("total"))).select(*columns, (F.col("n") / F.col("total")).alias("share"))
 
 
 def verdict_rates(df: DataFrame, verdict: str) -> DataFrame:

@@ -209,7 +209,7 @@ def _prints_sql(p: str, nodes: str, edges: str) -> str:
 {p}w AS (SELECT a AS id, b AS other FROM {p}p UNION ALL SELECT b, a FROM {p}p), {p}d AS (SELECT n.id, count(w.other) AS degree FROM {p}n n LEFT JOIN {p}w w ON w.id = n.id GROUP BY 1),
 {p}t AS (SELECT id, count(*) AS triangles FROM (SELECT unnest([x.a, x.b, y.b]) AS id FROM {p}p x JOIN {p}p y ON x.b = y.a JOIN {p}p z ON z.a = x.a AND z.b = y.b) GROUP BY 1),
 {p}c AS (SELECT d.id, degree, CASE WHEN degree < 2 THEN 0.0 ELSE 2 * coalesce(triangles, 0) / (degree * (degree - 1))::DOUBLE END AS clustering FROM {p}d d LEFT JOIN {p}t t ON t.id = d.id),
-{p}f AS (SELECT c.id, md5(c.degree || '|' || coalesce(nds, '') || '|' || printf('%.2f', clustering::DOUBLE)) AS print FROM {p}c c LEFT JOIN (SELECT w.id, string_agg(d.degree::VARCHAR, ',' ORDER BY d.degree) AS nds FROM {p}w w JOIN {p}d d ON d.id = w.other GROUP BY 1) s ON s.id = c.id),
+{p}f AS (SELECT c.id, md5(c.degree || '|' || coalesce(nds, '') || '|' || printf('%.2f', clustering::DOUBLE)) AS print FROM {p}c c LEFT JOIN (SELECT id, string_agg(nd || 'x' || k, ',' ORDER BY nd) AS nds FROM (SELECT w.id, d.degree AS nd, count(*) AS k FROM {p}w w JOIN {p}d d ON d.id = w.other GROUP BY 1, 2) GROUP BY 1) s ON s.id = c.id),
 {p}e AS (SELECT least(x.degree, y.degree) AS x, greatest(x.degree, y.degree) AS y FROM {p}p p JOIN {p}d x ON x.id = p.a JOIN {p}d y ON y.id = p.b)"""
 
 

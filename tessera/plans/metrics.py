@@ -266,7 +266,9 @@ def llm_topk_borderline(spark, d):
 
 @query("sorted_export", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_name) AS place FROM nation")
 def sorted_export(spark, d):
-    return read(spark, d, "nation").orderBy("n_name").select("n_nationkey", "n_name", F.row_number().over(W.orderBy("n_name")).cast("long").alias("place"))
+    from tessera.operators.order import ordinals
+
+    return ordinals(read(spark, d, "nation").select("n_nationkey", "n_name"), ["n_name"]).select("n_nationkey", "n_name", (F.col("_i") + 1).alias("place"))
 
 
 @query("sample_without_replacement", "SELECT c_custkey FROM customer ORDER BY md5('5:pick:' || c_custkey), c_custkey LIMIT 200")

@@ -206,7 +206,7 @@ def js_distance(spark, d):
 @query("js_category_align", f"""SELECT x AS category, coalesce(p, 0.0)::DOUBLE AS p, coalesce(q, 0.0)::DOUBLE AS q FROM (SELECT o_orderpriority AS x, round(count(*) / (SELECT count(*) FROM {SUBJECT})::DOUBLE, 6) AS p FROM {SUBJECT} GROUP BY 1) a
 FULL JOIN (SELECT o_orderpriority AS x, round(count(*) / (SELECT count(*) FROM {REFERENCE})::DOUBLE, 6) AS q FROM {REFERENCE} GROUP BY 1) b USING (x)""")
 def js_category_align(spark, d):
-    share = lambda df, n: df.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n")).select("category", r6(F.col("n") / F.sum("n").over(W.partitionBy()), n))
+    share = lambda df, n: df.groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n")).crossJoin(df.agg(F.count("*").alias("total"))).select("category", r6(F.col("n") / F.col("total"), n))
     s, r = split_orders(spark, d)
     return share(s, "p").join(share(r, "q"), "category", "full_outer").na.fill(0.0)
 

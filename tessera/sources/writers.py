@@ -124,9 +124,19 @@ def ntriples(t: DataFrame) -> DataFrame:
     return t.select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value"))
 
 
+#: Triples of a block; a subject of more has several blocks, which all three syntaxes allow.
+TRIPLES = 1000
+
+
+def _dealt(t: DataFrame) -> DataFrame:
+    """Triples with ``b``, the number of their block within the subject's."""
+    many = t.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > TRIPLES).select("s", F.ceil(F.col("n") / TRIPLES).cast("int").alias("parts"))
+    return t.join(many, "s", "left").withColumn("b", F.coalesce(F.pmod(F.xxhash64("p", "o"), "parts"), F.lit(0))).drop("parts")
+
+
 def turtle(t: DataFrame) -> DataFrame:
-    """One block a subject."""
-    own = t.groupBy("s").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))).alias("po"))
+    """One block a subject, or several of a subject of many triples."""
+    own = _dealt(t).groupBy("s", "b").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))).alias("po"))
     return own.select(F.concat(F.col("s"), F.lit(" "), F.array_join("po", " ;\n    "), F.lit(" .")).alias("value"))
 
 
@@ -150,18 +160,18 @@ def _datatype_of(o: str) -> Column:
 
 
 def jsonld(t: DataFrame) -> DataFrame:
-    """(part, value): an expanded JSON-LD document, one line a subject; the list's first element is an empty node, which means nothing."""
+    """(part, value): an expanded JSON-LD document, a line for each subject's block; the list's first element is an empty node, which means nothing."""
     text, kind = _quote_of("o"), _datatype_of("o")
     value = F.when(text == "", F.concat(F.lit('{"@id":'), _quoted(_bare("o")), F.lit("}"))).when(kind == "", F.concat(F.lit('{"@value":'), text, F.lit("}"))).otherwise(F.concat(F.lit('{"@value":'), text, F.lit(',"@type":'), _quoted(kind), F.lit("}")))
     is_type = F.col("p") == f"<{RDF}type>"
     key, value = F.when(is_type, F.lit('"@type"')).otherwise(_quoted(_bare("p"))), F.when(is_type, _quoted(_bare("o"))).otherwise(value)
-    by = t.select("s", key.alias("k"), value.alias("v")).groupBy("s", "k").agg(F.array_sort(F.collect_set("v")).alias("v"))
-    own = by.select("s", F.concat("k", F.lit(":["), F.array_join("v", ","), F.lit("]")).alias("m")).groupBy("s").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    by = _dealt(t).select("s", "b", key.alias("k"), value.alias("v")).groupBy("s", "b", "k").agg(F.array_sort(F.collect_set("v")).alias("v"))
+    own = by.select("s", "b", F.concat("k", F.lit(":["), F.array_join("v", ","), F.lit("]")).alias("m")).groupBy("s", "b").agg(F.array_sort(F.collect_list("m")).alias("m"))
     return _parts(own.select(F.concat(F.lit(',{"@id":'), _quoted(_bare("s")), F.lit(","), F.array_join("m", ","), F.lit("}")).alias("value")), "[{}", "]")
 
 
 def rdfxml(t: DataFrame) -> DataFrame:
-    """(part, value): an RDF/XML document, one description a subject.
+    """(part, value): an RDF/XML document, a description for each subject's block.
 
     A predicate's name in XML is the longest end of its IRI that may be one; an IRI without such an end is an error."""
     name = F.regexp_extract(_bare("p"), r"([A-Za-z_][A-Za-z0-9_-]*)$", 1)
@@ -172,7 +182,7 @@ def rdfxml(t: DataFrame) -> DataFrame:
     kind = F.when(_datatype_of("o") != "", F.concat(F.lit(' rdf:datatype="'), _xml(_datatype_of("o")), F.lit('"'))).otherwise("")
     head = F.concat(F.lit("<q:"), name, F.lit(' xmlns:q="'), _xml(ns), F.lit('"'))
     line = F.when(_quote_of("o") == "", F.concat(head, F.lit(" "), blank("o", "rdf:resource", "rdf:nodeID"), F.lit('"/>'))).otherwise(F.concat(head, kind, F.lit(">"), _xml(text), F.lit("</q:"), name, F.lit(">")))
-    own = t.select("s", line.alias("l")).groupBy("s").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    own = _dealt(t).select("s", "b", line.alias("l")).groupBy("s", "b").agg(F.array_sort(F.collect_list("l")).alias("l"))
     body = own.select(F.concat(F.lit("<rdf:Description "), blank("s", "rdf:about", "rdf:nodeID"), F.lit('">'), F.array_join("l", ""), F.lit("</rdf:Description>")).alias("value"))
     return _parts(body, f'<?xml version="1.0" encoding="UTF-8"?><rdf:RDF xmlns:rdf="{RDF}">', "</rdf:RDF>")
 

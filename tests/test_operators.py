@@ -490,3 +490,28 @@ def test_streams_refuse_what_needs_the_whole_table(spark, tmp_path, rows, family
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError):
         perturb_stream(stream, lambda df, n: None, str(tmp_path / "cp"), family, column, ["k"], 3, 0.5, kind)
+
+
+def test_subjects_of_many_triples_have_blocks(spark, monkeypatch):
+    import json
+
+    monkeypatch.setattr(writers, "TRIPLES", 10)
+    n = spark.createDataFrame([(f"n{i}", "T", "{}") for i in range(60)], "id string, type string, props string")
+    e = spark.createDataFrame([(f"e{i}", "R", "n0", f"n{i}", "{}") for i in range(1, 60)], "id string, type string, source string, target string, props string")
+    t = writers.triples(n, e)
+    blocks = [r["value"] for r in writers.turtle(t).collect()]
+    own = [b for b in blocks if b.startswith(f"<{writers.BASE}node/n0> ")]
+    assert len(own) > 3 and sum(b.count(f"<{writers.BASE}node/n") - 1 for b in own) == 59
+    nodes = [x for x in json.loads(document(writers.jsonld(t))) if x.get("@id", "").endswith("node/n0")]
+    assert len(nodes) == len(own) and sum(len(x.get(f"{writers.BASE}relation/R", [])) for x in nodes) == 59
+
+
+def test_entropy_of_groups(spark):
+    import math
+
+    sizes = [5, 1, 14]
+    p = [x / 20 for x in sizes]
+    want = -sum(x * math.log(x) for x in p) / math.log(3)
+    df = spark.createDataFrame([(x,) for x in sizes], "n long")
+    assert abs(df.agg(judges.entropy(F.col("n"))).first()[0] - want) < 1e-12
+    assert df.limit(1).agg(judges.entropy(F.col("n"))).first()[0] == 0.0 and df.limit(0).agg(judges.entropy(F.col("n"))).first()[0] == 0.0
