@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read back; only a local session without that setting makes a folder of its own."""
+    """``df`` written to ``spark.checkpoint.dir`` and read back; only a local session without that setting makes a folder of its own. It is deleted when the driver's JVM ends."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -19,4 +19,6 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

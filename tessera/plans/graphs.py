@@ -172,7 +172,13 @@ def modularity_propagated(spark, d):
     return rounded(X.modularity(p, X.label_communities(n, p)), "modularity")
 
 
-@query("avg_shortest_path")
+_SHORTEST = f"""WITH RECURSIVE g AS (SELECT 'r' || r_regionkey AS id, r_regionkey AS g FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 's' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+giant AS (SELECT g FROM (SELECT g, count(*) AS n, min(id) AS low FROM g GROUP BY 1) ORDER BY n DESC, low LIMIT 1), nd AS (SELECT id FROM g WHERE g IN (SELECT g FROM giant)), w AS (SELECT source AS a, target AS b FROM {EDGES} WHERE source IN (SELECT id FROM nd) UNION SELECT target, source FROM {EDGES} WHERE source IN (SELECT id FROM nd)),
+d AS (SELECT id AS s, id AS t, 0 AS dist FROM nd UNION SELECT d.s, w.b, d.dist + 1 FROM d JOIN w ON w.a = d.t WHERE d.dist < 4), m AS (SELECT s, t, min(dist) AS dist FROM d GROUP BY 1, 2)
+SELECT round(sum(dist) / ((SELECT count(*) FROM nd) * ((SELECT count(*) FROM nd) - 1))::DOUBLE, 6) AS average_path FROM m"""
+
+
+@query("avg_shortest_path", _SHORTEST)
 def avg_shortest_path(spark, d):
     n, e = party(spark, d)
     return rounded(X.average_path(n, X.to_undirected(n, e)), "average_path")
@@ -332,15 +338,20 @@ def graph_rewire(spark, d):
     return R.rewire(*party(spark, d), 8, 0.3).select("id", "source", "target")
 
 
-@query("graph_rewire_degree_preserving")
+@query("graph_rewire_degree_preserving", f"""WITH h AS (SELECT id, type, target, {u(8, 'swap', 'id')} AS u FROM {EDGES} ORDER BY u, id LIMIT (SELECT round_even(0.3 * count(*), 0)::BIGINT // 2 * 2 FROM {EDGES})), i AS (SELECT *, row_number() OVER (ORDER BY type, u, id) - 1 AS i FROM h),
+s AS (SELECT x.id, y.target FROM i x JOIN i y ON x.i // 2 = y.i // 2 AND x.i <> y.i AND x.type = y.type) SELECT e.id, e.source, coalesce(s.target, e.target) AS target FROM {EDGES} e LEFT JOIN s ON s.id = e.id""")
 def graph_rewire_degree_preserving(spark, d):
     return R.rewire_preserving(party(spark, d)[1], 8, 0.3).select("id", "source", "target")
 
 
-@query("graph_ontology_violation")
+@query("graph_ontology_violation", f"""WITH n AS (SELECT 'r' || r_regionkey AS id, 'Region' AS type, NULL::DOUBLE AS balance FROM region UNION ALL SELECT 'n' || n_nationkey, 'Nation', NULL FROM nation UNION ALL SELECT 'c' || c_custkey, 'Customer', c_acctbal FROM customer UNION ALL SELECT 's' || s_suppkey, 'Supplier', s_acctbal FROM supplier),
+hn AS (SELECT id FROM n ORDER BY {u(8, 'violate:node', 'id')}, id LIMIT (SELECT round_even(0.2 * count(*), 0)::BIGINT FROM n)), he AS (SELECT id FROM {EDGES} ORDER BY {u(8, 'violate:edge', 'id')}, id LIMIT (SELECT round_even(0.2 * count(*), 0)::BIGINT FROM {EDGES})), low AS (SELECT type, min(id) AS id FROM n GROUP BY 1)
+SELECT 'node' AS part, id, CASE WHEN id IN (SELECT id FROM hn) AND type IN ('Region', 'Nation') THEN 'undeclared_type' ELSE type END AS type, CASE WHEN id NOT IN (SELECT id FROM hn) THEN balance WHEN type = 'Customer' THEN 9001.0 WHEN type = 'Supplier' THEN -1.0 END AS balance, NULL AS target FROM n
+UNION ALL SELECT 'edge', e.id, e.type, NULL, CASE WHEN e.id IN (SELECT id FROM he) THEN (SELECT min(id) FROM low WHERE low.type <> t.type) ELSE e.target END FROM {EDGES} e JOIN n t ON t.id = e.target""")
 def graph_ontology_violation(spark, d):
     n, e = R.violate_ontology(*party(spark, d), ONTOLOGY, 8, 0.2)
-    return n.select(F.lit("node").alias("part"), "id", "type", F.col("props").alias("detail")).union(e.select(F.lit("edge"), "id", "type", "target"))
+    nodes = n.select(F.lit("node").alias("part"), "id", "type", X.prop("balance").cast("double").alias("balance"), F.lit(None).cast("string").alias("target"))
+    return nodes.union(e.select(F.lit("edge"), "id", "type", F.lit(None).cast("double"), "target"))
 
 
 @query("inject_violations", f"""SELECT id, target FROM {EDGES} UNION ALL SELECT 'violation-' || range, 'missing-' || range FROM range(30)""")
@@ -385,7 +396,10 @@ def watts_strogatz(spark, d):
     return B.watts_strogatz(spark, 500, 6, 0.1, 2)
 
 
-@query("barabasi_albert")
+@query("barabasi_albert", f"""WITH RECURSIVE l AS (SELECT a.range AS a, j.range AS j, floor({u(1, 'ba:node', 'a.range', 'j.range')} * a.range)::BIGINT AS earlier, {u(1, 'ba', 'a.range', 'j.range')} < 0.5 AND a.range > 1 AS copies,
+least(floor({u(1, 'ba:link', 'a.range', 'j.range')} * (a.range - 1))::BIGINT + 1, a.range - 1) AS pa, floor({u(1, 'ba:slot', 'a.range', 'j.range')} * 2)::BIGINT AS pj FROM range(1, 2000) a, range(2) j),
+r AS (SELECT a, j, a AS ca, j AS cj FROM l UNION ALL SELECT r.a, r.j, l.pa, l.pj FROM r JOIN l ON l.a = r.ca AND l.j = r.cj WHERE l.copies)
+SELECT DISTINCT least(r.a, l.earlier) AS a, greatest(r.a, l.earlier) AS b FROM r JOIN l ON l.a = r.ca AND l.j = r.cj WHERE NOT l.copies AND r.a <> l.earlier""")
 def barabasi_albert(spark, d):
     return B.barabasi_albert(spark, 2000, 2, 1)
 
@@ -418,7 +432,8 @@ def graph_from_sample(spark, d):
     return X.graph_metrics(n, e)
 
 
-@query("chung_lu")
+@query("chung_lu", f"""WITH {PAIRS}, h AS (SELECT id, unnest(range(1, degree + 1)) AS h FROM deg), o AS (SELECT id, (row_number() OVER (ORDER BY {u(6, 'chung-lu', 'id', 'h')}, id, h) - 1) // 2 AS k FROM h)
+SELECT DISTINCT a, b FROM (SELECT min(id) AS a, max(id) AS b, count(*) AS n FROM o GROUP BY k) WHERE n = 2 AND a <> b""")
 def chung_lu(spark, d):
     n, e = parts(spark, d)
     return B.chung_lu(X.degree(n, X.to_undirected(n, e)), 6)
