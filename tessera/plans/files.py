@@ -10,8 +10,8 @@ from tessera.functions.shared import cut
 from tessera.operators import metadata
 from tessera.plans import evaluate
 from tessera.plans.graphs import EDGES, NODES, ONTOLOGY, party
-from tessera.plans.registry import query, read
-from tessera.plans.tables import rounded, split_orders
+from tessera.plans.registry import ORACLES, query, read
+from tessera.plans.tables import REFERENCE, SUBJECT, rounded, split_orders
 from tessera.sources import readers, writers
 
 
@@ -248,7 +248,16 @@ def _report(spark, d):
     return evaluate.run(s, r, key="o_orderkey", sensitive="o_orderpriority", outcome="o_totalprice")
 
 
-@query("evaluation_report")
+_REPORT = f"""WITH s AS {SUBJECT}, r AS {REFERENCE}, p AS (SELECT count(*) / sum(count(*)) OVER () AS p FROM s GROUP BY o_orderpriority), e AS (SELECT -sum(p * ln(p)) / ln(count(*)) AS entropy, max(p) AS top FROM p),
+u AS (SELECT (count(DISTINCT o_totalprice) + count(DISTINCT o_custkey) + count(DISTINCT o_orderpriority)) / (3.0::DOUBLE * count(*)) AS uniq FROM s), f AS ({ORACLES['fidelity_score']}), m AS (SELECT median(o_totalprice) AS mid FROM s),
+g AS (SELECT max(rate) - min(rate) AS gap FROM (SELECT avg((o_totalprice > mid)::INT) AS rate FROM s, m GROUP BY o_orderpriority)), z AS (SELECT stddev_pop(o_totalprice) AS a, stddev_pop(o_custkey) AS b FROM r),
+d AS (SELECT avg((EXISTS (SELECT 1 FROM r WHERE r.o_totalprice = s.o_totalprice AND r.o_custkey = s.o_custkey AND r.o_orderpriority = s.o_orderpriority))::INT) AS dup FROM s),
+nn AS (SELECT avg(near) AS near FROM (SELECT s.o_orderkey, min(sqrt(((s.o_totalprice - r.o_totalprice) / a) * ((s.o_totalprice - r.o_totalprice) / a) + ((s.o_custkey - r.o_custkey) / b) * ((s.o_custkey - r.o_custkey) / b))) AS near FROM s, r, z GROUP BY 1))
+SELECT 'diversity' AS dimension, round((uniq + entropy) / 2 * (1 - greatest(0.0, top - 0.6) / 0.4), 6)::DOUBLE AS score FROM u, e UNION ALL SELECT 'fidelity', score FROM f UNION ALL SELECT 'bias', round(0.5 * entropy + 0.5 * (1 - gap), 6)::DOUBLE FROM e, g
+UNION ALL SELECT 'privacy', round(1 - greatest(dup, 0.5 * dup + 0.5 * exp(-near)), 6)::DOUBLE FROM d, nn"""
+
+
+@query("evaluation_report", _REPORT)
 def evaluation_report(spark, d):
     return rounded(_report(spark, d)[0], "score")
 
