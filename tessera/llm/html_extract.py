@@ -8,7 +8,7 @@ stay ambiguous. The second lets each ambiguous block inherit the labels of its n
 Defined results: a null or empty page, and one of boilerplate only, has an empty text of 0 characters; repeated rows are
 each extracted for themselves; an empty table gives an empty result; other columns are ignored, whatever their names.
 Unclosed comments and scripts run to the end of the page, unclosed elements to the end of what encloses them, and a tag
-that never ends is the page's end. Elements more than 256 deep count as text of the one they stand in. Time is linear in the page.
+that never ends is the page's end. Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 
 from .shared import Lists, fields, kind, map_rows, named, text_or_empty
 
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: The rest of a tag without angle brackets in its quotes: nearly all are so, and no try reads beyond the next bracket.
+REST = re.compile(r"""(?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+>""")
 SPECIAL = re.compile(r"[>\"']")
-DEPTH = 256
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 # Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -119,8 +120,8 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
     """(text, share of its characters in links, whether in an article) of each block outside boilerplate, in page order."""
     found: list[tuple[str, float, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate so far, in an article
-    opened: Counter[str] = Counter()
-    deeper: Counter[str] = Counter()
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the elements of a name are
+    outer: list[int] = []  # and those of block level
     parts: list[str] = []
     linked, in_link, breaks, at, look, size = 0, 0, 0, 0, 0, len(page)
     end_of = TagEnds(page)
@@ -144,9 +145,14 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
                 breaks = 0
 
     def close(i: int) -> None:
-        for name, *_ in stack[i:]:
-            opened[name] -= 1
-        del stack[i:]
+        while len(stack) > i:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in BLOCK:
+                outer.pop()
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=-1)
 
     while at < size:
         start = page.find("<", look)
@@ -162,7 +168,11 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
         if not tag and page[start + 1 : start + 2] not in ("!", "?"):
             look = start + 1  # a character of the text
             continue
-        end = end_of(tag.end()) if tag else page.find(">", start)
+        if tag:
+            rest = REST.match(page, tag.end())
+            end = rest.end() - 1 if rest else end_of(tag.end())
+        else:
+            end = page.find(">", start)
         say(page[at:start])
         if end < 0:
             break
@@ -175,15 +185,9 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
                 flush()
             if name == "a":
                 in_link = 0
-            if deeper[name]:
-                deeper[name] -= 1
-            elif opened[name]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCK and name not in BLOCK:
-                        break
+            i = last((name,))
+            if i >= 0 and (name in BLOCK or not outer or outer[-1] < i):
+                close(i)
             continue
         if name == "br":
             breaks += 1
@@ -198,27 +202,21 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
             continue
         if name in BLOCK:
             flush()
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None) if opened["p"] else None
-            if inner is not None and stack[inner][0] == "p":
-                close(inner)  # a block ends an open paragraph and what is open in it
-            if name in ENDS and any(opened[x] for x in ENDS[name][0]):
-                ended, within = ENDS[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ended:
-                        close(i)
-                        break
+            if outer and stack[outer[-1]][0] == "p":
+                close(outer[-1])  # a block ends an open paragraph and what is open in it
+            if name in ENDS:
+                ended, within = map(last, ENDS[name])
+                if ended > within:
+                    close(ended)
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        if len(stack) == DEPTH:
-            deeper[name] += 1
-            continue
         dropped, scoped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if name == "a" and not dropped:
             in_link = 1
+        places[name].append(len(stack))
+        if name in BLOCK:
+            outer.append(len(stack))
         stack.append((name, dropped or _boilerplate(name, attrs, scoped), scoped or name in SCOPE and not dropped))
-        opened[name] += 1
     flush()
     return found
 

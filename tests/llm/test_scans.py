@@ -102,17 +102,41 @@ def timed(run, text):
 
 @pytest.mark.parametrize("text", ["eyJaaaaaaaa" * 90_000, "eyJaaaaaaaa." * 90_000, "eyJ" * 330_000, "-----BEGIN PRIVATE KEY-----" * 38_000, "-----BEGIN RSA PRIVATE KEY-----\nabcd\n" * 25_000, "password " * 110_000, "AKIA" * 250_000, "ghp_" * 250_000])
 def test_secrets_of_long_texts_are_found_in_one_pass(text):
-    assert timed(lambda t: (secret_scan.base_spans(t), secret_scan.extra_spans(t)), text) < 4
+    assert timed(lambda t: (secret_scan.base_spans(t), secret_scan.extra_spans(t)), text) < 2
 
 
 @pytest.mark.parametrize("text", ["mit license " * 80_000, "licensed under the mit licence " * 32_000, "gnu general pubic license " * 40_000, "cc by " * 160_000, "a " * 500_000])
 def test_notices_of_long_texts_are_found_in_one_pass(text):
-    assert timed(lambda t: license_scan._scan({"_text": [t]}), text) < 6
+    assert timed(lambda t: license_scan._scan({"_text": [t]}), text) < 2
 
 
-@pytest.mark.parametrize("page", ["<b " * 330_000, "<b " * 330_000 + ">", "<p>" + "a<b='" * 200_000, "<p>" + "a<b='" * 200_000 + ">", "<a \"'>" * 150_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 120_000, "<li><ul>" + "<div>" * 256 + "<li></li>" * 100_000, "<" * 1_000_000, "<div>" * 200_000, "<!--" * 250_000, "<script>" * 120_000])
+def test_tags_end_where_their_quotes_say():
+    import random
+
+    def end(page, at):
+        i = at
+        while i < len(page):
+            if page[i] == ">":
+                return i
+            if page[i] in "\"'":
+                i = page.find(page[i], i + 1)
+                if i < 0:
+                    break
+            i += 1
+        return page.find(">", at)
+
+    draw = random.Random(1)
+    for _ in range(5000):
+        page = "".join(draw.choice("<>a\"'=b ") for _ in range(draw.randint(1, 25)))
+        ends = html_extract.TagEnds(page)
+        for at in sorted(draw.sample(range(len(page)), min(len(page), 4))):
+            rest = html_extract.REST.match(page, at)
+            assert ends(at) == end(page, at) and (not rest or rest.end() - 1 == end(page, at))
+
+
+@pytest.mark.parametrize("page", ["<b " * 330_000, "<b " * 330_000 + ">", "<p>" + "a<b='" * 200_000, "<p>" + "a<b='" * 200_000 + ">", "<a \"'>" * 150_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 120_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 100_000, "<td>" + "<div>" * 100_000 + "</td>" * 100_000, "<" * 1_000_000, "<div>" * 200_000, "<!--" * 250_000, "<script>" * 120_000])
 def test_long_pages_are_read_in_one_pass(page):
-    assert timed(html_extract.extract, page) < 6
+    assert timed(html_extract.extract, page) < 2
 
 
 def edit_distance(a, b):
