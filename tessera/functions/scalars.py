@@ -37,16 +37,24 @@ def words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_value(x)), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def bind(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` computed once for a row, however often it is used."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def bigrams(tokens: Column) -> Column:
-    """Distinct pairs of neighbouring tokens."""
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+    """Pairs of neighbouring tokens, in order."""
+    def pairs(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    return bind(tokens, pairs)
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
-    """Share of the first text's bigrams that the second has; 0 if it has none."""
-    x, y = bigrams(words(a)), bigrams(words(b))
-    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+    """Share of the first text's different bigrams that the second has; 0 if it has none."""
+    share = lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, bigrams(words(b)))) / F.size(x))
+    return bind(F.array_distinct(bigrams(words(a))), share)
 
 
 def tokenize_label(x: Column) -> Column:
