@@ -3,10 +3,10 @@
 Every document gives a vector of transformed statistics. For each language and source, and for each language, a robust
 centre and scatter are found by concentration steps over all rows: keep the half of the rows that are nearest by
 Mahalanobis distance, take their mean and covariance, and repeat until the determinant, which falls with each step, stops
-falling. Two steps are made from each of several starts, and the one of least determinant goes on. Rows tied at the edge
-of the half enter by the share that fills it. A factor makes the covariance of the half that of all rows, if they are
-normal. A language and source is judged by its own estimates and those of its language, mixed by its number of rows
-against ``prior`` ones. Rows whose distance is beyond the cutoff are rejected.
+falling. Two steps are made from each of several starts, and the one of least determinant goes on. Rows whose distances
+are within 0.3 percent of the half's edge enter by the share that fills it. A factor makes the covariance of the half that
+of all rows, if they are normal. A language and source is judged by its own estimates and those of its language, mixed by
+its number of rows against ``prior`` ones. Rows whose distance is beyond the cutoff are rejected.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null language or source is a
 group of its own; a group of which no row passes the base rules needs no estimates; repeated rows are judged each for
@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import Lists, carried, fields, kind, map_rows, materialize, named, others
@@ -34,6 +36,8 @@ STATS = {"word_length": 0.25, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.2
 
 #: A determinant that falls by no larger share of itself has stopped falling.
 FALL = 1e-4
+#: Distances are cut at bins, so many to a doubling: rows are counted by bin, and those of the half's last bin enter by share.
+BINS = 256
 #: Concentration steps that are made from each start.
 TRIAL_STEPS = 2
 Params = dict[str, tuple[np.ndarray, np.ndarray]]
@@ -104,24 +108,33 @@ def consistency(share: float) -> float:
     return share / below(high, k + 2)
 
 
-def _moments(rows: DataFrame, sizes: dict[str, int]) -> Params:
-    """Mean and covariance of the statistics by ``_by``, of the rows before the edge and a share of those on it; two rows a group come to the driver."""
-    names = list(STATS)
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    sums = [F.sum(c) for c in names] + [F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]
-    parts: dict[str, dict[bool, np.ndarray]] = {}
-    for r in rows.groupBy("_by", "_edge").agg(F.count("*").cast("double"), *sums).collect():
-        parts.setdefault(r["_by"], {})[r["_edge"]] = np.array(r[2:])
-    out = {}
-    for g, part in parts.items():
-        none = np.zeros(1 + len(sums))
-        inner, edge = part.get(False, none), part.get(True, none)
-        n, *rest = inner + edge * min(1.0, max(0.0, half(sizes[g]) - inner[0]) / max(1.0, edge[0]))
-        mean, cov = np.array(rest[: len(names)]) / n, np.zeros((len(names),) * 2)
-        for (i, j), x in zip(pairs, rest[len(names) :]):
-            cov[i, j] = cov[j, i] = x / n - mean[i] * mean[j]
-        out[g] = (mean, cov)
-    return out
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.Table]:
+    """Short batches, joined to longer ones."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(rows: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
+    """The statistics of each group's rows: those of a language and source, and those of a language."""
+    x = np.stack([rows.column(c).to_numpy() for c in STATS], axis=1)
+    for column, kind_ in (("_group", "group "), ("_lang", "lang ")):
+        codes = rows.column(column).combine_chunks().dictionary_encode()
+        at = codes.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(codes.dictionary) + 1))
+        for i, name in enumerate(codes.dictionary.to_pylist()):
+            yield kind_ + name, x[order[ends[i] : ends[i + 1]]]
+
+
+def _bins(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    apart = x - mean
+    return np.floor(np.log2(np.maximum(((apart @ inverse) * apart).sum(axis=1), 0) + 1e-9) * BINS).astype(np.int32)
 
 
 def _distance(params: Params, spark, rows: DataFrame, how: str = "inner") -> DataFrame:
@@ -139,25 +152,65 @@ def _distance(params: Params, spark, rows: DataFrame, how: str = "inner") -> Dat
     return rows.join(F.broadcast(frame), "_by", how).withColumn("_d2", d2).drop("_mean", "_inv")
 
 
-def _step(spark, fit: DataFrame, params: Params, sizes: dict[str, int]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """One concentration step of each group in ``params`` (centre, inverse scatter): log determinant, centre and scatter of its nearest half."""
-    share = {g: math.ceil(1e4 * half(sizes[g]) / sizes[g]) / 1e4 for g in params}
-    shares = sorted(set(share.values()))
-    near = _distance(params, spark, fit)
-    found = near.groupBy("_by").agg(F.percentile_approx("_d2", shares, 10_000).alias("cut")).collect()
-    cuts = {r["_by"]: r["cut"][shares.index(share[r["_by"]])] for r in found}
-    edges = spark.createDataFrame(pa.table({"_by": pa.array(cuts, pa.string()), "_cut": pa.array(cuts.values(), pa.float64())}))
-    inside = near.join(edges, "_by").where(F.col("_d2") <= F.col("_cut")).withColumn("_edge", F.col("_d2") == F.col("_cut"))
+def _step(passed: DataFrame, params: dict[str, Params], sizes: dict[str, int]) -> dict[tuple[str, str], tuple[float, np.ndarray, np.ndarray]]:
+    """One concentration step from each (centre, inverse scatter) of each group: log determinant, centre and scatter of the nearest half.
+
+    Two passes over the rows: they are counted by bin of distance, and the half's are summed up, by task first."""
+    spark = passed.sparkSession
+    held = spark.sparkContext.broadcast(params)
+    names = list(STATS)
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    left, right = np.array(pairs).T
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str, int], int] = {}
+        for rows in _chunks(batches):
+            for g, x in _groups(rows):
+                for start, (mean, inverse) in held.value.get(g, {}).items():
+                    for k, n in zip(*(v.tolist() for v in np.unique(_bins(x, mean, inverse), return_counts=True))):
+                        found[g, start, k] = found.get((g, start, k), 0) + n
+        by, start, at = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(by, pa.string()), pa.array(start, pa.string()), pa.array(at, pa.int32()), pa.array(found.values(), pa.int64())], names=["_by", "_start", "_bin", "n"])
+
+    key = ["_by", "_start"]
+    counts = passed.mapInArrow(count, "_by string, _start string, _bin int, n long").groupBy(*key, "_bin").agg(F.sum("n").alias("n"))
+    halves = F.broadcast(spark.createDataFrame(pa.table({"_by": pa.array(params, pa.string()), "_half": pa.array([half(sizes[g]) for g in params], pa.int64())})))
+    upto = counts.withColumn("_upto", F.sum("n").over(W.partitionBy(*key).orderBy("_bin"))).join(halves, "_by")
+    cuts = {(r["_by"], r["_start"]): r["cut"] for r in upto.where("_upto >= _half").groupBy(*key).agg(F.min("_bin").alias("cut")).collect()}
+    cut = spark.sparkContext.broadcast(cuts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str, bool], np.ndarray] = {}
+        for rows in _chunks(batches):
+            for g, x in _groups(rows):
+                for start, (mean, inverse) in held.value.get(g, {}).items():
+                    at, edge = _bins(x, mean, inverse), cut.value[g, start]
+                    for on, own in ((False, x[at < edge]), (True, x[at == edge])):
+                        sums = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own)[left, right]])
+                        found[g, start, on] = found.get((g, start, on), 0) + sums
+        by, start, on = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(by, pa.string()), pa.array(start, pa.string()), pa.array(on, pa.bool_()), pa.array([x.tolist() for x in found.values()], pa.list_(pa.float64()))], names=["_by", "_start", "_edge", "s"])
+
+    sums = passed.mapInArrow(add, "_by string, _start string, _edge boolean, s array<double>").groupBy(*key, "_edge").agg(*[F.sum(F.col("s")[i]) for i in range(1 + len(names) + len(pairs))])
+    parts: dict[tuple[str, str], dict[bool, np.ndarray]] = {}
+    for r in sums.collect():
+        parts.setdefault((r[0], r[1]), {})[r[2]] = np.array(r[3:])
     floors, out = np.diag(np.array(list(STATS.values())) ** 2), {}
-    for g, (mean, cov) in _moments(inside, sizes).items():
-        scatter = cov * consistency(half(sizes[g]) / sizes[g]) + floors
-        out[g] = (float(np.linalg.slogdet(scatter)[1]), mean, scatter)
+    for k, part in parts.items():
+        inner, edge, most = part[False], part[True], half(sizes[k[0]])
+        n, *rest = inner + edge * min(1.0, max(0.0, most - inner[0]) / max(1.0, edge[0]))
+        mean, cov = np.array(rest[: len(names)]) / n, np.zeros((len(names),) * 2)
+        for (i, j), x in zip(pairs, rest[len(names) :]):
+            cov[i, j] = cov[j, i] = x / n - mean[i] * mean[j]
+        scatter = cov * consistency(most / sizes[k[0]]) + floors
+        out[k] = (float(np.linalg.slogdet(scatter)[1]), mean, scatter)
     return out
 
 
-def _starts(fit: DataFrame) -> dict[str, Params]:
+def _starts(passed: DataFrame) -> dict[str, Params]:
     """Starts of each group: its medians with the floors, and with its quartiles' spread; its lower and its upper quartiles."""
     floors = np.array(list(STATS.values()))
+    fit = passed.withColumn("_by", F.explode(F.array(F.concat(F.lit("group "), "_group"), F.concat(F.lit("lang "), "_lang"))))
     out = {}
     for r in fit.groupBy("_by").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in STATS]).collect():
         low, mid, high = np.array([r[c] for c in STATS]).T
@@ -166,25 +219,21 @@ def _starts(fit: DataFrame) -> dict[str, Params]:
     return out
 
 
-def estimate(fit: DataFrame, sizes: dict[str, int]) -> Params:
-    """Minimum covariance determinant of each group ``_by``: centre and scatter, from the best of several starts."""
-    spark = fit.sparkSession
-    starts = _starts(fit)
-    if not starts:
+def estimate(passed: DataFrame, sizes: dict[str, int]) -> Params:
+    """Minimum covariance determinant of each group of ``sizes`` ("group " or "lang " and its name): centre and scatter, from the best of several starts."""
+    turned = lambda made: {k: (mean, np.linalg.inv(scatter)) for k, (_, mean, scatter) in made.items()}
+    params = _starts(passed)
+    if not params:
         return {}
-    tries = fit.withColumn("_start", F.explode(F.array(*map(F.lit, "0123")))).withColumn("_by", F.concat("_start", "_by")).drop("_start")
-    params = {k + g: p for g, own in starts.items() for k, p in own.items()}
-    tried = {}
     for _ in range(TRIAL_STEPS):
-        tried = _step(spark, tries, params, {k: sizes[k[1:]] for k in params})
-        params = {k: (mean, np.linalg.inv(scatter)) for k, (_, mean, scatter) in tried.items()}
-    best = {}
-    for k in sorted(tried):
-        if k[1:] not in best or tried[k][0] < best[k[1:]][0]:
-            best[k[1:]] = tried[k]
+        tried = _step(passed, params, sizes)
+        params = {}
+        for (g, start), p in turned(tried).items():
+            params.setdefault(g, {})[start] = p
+    best = {g: min((tried[g, start] for start in sorted(own)), key=lambda x: x[0]) for g, own in params.items()}
     falling = set(best)
     while falling:
-        made = _step(spark, fit, {g: (best[g][1], np.linalg.inv(best[g][2])) for g in falling}, sizes)
+        made = {g: x for (g, _), x in _step(passed, {g: {"": p} for g, p in turned({g: best[g] for g in falling}).items()}, sizes).items()}
         falling = {g for g, x in made.items() if x[0] < best[g][0] - FALL}
         best |= {g: x for g, x in made.items() if x[0] < best[g][0]}
     return {g: (mean, scatter) for g, (_, mean, scatter) in best.items()}
@@ -215,7 +264,7 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
 
     ``cutoff`` bounds the squared distance that is kept: the chi-square quantile of 0.9997 for six statistics. ``prior``
     is what a language's estimates weigh in each of its sources, in rows. Plan: one scan writes a short vector for each
-    row to the shared folder; every step is one aggregation over those vectors, pre-aggregated before its shuffle. The
+    row to the shared folder; every step reads those vectors twice and sums them up in each task before its shuffle. The
     driver holds one mean and matrix for each language and source."""
     spark = docs.sparkSession
     group = F.to_json(F.struct(named(lang_col).cast("string").alias("l"), named(source_col).cast("string").alias("s")))
@@ -232,8 +281,7 @@ def verdicts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     for r in groups:
         sizes["group " + r["_group"]] = r["n"]
         sizes["lang " + r["_lang"]] = sizes.get("lang " + r["_lang"], 0) + r["n"]
-    fit = passed.withColumn("_by", F.explode(F.array(F.concat(F.lit("group "), "_group"), F.concat(F.lit("lang "), "_lang")))).drop("_group", "_lang")
-    found = estimate(fit, sizes)
+    found = estimate(passed, sizes)
     params = {}
     for r in groups:
         mean, scatter = mixed(found["group " + r["_group"]], found["lang " + r["_lang"]], r["n"] / (r["n"] + prior))

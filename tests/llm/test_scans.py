@@ -304,8 +304,10 @@ def test_estimates_are_of_least_determinant(spark):
     rng = np.random.RandomState(4)
     names = list(quality_rules.STATS)
     x = np.concatenate([rng.standard_normal((150, 6)) * [0.3, 0.1, 0.1, 0.2, 0.1, 0.1], 3 + 0.01 * rng.standard_normal((70, 6)), -2 + rng.standard_normal((40, 6))])
-    fit = spark.createDataFrame([("g", *map(float, r)) for r in x], "_by string, " + ", ".join(f"{c} double" for c in names))
-    mean, scatter = quality_rules.estimate(fit, {"g": len(x)})["g"]
+    rows = spark.createDataFrame([("g", "l", *map(float, r)) for r in x], "_group string, _lang string, " + ", ".join(f"{c} double" for c in names))
+    got = quality_rules.estimate(rows, {"group g": len(x), "lang l": len(x)})
+    mean, scatter = got["group g"]
+    assert np.allclose(mean, got["lang l"][0]) and np.allclose(scatter, got["lang l"][1])
     floors, h = np.diag(np.array(list(quality_rules.STATS.values())) ** 2), quality_rules.half(len(x))
     factor, best = quality_rules.consistency(h / len(x)), (np.inf, None)
     for _ in range(200):
