@@ -31,7 +31,7 @@ def ks(subject: DataFrame, reference: DataFrame, names: list[str]) -> DataFrame:
 
     Rows are counted by value before any order is needed; running sums over the values are made by range partitions."""
     side = lambda df, s, r: _long(df, names, "double").where("x is not null and not isnan(x)").select("column", "x", F.lit(s).alias("s"), F.lit(r).alias("r"))
-    counts = side(subject, 1, 0).union(side(reference, 0, 1)).groupBy("column", "x").agg(F.sum("s").alias("s"), F.sum("r").alias("r"))
+    counts = cut(side(subject, 1, 0).union(side(reference, 0, 1)).groupBy("column", "x").agg(F.sum("s").alias("s"), F.sum("r").alias("r")))
     cum = running(counts, ["column"], ["x"], ["s", "r"])
     return cum.where("all_s > 0 and all_r > 0").groupBy("column").agg(F.max(F.abs(F.col("cum_s") / F.col("all_s") - F.col("cum_r") / F.col("all_r"))).alias("ks"))
 
@@ -223,8 +223,8 @@ def nearest_distances(subject: DataFrame, reference: DataFrame, names: list[str]
         met = salted.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(meet, f"k {kind}, distance double")
         return met.groupBy("k").agg(F.min("distance").alias("distance"))
 
-    rows = cut(subject.select(F.col(key).alias("k"), F.array(*scaled).alias("v")))
-    salts = max(1, -(-rows.count() // (len(boxes) * 16 * block)))  # a cell that many subject rows ask is met in several tasks
+    rows = subject.select(F.col(key).alias("k"), F.array(*scaled).alias("v"))
+    salts = max(1, -(-subject.count() // (len(boxes) * 16 * block)))  # a cell that many subject rows ask is met in several tasks
     near = cut(asked(rows, True))
     more = asked(rows.join(near, "k"), False)
     return near.unionByName(more).groupBy(F.col("k").alias(key)).agg(F.min("distance").alias("distance"))

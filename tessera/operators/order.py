@@ -25,6 +25,7 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def _ranged(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """``df`` is read three times here: to be counted, to draw bounds, and to be dealt; what is dear to make should be written before."""
     parts = max(1, -(-df.count() // rows))
     return df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
 
