@@ -165,7 +165,16 @@ def modularity_greedy(spark, d):
     return rounded(X.modularity(p, X.greedy_communities(n, p)), "modularity")
 
 
-@query("modularity_propagated")
+def _propagated_sql(rounds: int) -> str:
+    """CTEs of label propagation over the party graph, a round after another."""
+    out = f"pr AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM {EDGES}), bw AS (SELECT a AS id, b AS other FROM pr UNION ALL SELECT b, a FROM pr), l0 AS (SELECT id, id AS c FROM {NODES})"
+    for i in range(rounds):
+        out += f", l{i + 1} AS (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, c) AS r FROM (SELECT bw.id, l.c FROM bw JOIN l{i} l ON l.id = bw.other UNION ALL SELECT id, c FROM l{i}) GROUP BY id, c) WHERE r = 1)"
+    return out
+
+
+@query("modularity_propagated", f"""WITH {_propagated_sql(8)}, m AS (SELECT count(*)::DOUBLE AS m FROM pr), o AS (SELECT x.c, y.c AS oc FROM bw JOIN l8 x ON x.id = bw.id JOIN l8 y ON y.id = bw.other)
+SELECT round(sum(inside / (2 * m) - (deg / (2 * m)) * (deg / (2 * m))), 6)::DOUBLE AS modularity FROM (SELECT c, count(*)::DOUBLE AS deg, (count(*) FILTER (WHERE c = oc))::DOUBLE AS inside FROM o GROUP BY c), m""")
 def modularity_propagated(spark, d):
     n, e = party(spark, d)
     p = X.to_undirected(n, e)
@@ -385,7 +394,21 @@ def stochastic_block_model(spark, d):
     return B.stochastic_blocks(spark, [100, 100, 100], 0.1, 0.005, 2)
 
 
-@query("lfr")
+def _lfr_sql(n: int, seed: int, least: int, high: float, mixing: float, average: float) -> str:
+    most = max(2.0, min(n - 1.0, n**0.5 * average))
+    low = B._least_degree(average, most, 3.0)
+    power = lambda draw, a, b, e: f"pow({a ** (1 - e)!r}::DOUBLE + {draw} * {b ** (1 - e) - a ** (1 - e)!r}::DOUBLE, {1 / (1 - e)!r}::DOUBLE)"
+    whole = lambda x, draw: f"(floor({x}) + CASE WHEN {draw} < {x} - floor({x}) THEN 1 ELSE 0 END)::INT"
+    paired = "SELECT min(id) AS a, max(id) AS b, count(*) AS n, min(c) = max(c) AS same"
+    return f"""WITH z AS (SELECT range AS c, floor({power(u(seed, 'lfr:size', 'range'), float(least), high, 1.5)})::BIGINT AS size FROM range({-(-n // least)})), f AS (SELECT c, sum(size) OVER (ORDER BY c) - size AS lo, size FROM z),
+s AS (SELECT c, lo, CASE WHEN {n} - least({n}, lo + size) < {least} THEN {n} ELSE least({n}, lo + size) END AS hi FROM f WHERE lo < {n} AND ({n} - lo >= {least} OR c = 0)),
+v AS (SELECT range AS id, c, hi - lo AS size, {power(u(seed, 'lfr:degree', 'range'), low, most, 3.0)} AS x FROM range({n}) JOIN s ON range >= lo AND range < hi), d AS (SELECT id, c, size, greatest(1, {whole('x', u(seed, 'lfr:round', 'id'))}) AS degree FROM v),
+i AS (SELECT id, c, degree, least({whole(f'(degree * {1 - mixing!r}::DOUBLE)', u(seed, 'lfr:inner', 'id'))}, size - 1)::INT AS own FROM d), hn AS (SELECT id, c, unnest(range(1, own + 1)) AS h FROM i), hf AS (SELECT id, c, unnest(range(1, degree - own + 1)) AS h FROM i),
+kn AS (SELECT id, c, (row_number() OVER (PARTITION BY c ORDER BY {u(seed, 'lfr:near', 'id', 'h')}, id, h) - 1) // 2 AS k FROM hn), kf AS (SELECT id, c, (row_number() OVER (ORDER BY {u(seed, 'lfr:far', 'id', 'h')}, id, h) - 1) // 2 AS k FROM hf)
+SELECT DISTINCT a, b FROM (SELECT a, b FROM ({paired} FROM kn GROUP BY c, k) WHERE n = 2 AND a <> b UNION ALL SELECT a, b FROM ({paired} FROM kf GROUP BY k) WHERE n = 2 AND a <> b AND NOT same)"""
+
+
+@query("lfr", _lfr_sql(3000, 2, 300, 1500.0, 0.1, 5.0))
 def lfr(spark, d):
     return B.lfr(spark, 3000, 2)[1]
 

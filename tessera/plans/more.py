@@ -76,7 +76,7 @@ def _canned(first: int, size: int, attempt: int) -> list[dict]:
     return [{"question": f"What is {first + i}?", "answer": "" if not attempt and not i else str(first + i)} for i in range(size)]
 
 
-@query("gen_text")
+@query("gen_text", "SELECT id, 'What is ' || n || '?' AS question, n::VARCHAR AS answer FROM (SELECT range AS id, range // 20 * 20 + (range % 20 + 1) % 20 AS n FROM range(200))")
 def gen_text(spark, d):
     return G.text_rows(spark, 200, _canned, ["question", "answer"])
 
