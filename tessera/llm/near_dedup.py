@@ -128,8 +128,14 @@ def loss(similarity: float = 0.75, threshold: float = 0.75, miss: float = 1e-7)
     return (1 - similarity**ROWS) ** BANDS + sum(map(below, ends, least_matches(threshold, miss, ends)))
 
 
+def _mixed(numbers: list[int]) -> np.ndarray:
+    """Row numbers, one to one, as numbers in no order: the least of some is a random choice among them."""
+    x = np.array(numbers, np.int64).view(np.uint64) * _M1
+    return ((x ^ (x >> np.uint64(32))) * _M2).view(np.int64)
+
+
 def _sketch(rows: Lists) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("_class", "_n", "_sig")}
+    out: dict[str, list] = {"_row": _mixed(rows["_row"]), "_class": [], "_n": [], "_sig": []}
     for text in rows["_text"]:
         words = words_of(text)
         keys = shingles(words)
@@ -207,14 +213,13 @@ def _verify(pairs: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(_rid, _comp) of every row in ``links`` (_a, _b): each round maps a row to the neighbour of smallest random rank and
+    """(_rid, _comp) of every row in ``links`` (_a, _b): each round maps a row to its least neighbour, numbers being random, and
     contracts the links, until none is left. Minima are pre-aggregated, so a row with many links is no hot group."""
-    rank = lambda c: F.struct(F.xxhash64(c).alias("k"), F.col(c).alias("id"))
     edges = materialize(links.select("_a", "_b").distinct(), "links", narrow=True)
     names = materialize(edges.select(F.col("_a").alias("_rid")).union(edges.select("_b")).distinct().select("_rid", F.col("_rid").alias("_comp")), "names", narrow=True)
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        step = both.groupBy("_a").agg(F.least(F.min(rank("_b")), F.min(rank("_a")))["id"].alias("_to")).select(F.col("_a").alias("_from"), "_to")
+        step = both.groupBy(F.col("_a").alias("_from")).agg(F.min("_b").alias("_to")).select("_from", F.least("_from", "_to").alias("_to"))
         step = materialize(step, "step", narrow=True)
         before, names = (edges, names), materialize(names.join(step, F.col("_comp") == F.col("_from"), "left").select("_rid", F.coalesce("_to", "_comp").alias("_comp")), "names", narrow=True)
         a, b = (step.select(F.col("_from").alias(f"_{x}"), F.col("_to").alias(f"_to_{x}")) for x in "ab")
@@ -229,13 +234,13 @@ def _named(buckets: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components and more than two members, with the bucket's largest component and its members in and outside of that."""
     named = buckets.join(names, "_rid", "left").withColumn("_comp", F.coalesce("_comp", "_rid"))
     sizes = named.groupBy("_bucket", "_comp").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("_bucket").agg(F.max(F.struct("n", "_comp")).alias("top"), F.sum("n").alias("all")).where("top.n < all and all > 2")
-    return named.join(open_.select("_bucket", F.col("top._comp").alias("_top"), F.col("top.n").alias("_n_top"), (F.col("all") - F.col("top.n")).alias("_n_rest")), "_bucket")
+    open_ = sizes.groupBy("_bucket").agg(F.max_by("_comp", "n").alias("_top"), F.max("n").alias("_n_top"), F.sum("n").alias("all")).where("_n_top < all and all > 2")
+    return named.join(open_.select("_bucket", "_top", "_n_top", (F.col("all") - F.col("_n_top")).alias("_n_rest")), "_bucket")
 
 
-def _wide(buckets: DataFrame, names: DataFrame, base: DataFrame) -> DataFrame:
+def _wide(opened: DataFrame, base: DataFrame) -> DataFrame:
     """(_rid, _more): the further hashes of the members of buckets that hold several components."""
-    wanted = materialize(_named(buckets, names).select(F.col("_rid").alias("_row")).distinct(), "wanted", narrow=True)
+    wanted = materialize(opened.select(F.col("_rid").alias("_row")).distinct(), "wanted", narrow=True)
     few = wanted.count() <= BROADCAST_ROWS
     texts = base.select("_row", "_text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
 
@@ -273,10 +278,10 @@ def _by_key(keys: list[str], fn):
     return run
 
 
-def _residual(buckets: DataFrame, classes: DataFrame, names: DataFrame, wide: DataFrame, base: DataFrame, threshold: int, miss: float) -> DataFrame:
+def _residual(opened: DataFrame, classes: DataFrame, wide: DataFrame, base: DataFrame, threshold: int, miss: float) -> DataFrame:
     """Links across components within buckets that hold several, in full but for pairs of components that a link in the
     same block joins; pairs with the pivot are done already. A pair counts in the first band that it shares only."""
-    rows = _named(buckets, names).withColumn("_in", F.col("_comp") == F.col("_top"))
+    rows = opened.withColumn("_in", F.col("_comp") == F.col("_top"))
     rows = rows.withColumn("_tops", F.ceil(F.col("_n_top") / BLOCK).cast("int")).withColumn("_rests", F.ceil(F.col("_n_rest") / BLOCK).cast("int"))
     place = lambda n: F.pmod(F.xxhash64("_rid"), n).cast("int")
     rows = rows.withColumn("_own", F.when(F.col("_in"), place(F.col("_tops"))).otherwise(F.col("_tops") + place(F.col("_rests"))))
@@ -375,17 +380,18 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
 
 
 def group(base: DataFrame, threshold: int = 75, miss: float = 1e-7) -> DataFrame:
-    """``base``, as ``sketch`` makes it, with ``_component``: the smallest id that a row's text is linked with, directly or not, and ``_first``: the component's least row that has this id."""
+    """``base``, as ``sketch`` makes it, with ``_component``: the smallest id that a row's text is linked with, directly or not, and ``_first``: one row of the component that has this id."""
     share = threshold / 100
     known = base.where(F.col("_class").isNotNull())
     classes = materialize(known.groupBy("_class").agg(F.min("_row").alias("_rid"), F.first("_sig").alias("_sig"), F.min(F.struct(F.col("_doc").isNull().alias("no"), F.col("_doc").alias("id"), F.col("_row").alias("row"))).alias("_least")), "classes")
     buckets = _explode_buckets(classes)
-    pivots = buckets.groupBy("_bucket").agg(F.min(F.struct(F.xxhash64("_rid").alias("k"), F.col("_rid").alias("id"))).alias("p"), F.count("*").alias("n")).where("n > 1").select("_bucket", F.col("p.id").alias("_pivot"))
+    pivots = buckets.groupBy("_bucket").agg(F.min("_rid").alias("_pivot"), F.count("*").alias("n")).where("n > 1").select("_bucket", "_pivot")
     stars = buckets.join(pivots, "_bucket").where("_rid <> _pivot").select(F.least("_rid", "_pivot").alias("_a"), F.greatest("_rid", "_pivot").alias("_b")).distinct()
     links = _verify(_bayes(stars, classes, share, miss), base, threshold)
     names = components(links)
-    wide = _wide(buckets, names, base)
-    more = _residual(buckets, classes, names, wide, base, threshold, miss)
+    opened = materialize(_named(buckets, names), "open")
+    wide = _wide(opened, base)
+    more = _residual(opened, classes, wide, base, threshold, miss)
     if not more.isEmpty():
         links, old = materialize(links.union(more), "found", narrow=True), (links, names)
         names = components(links)
@@ -394,7 +400,7 @@ def group(base: DataFrame, threshold: int = 75, miss: float = 1e-7) -> DataFrame
     comp = classes.join(names, "_rid", "left").select("_class", F.coalesce("_comp", "_rid").alias("_comp"), "_least")
     least = comp.groupBy("_comp").agg(F.min("_least").alias("_least"))
     by_class = materialize(comp.select("_class", "_comp").join(least, "_comp").select("_class", F.col("_least.id").alias("_cid"), F.col("_least.row").alias("_crow")), "groups")
-    discard(classes, names, links, wide)
+    discard(classes, names, links, opened, wide)
     out = base.join(by_class, "_class", "left")
     alone = F.col("_class").isNull()
     return out.withColumn("_component", F.when(alone, F.col("_doc")).otherwise(F.col("_cid"))).withColumn("_first", alone | (F.col("_row") == F.col("_crow"))).drop("_cid", "_crow")
@@ -410,7 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, miss: float = 1e-7) -> DataFrame:
-    """The rows of ``docs`` with one of each group: the one of smallest id, the first such row if ids repeat."""
+    """The rows of ``docs`` with one of each group: the one of smallest id, one such row if ids repeat."""
     carry = others(docs, text_col)
     found = group(sketch(docs, id_col, text_col, carry), threshold, miss).where("_first")
     own = {c: F.col(f"_c_{i}") for i, c in enumerate(carry)}
