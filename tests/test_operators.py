@@ -296,6 +296,45 @@ def test_greedy_communities(spark, most):
     assert X.greedy_communities(nodes.limit(2), pairs.limit(0)).count() == 2
 
 
+def test_a_greedy_merge_does_not_walk_a_hub(monkeypatch):
+    pushes, push = [0], X.heapq.heappush
+    monkeypatch.setattr(X.heapq, "heappush", lambda *a: (pushes.__setitem__(0, pushes[0] + 1), push(*a))[1])
+    hubs = {0: range(4, 700), 1: range(700, 1400), 2: range(1400, 2000)}  # three stars, whose hubs are all joined with 3
+    edges = {(h, x): 1 for h, leaves in hubs.items() for x in leaves} | {(h, 3): 1 for h in hubs}
+    into = X.merge_greedily(edges, dict.fromkeys(range(2000), 0))
+    assert all(into[x] == into[h] for h, leaves in hubs.items() for x in leaves)
+    assert len(set(into.values())) == 3
+    assert pushes[0] < 10 * len(edges)
+
+
+def test_greedy_merges_are_those_of_the_definition():
+    import random
+
+    def plain(edges, loops):
+        m2, of = 2 * (sum(edges.values()) + sum(loops.values())), {i: i for i in loops}
+        a = {i: 2 * loops[i] + sum(w for e, w in edges.items() if i in e) for i in loops}
+        joined = dict(edges)
+        while joined:
+            g, i, j = min((a[i] * a[j] - m2 * w, i, j) for (i, j), w in joined.items())
+            if g >= 0:
+                break
+            a[i] += a.pop(j)
+            of = {x: i if c == j else c for x, c in of.items()}
+            moved = [(sorted(i if x == j else x for x in e), w) for e, w in joined.items()]
+            joined = {}
+            for (x, y), w in moved:
+                if x != y:
+                    joined[x, y] = joined.get((x, y), 0) + w
+        return of
+
+    for seed in range(300):
+        draw = random.Random(seed)
+        n = draw.choice([2, 5, 12, 30])
+        edges = {tuple(sorted(e)): draw.randint(1, 1 + seed % 3) for e in ((int(n * draw.random() ** 2), draw.randrange(n)) for _ in range(3 * n)) if e[0] != e[1]}
+        loops = {i: draw.randint(0, seed % 2) for i in range(n)}
+        assert X.merge_greedily(edges, loops) == plain(edges, loops), seed
+
+
 def test_engines(spark, people):
     n, e = people
     for asked in ({"topology": t} for t in ("barabasi_albert", "watts_strogatz", "erdos_renyi", "stochastic_block_model", "lfr")):
