@@ -192,6 +192,48 @@ def test_average_path_is_over_all_pairs(spark, monkeypatch):
     assert X.average_path(nodes.limit(0), pairs.limit(0)).first()[0] == 0.0
 
 
+def test_average_path_holds_no_bitmaps_of_leaves_and_broadcasts_none(spark, monkeypatch):
+    joined = {(i, (i + 1) % 7) for i in range(7)} | {(1, 4)} | {(i % 7, 10 + i) for i in range(60)} | {(10 + i, 100 + i) for i in range(9)} | {(100, 110), (110, 111), (900, 901)}
+    around = {}
+    for a, b in joined:
+        around.setdefault(a, []).append(b)
+        around.setdefault(b, []).append(a)
+    total, inside = 0, [x for x in around if x < 900]
+    for s in inside:
+        far, todo = {s: 0}, [s]
+        for x in todo:
+            for y in around[x]:
+                if y not in far:
+                    far[y] = far[x] + 1
+                    todo.append(y)
+        total += sum(far.values())
+    nodes = spark.createDataFrame([(f"n{i}",) for i in around], "id string")
+    pairs = spark.createDataFrame([tuple(sorted((f"n{a}", f"n{b}"))) for a, b in joined], "a string, b string")
+    plans, kept, construct = [], X.cut, X.F.bitmap_construct_agg
+
+    def written(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "bitmap" in plan:
+            plans.append(plan)
+        return kept(df)
+
+    monkeypatch.setattr(X, "cut", written)
+    for block in (1 << 15, 3):
+        monkeypatch.setattr(X, "BITS", block)
+        assert X.average_path(nodes, pairs).first()[0] == pytest.approx(total / (len(inside) * (len(inside) - 1)), abs=1e-12)
+    assert len(plans) > 4 and not any("Broadcast" in x for x in plans)
+
+    def refused(c):
+        raise AssertionError("bitmaps of a tree")
+
+    monkeypatch.setattr(X.F, "bitmap_construct_agg", refused)
+    star = spark.createDataFrame([("a", f"b{i}") for i in range(50)], "a string, b string")
+    ends = spark.createDataFrame([("a",), *[(f"b{i}",) for i in range(50)]], "id string")
+    assert X.average_path(ends, star).first()[0] == pytest.approx((2 * 50 + 50 * 49 * 2) / (51 * 50), abs=1e-12)
+    monkeypatch.setattr(X.F, "bitmap_construct_agg", construct)
+    assert X.average_path(ends.limit(1), star.limit(0)).first()[0] == 0.0
+
+
 def test_graph_utility_learns_from_shared_numbers(spark):
     def graph(p, own):
         node = lambda i: (f"{p}{i}", "AB"[i % 2], f'{{"the size": {i % 2 * 10 + i / 1000}, "text": "{i % 2}", "{own}": {i % 2}, "flag": {"true" if i % 2 else "false"}}}')
