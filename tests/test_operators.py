@@ -234,6 +234,20 @@ def test_average_path_holds_no_bitmaps_of_leaves_and_broadcasts_none(spark, monk
     assert X.average_path(ends.limit(1), star.limit(0)).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("judge, first", [("structural_fidelity", "clustering"), ("graph_tstr", "greedy_communities")])
+def test_graph_judges_read_written_pairs(people, monkeypatch, judge, first):
+    class Met(Exception):
+        pass
+
+    def meet(nodes, pairs, *more):
+        assert nodes.inputFiles() and pairs.inputFiles()  # else both are made again by every measure
+        raise Met
+
+    monkeypatch.setattr(X, first, meet)
+    with pytest.raises(Met):
+        getattr(X, judge)(*people, *people)
+
+
 def test_graph_utility_learns_from_shared_numbers(spark):
     def graph(p, own):
         node = lambda i: (f"{p}{i}", "AB"[i % 2], f'{{"the size": {i % 2 * 10 + i / 1000}, "text": "{i % 2}", "{own}": {i % 2}, "flag": {"true" if i % 2 else "false"}}}')
