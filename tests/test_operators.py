@@ -352,6 +352,23 @@ def test_greedy_communities(spark, most):
     assert X.greedy_communities(nodes.limit(2), pairs.limit(0)).count() == 2
 
 
+def test_greedy_communities_ignore_size(spark):
+    import random
+
+    for seed in range(2):
+        draw = random.Random(seed)
+        edges = sorted({tuple(sorted((f"{g}{int(n * draw.random() ** 2):02d}", f"{g}{draw.randrange(n):02d}"))) for g, n in (("c", 24), ("a", 9), ("d", 2), ("b", 40)) for _ in range(2 * n)})
+        edges = [e for e in edges if e[0] != e[1]] + [("e1", f"e2{i}") for i in range(5)]
+        nodes = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e}) + ["alone"]], "id string")
+        pairs = spark.createDataFrame(edges, "a string, b string")
+        whole = X.greedy_communities(nodes, pairs)
+        for most in (1, 20, len(edges) - 1):
+            assert same(X.greedy_communities(nodes, pairs, most), whole), most
+        numbers = {x: i for i, x in enumerate(sorted({x for e in edges for x in e}))}
+        into = X.merge_greedily({(numbers[a], numbers[b]): 1 for a, b in edges}, dict.fromkeys(range(len(numbers)), 0))
+        assert {r["id"]: r["community"] for r in whole.collect()} == {x: sorted(numbers)[into[i]] for x, i in numbers.items()} | {"alone": "alone"}
+
+
 def test_a_greedy_merge_does_not_walk_a_hub(monkeypatch):
     pushes, push = [0], X.heapq.heappush
     monkeypatch.setattr(X.heapq, "heappush", lambda *a: (pushes.__setitem__(0, pushes[0] + 1), push(*a))[1])
